@@ -1,15 +1,14 @@
-"""Helpers shared by the text operators: tables, scratch space, held-out rows, bounded samples."""
+"""Helpers shared by the text operators: tables, held-out rows, bounded samples."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from theoremill.plans.scratch import materialize, scratch_dir  # noqa: F401
+
 #: Rows of one Arrow batch handed to Python. Texts are long, so batches are kept short to bound worker memory.
 ARROW_ROWS = 1000
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -32,37 +31,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where the setting is absent (local runs)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    context = spark.sparkContext
-    if not where:
-        where = context.getCheckpointDir()
-        if not where:
-            where = tempfile.mkdtemp(prefix="theoremill-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(where)
-    return where
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended already; nothing is left to clean through it
-        pass
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared scratch folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/theoremill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id written as text, modulo divisor; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(divisor))
