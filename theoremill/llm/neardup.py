@@ -80,59 +80,42 @@ class _Region:
     """Candidate edges among rows that are sorted by signature."""
 
     def __init__(self, least: int):
-        self.least, self.out = least, ([], [], [])
+        self.least, self.found = least, {}
 
     def edge(self, a: int, b: int, match: int) -> None:
         if a != b:
-            for column, v in zip(self.out, (max(a, b), min(a, b), match), strict=True):
-                column.append(v)
+            self.found[max(a, b), min(a, b)] = match
 
     def block(self, ids: np.ndarray, sketch: np.ndarray) -> None:
-        """Spanning stars of the graph of similar rows, and each row's most similar one."""
+        """A maximum spanning forest (Prim) of the graph of similar rows: each row's most similar one is in it."""
         match = (sketch[:, None, :] == sketch[None, :, :]).sum(2, dtype=np.int16)
         np.fill_diagonal(match, -1)
-        near = match >= self.least
-        if not near.any():
-            return
-        best = match.argmax(1)
-        label = np.full(len(ids), -1)
-        for root in range(len(ids)):
-            if label[root] >= 0:
-                continue
-            label[root] = root
-            front = [root]
-            while front:
-                reach = near[front].any(0) & (label < 0)
-                label[reach] = root
-                front = list(np.flatnonzero(reach))
-        for i in np.flatnonzero(near.any(1)):
-            self.edge(int(ids[i]), int(ids[best[i]]), int(match[i, best[i]]))
-            self.edge(int(ids[i]), int(ids[label[i]]), int(max(match[i, label[i]], 0)))
+        match[match < self.least] = -1
+        left = (match >= 0).any(1)
+        best, parent = np.full(len(ids), -1, np.int16), np.zeros(len(ids), int)
+        while left.any():
+            i = int(np.where(left, best, -2).argmax())
+            if best[i] >= 0:
+                self.edge(int(ids[i]), int(ids[parent[i]]), int(best[i]))
+            left[i] = False
+            closer = left & (match[i] > best)
+            best[closer], parent[closer] = match[i][closer], i
 
     def region(self, keys: np.ndarray, ids: np.ndarray, sketch: np.ndarray, depth: int) -> None:
         n = len(ids)
         if n <= REGION_ROWS:
             if n > 1:
                 self.block(ids, sketch)
-        elif depth < DEPTH:
+            return
+        if depth == MIN_DEPTH or depth == DEPTH:  # rows near each other in the order, blocks around a common pivot
+            for a in range(0, n, REGION_ROWS - 1):
+                self.block(np.append(ids[a : a + REGION_ROWS - 1], ids[0]), np.concatenate([sketch[a : a + REGION_ROWS - 1], sketch[:1]]))
+        if depth < DEPTH:  # deeper regions, and the first rows of these among each other
             cut = np.concatenate([[0], np.flatnonzero(np.diff(keys[:, depth].astype(np.int64))) + 1, [n]])
             for a, z in zip(cut[:-1], cut[1:], strict=True):
                 self.region(keys[a:z], ids[a:z], sketch[a:z], depth + 1)
-            half = REGION_ROWS // 2
-            for m in cut[1:-1]:  # neighbours in the order across deeper regions
-                a, z = max(0, m - 1), min(n, m + 1)
-                self.pairs(ids[a:z], sketch[a:z])
-            for a in range(0, n, half):  # and rows near each other in the order
-                self.block(ids[a : a + REGION_ROWS], sketch[a : a + REGION_ROWS])
-        else:
-            for a in range(0, n, REGION_ROWS - 1):  # equal signatures in this tree: blocks around a common pivot
-                self.block(np.append(ids[a : a + REGION_ROWS - 1], ids[0]), np.concatenate([sketch[a : a + REGION_ROWS - 1], sketch[:1]]))
-
-    def pairs(self, ids: np.ndarray, sketch: np.ndarray) -> None:
-        for i in range(len(ids) - 1):
-            m = int((sketch[i] == sketch[i + 1]).sum())
-            if m >= self.least:
-                self.edge(int(ids[i]), int(ids[i + 1]), m)
+            for a in range(0, len(cut) - 1, REGION_ROWS):
+                self.block(ids[cut[a : a + REGION_ROWS][: len(cut) - 1 - a]], sketch[cut[a : a + REGION_ROWS][: len(cut) - 1 - a]])
 
 
 def _neighbours(least: int):
@@ -154,7 +137,7 @@ def _neighbours(least: int):
                 a, z = cut[r], cut[r + 1]
                 found.region(keys[a:z], ids[a:z], sketch[a:z], MIN_DEPTH)
             keep = None if last else tuple(x[len(ids) - REGION_ROWS :] if early else x[cut[-2] :] for x in rows)
-            a, b, m = found.out
+            a, b, m = zip(*((x, y, m) for (x, y), m in found.found.items()), strict=True) if found.found else ((), (), ())
             return keep, pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int32())], names=["a", "b", "match"])
 
         for batch in batches:
