@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,33 +73,38 @@ def tokenize(docs: DataFrame, json_path: str | None = None, ranks_path: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(json_path, ranks_path)
         for batch in batches:
-            lengths, blobs = [], []
-            for ids in encode(["" if t is None else t for t in batch.column(1).to_pylist()]):
-                ids.append(end_id)
-                lengths.append(len(ids))
-                blobs.append(np.array(ids, "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            for a in range(0, batch.num_rows, 64):
+                lengths, blobs = [], []
+                for ids in encode(["" if t is None else t for t in batch.column(1).slice(a, 64).to_pylist()]):
+                    ids.append(end_id)
+                    lengths.append(len(ids))
+                    blobs.append(np.array(ids, "<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 64), pa.array(lengths, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
 
 
-def cut(tokens: DataFrame, max_length: int, rest_cut: int) -> DataFrame:
-    """Pieces (doc_id, n_tokens, start, length, ids): whole sequences first, then the rest in cuts of rest_cut."""
-    whole = F.expr(f"n_tokens div {max_length}")
-    rest = F.col("n_tokens") - whole * max_length
+def cut(tokens: DataFrame, max_length: int, rest_cut: int, digest: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Pieces (doc_id, n_tokens, start, length, ids): whole sequences first, then the rest in cuts of rest_cut.
+
+    digest: functions of a piece's ids, computed before the pieces of a document are dealt to rows; ids are then left
+    out, so that no row repeats them.
+    """
+    whole = F.expr(f"n_tokens div {max_length}") * max_length
+    longs = F.array().cast("array<bigint>")
     starts = F.concat(
-        F.when(whole > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(whole, F.lit(1)) - 1), lambda i: i * max_length)).otherwise(F.array().cast("array<bigint>")),
-        F.when(rest > 0, F.sequence(whole * max_length, F.greatest(F.col("n_tokens") - 1, whole * max_length), F.lit(rest_cut).cast("long"))).otherwise(F.array().cast("array<bigint>")),
-    )
-    step = F.when(F.col("start") < whole * max_length, F.lit(max_length)).otherwise(F.lit(rest_cut))
-    length = F.least(step.cast("long"), F.col("n_tokens") - F.col("start"))
-    return (
-        tokens.withColumn("start", F.explode(starts))
-        .withColumn("length", length)
-        .withColumn("ids", F.substring("ids", (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int")))
+        F.when(whole > 0, F.sequence(F.lit(0).cast("long"), F.greatest(whole, F.lit(1)) - 1, F.lit(max_length).cast("long"))).otherwise(longs),
+        F.when(F.col("n_tokens") > whole, F.sequence(whole, F.greatest(F.col("n_tokens") - 1, whole), F.lit(rest_cut).cast("long"))).otherwise(longs),
     )
 
+    def piece(start: Column) -> Column:
+        length = F.least(F.when(start < whole, F.lit(max_length)).otherwise(F.lit(rest_cut)).cast("long"), F.col("n_tokens") - start)
+        ids = F.substring("ids", (start * 4 + 1).cast("int"), (length * 4).cast("int"))
+        return F.struct(start.alias("start"), length.alias("length"), *([f(ids).alias(k) for k, f in digest.items()] if digest else [ids.alias("ids")]))
+
+    return tokens.select("doc_id", "n_tokens", F.inline(F.transform(starts, piece)))
+
 
 def piece_histogram(totals: dict[int, int], whole: int, max_length: int, rest_cut: int) -> dict[int, int]:
     """Piece lengths from counts of `n_tokens mod max_length` and the number of whole sequences."""
@@ -192,11 +197,11 @@ def assign(pieces: DataFrame, patterns: list, order: tuple[str, ...], rows_per_b
     )
 
 
-def pack(docs: DataFrame, max_length: int = 1024, digest: dict[str, Column] | None = None, **tokenizer) -> DataFrame:
+def pack(docs: DataFrame, max_length: int = 1024, digest: dict[str, Callable[[Column], Column]] | None = None, **tokenizer) -> DataFrame:
     """Pieces of documents with their place: doc_id, n_tokens, start, length, ids, sequence_id, offset.
 
     Every id of every document lies in one piece; sequences hold max_length ids at most and pieces fill them from 0
-    without gaps. digest: columns to compute from a piece in place of carrying its ids through the exchange. Null and
+    without gaps. digest: columns to compute from a piece's ids instead of carrying these through the exchange. Null and
     empty texts are documents of one (end) id; an empty table gives an empty result.
     """
     tokens = materialize(tokenize(docs, **tokenizer), "tokens")
@@ -206,7 +211,4 @@ def pack(docs: DataFrame, max_length: int = 1024, digest: dict[str, Column] | No
         patterns = shortest_pack_first(piece_histogram(rests, whole, max_length, rest_cut), max_length)
         if padding_share(patterns, max_length) <= PADDING:
             break
-    pieces = cut(tokens, max_length, rest_cut)
-    if digest:
-        pieces = pieces.withColumns(digest).drop("ids")
-    return assign(pieces, patterns, ("doc_id", "start"))
+    return assign(cut(tokens, max_length, rest_cut, digest), patterns, ("doc_id", "start"))
