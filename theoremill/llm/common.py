@@ -43,3 +43,40 @@ def held_out(doc_id: Column, divisor: int, rest: int) -> Column:
 def lowest(df: DataFrame, key: str, n: int, salt: int = 0) -> DataFrame:
     """The n rows with the lowest keyed hash: a deterministic sample of bounded size (a top-n, no full sort)."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(salt)), F.col(key)).limit(n)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, divisor: int, rest: int, max_chars: int) -> list[tuple[str, int]]:
+    """(text, label) of at most per_class rows per label value 0 and 1, never of held-out rows: a bounded sample.
+
+    Rows are chosen by keyed hash of the id among labels whose id is not held out; of these, texts of up to max_chars
+    characters are fetched (training only; scoring reads whole texts).
+    """
+    fair = labels.where(F.col(label).isin(0, 1) & (remainder(F.col("doc_id"), divisor) != rest)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    chosen = lowest(fair.where("y = 0"), "doc_id", per_class).unionAll(lowest(fair.where("y = 1"), "doc_id", per_class))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")  # at most 2 x per_class ids
+    return [(r["text"], r["y"]) for r in sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"]))]
+
+
+def text_sample(docs: DataFrame, n: int, divisor: int, rest: int, max_chars: int, salt: int = 1) -> list[str]:
+    """At most n whole texts of up to max_chars characters, by keyed hash, never of held-out rows."""
+    ids = lowest(docs.where(remainder(F.col("doc_id"), divisor) != rest).select("doc_id").distinct(), "doc_id", n, salt)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
+    return [r["text"] for r in sorted(texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text").collect(), key=lambda r: (r["doc_id"], r["text"]))]
+
+
+def score_texts(docs: DataFrame, scorer, between) -> DataFrame:
+    """doc_id and score of every whole text; scorer maps the words of many texts to one number each."""
+    import pyarrow as pa
+
+    from theoremill.llm.textbytes import chunks
+
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for a, z, words in chunks(batch.column(1), between):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(scorer(words), pa.float64())], names=["doc_id", "score"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")

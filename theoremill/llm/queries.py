@@ -7,8 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from theoremill.llm import chat, neardup, packing, sharding
-from theoremill.llm.common import table
+from theoremill.llm import chat, langid, neardup, packing, quality, sharding, tiff, toxicity
+from theoremill.llm.common import held_out, table
+
+
+def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return _judged(toxicity.score(docs, model), 0.5)
+
+
+def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    predicted = F.when(F.col("score") >= threshold, 1).otherwise(0)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tiff.store_documents(table(spark, sf_dir, "documents"))
+    return tiff.digests(tiff.read_pages(files, keep=("doc_id", "n_bytes", "media")))
+
+
+def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return _judged(quality.score(docs, model), 0.3)
+
+
+def op8_langid_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
 
 
 def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +104,17 @@ def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pack_spfhp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = packing.pack(table(spark, sf_dir, "documents"), digest={"ids_crc32": F.crc32("ids")})
+    made = packing.pack(table(spark, sf_dir, "documents"), digest={"ids_crc32": F.crc32})
     return made.select("doc_id", "start", "length", "ids_crc32", F.col("n_tokens").alias("doc_tokens"), "sequence_id", "offset")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity_nnpu": op3_toxicity_nnpu,
+    "op4_tiff_pages": op4_tiff_pages,
     "op5_lsh_forest": op5_lsh_forest,
+    "op6_quality_mil": op6_quality_mil,
     "op7_chat_fsm": op7_chat_fsm,
+    "op8_langid_bigru": op8_langid_bigru,
     "op9_histogram_sort": op9_histogram_sort,
     "op10_pack_spfhp": op10_pack_spfhp,
 }

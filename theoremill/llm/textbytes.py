@@ -21,6 +21,8 @@ _PLACE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _PLACE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All but letters, digits and bytes of non-ASCII characters.
+NOT_ALNUM = np.array([not (chr(b).isalnum() and b < 128 or b >= 128) for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
@@ -80,8 +82,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def words_in(raw: np.ndarray, offsets: np.ndarray) -> Words:
-    inside = ~SPACE[raw]
+def words_in(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> Words:
+    inside = ~between[raw]
     begins = np.zeros(len(raw) + 1, bool)
     begins[offsets[:-1]] = True  # a text ends words even if the next one begins without white space
     prior = np.concatenate([[False], inside[:-1]]) & ~begins[:-1] if len(raw) else inside
@@ -91,13 +93,13 @@ def words_in(raw: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(raw, LOWER[raw], offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
-    """(from row, to row, words) for runs of rows of about CHUNK_BYTES of text."""
+def chunks(column: pa.Array, between: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
+    """(from row, to row, words) for runs of rows of about CHUNK_BYTES of text; `between` marks the bytes that part words."""
     raw, offsets = text_buffers(column)
     a = 0
     while a < len(column):
         z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1)
-        yield a, z, words_in(raw[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
+        yield a, z, words_in(raw[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], between)
         a = z
 
 
