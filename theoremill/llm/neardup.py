@@ -294,3 +294,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_shi
     out = slim.select("doc_id", "n_shingles", "print").join(classes, ["n_shingles", "print"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each near-duplicate group, all columns kept: the one with the smallest id. Rows that repeat an id
+    are one document; rows with a null id all stay."""
+    kept = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    found = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    return found.dropDuplicates(["doc_id"]).unionAll(docs.where("doc_id is null"))

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from theoremill.llm.common import labelled_sample, remainder, score_texts
+from theoremill.llm.common import labelled_sample, remainder, score_texts, with_scores
 from theoremill.llm.textbytes import SPACE, Words, words_in
 
 #: Bounds of the training sample: texts per label, characters of one text.
@@ -151,3 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, divisor: int = 5, rest: int = 0) -
 def score(docs: DataFrame, model: MilModel) -> DataFrame:
     """doc_id, score (double, 0 to 1: label 1 likelier) of every whole text; null texts score as empty ones."""
     return score_texts(docs, model.score, SPACE)
+
+
+def keep_good(docs: DataFrame, model: MilModel, threshold: float = 0.3) -> DataFrame:
+    """The rows whose text scores at least threshold, all columns kept; a narrow step."""
+    return with_scores(docs.withColumnRenamed("score", "__score"), model.score, SPACE).where(F.col("score") >= threshold).drop("score").withColumnRenamed("__score", "score").select(*docs.columns)

@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from theoremill.llm import chat, langid, neardup, packing, quality, sharding, tiff, toxicity
+from theoremill.llm import chat, decontam, langid, neardup, packing, pii, quality, sharding, tiff, toxicity
 from theoremill.llm.common import held_out, table
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "text", F.coalesce(F.size("pii_spans"), F.lit(0)).cast("long").alias("n_entities"), "pii_spans")
+
+
+def op2_decontam_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "n_covered", "coverage", "n_slots", "changed")
+
+
 def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -109,6 +119,8 @@ def op10_pack_spfhp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
+    "op2_decontam_templates": op2_decontam_templates,
     "op3_toxicity_nnpu": op3_toxicity_nnpu,
     "op4_tiff_pages": op4_tiff_pages,
     "op5_lsh_forest": op5_lsh_forest,

@@ -82,8 +82,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def words_in(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> Words:
+def words_in(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE, joins: bytes = b"") -> Words:
+    """between: marks the bytes that part words; joins: those of them that don't between two digits."""
     inside = ~between[raw]
+    if joins and len(raw) > 2:
+        digit = (raw >= 48) & (raw <= 57)
+        inside[1:-1] |= np.isin(raw[1:-1], np.frombuffer(joins, np.uint8)) & digit[:-2] & digit[2:]
     begins = np.zeros(len(raw) + 1, bool)
     begins[offsets[:-1]] = True  # a text ends words even if the next one begins without white space
     prior = np.concatenate([[False], inside[:-1]]) & ~begins[:-1] if len(raw) else inside
@@ -93,13 +97,13 @@ def words_in(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE)
     return Words(raw, LOWER[raw], offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def chunks(column: pa.Array, between: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
+def chunks(column: pa.Array, between: np.ndarray = SPACE, joins: bytes = b"") -> Iterator[tuple[int, int, Words]]:
     """(from row, to row, words) for runs of rows of about CHUNK_BYTES of text; `between` marks the bytes that part words."""
     raw, offsets = text_buffers(column)
     a = 0
     while a < len(column):
         z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1)
-        yield a, z, words_in(raw[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], between)
+        yield a, z, words_in(raw[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], between, joins)
         a = z
 
 
