@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from theoremill.plans import queries_graph
+from theoremill.plans import queries_graph, queries_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for module in (queries_graph,):
+for module in (queries_graph, queries_trees):
     QUERIES.update(module.Q)
     SQL.update(module.SQL)
