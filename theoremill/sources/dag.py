@@ -23,7 +23,7 @@ def read_dag(spark: SparkSession, path: str) -> DataFrame:
     """One row per node: file, pos, node_id, node_type, description, child_ids, root (the first row)."""
     lines = _files(spark, path).select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line")).where("pos > 0 and length(line) > 0")
     c = F.split("line", "\t")
-    return lines.select("file", "pos", c[0].cast("bigint").alias("node_id"), c[1].alias("node_type"), c[2].alias("description"), F.array_distinct(F.from_json(c[3], "array<bigint>")).alias("child_ids"), (F.col("pos") == 1).alias("root"))
+    return lines.select("file", "pos", F.get(c, F.lit(0)).cast("bigint").alias("node_id"), F.get(c, F.lit(1)).alias("node_type"), F.get(c, F.lit(2)).alias("description"), F.array_distinct(F.from_json(F.get(c, F.lit(3)), "array<bigint>")).alias("child_ids"), (F.col("pos") == 1).alias("root"))
 
 
 def edges_of(nodes: DataFrame) -> DataFrame:
@@ -63,16 +63,16 @@ def read_dag_text(spark: SparkSession, path: str) -> DataFrame:
     """Read what write_dag wrote: entry and the node columns. Each entry's text begins with the header."""
     lines = spark.read.text(path, wholetext=True).select("entry", F.posexplode(F.split("value", "\n")).alias("pos", "line")).where("pos > 0 and length(line) > 0")
     c = F.split("line", "\t")
-    return lines.select(F.col("entry").cast("string").alias("entry"), "pos", c[0].cast("bigint").alias("node_id"), c[1].alias("node_type"), c[2].alias("description"), F.from_json(c[3], "array<bigint>").alias("child_ids"))
+    return lines.select(F.col("entry").cast("string").alias("entry"), "pos", F.get(c, F.lit(0)).cast("bigint").alias("node_id"), F.get(c, F.lit(1)).alias("node_type"), F.get(c, F.lit(2)).alias("description"), F.from_json(F.get(c, F.lit(3)), "array<bigint>").alias("child_ids"))
 
 
 def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes: id, properties), (links: src, dst, edge_type, properties)."""
     c = F.split("value", "\t")
     lines = spark.read.text(path).where("length(value) > 0")
-    prop = lambda i: F.from_json(F.trim(c[i]), "map<string,string>")
-    nodes = lines.where(F.col("value").startswith("node")).select(F.trim(c[1]).alias("id"), prop(2).alias("properties"))
-    links = lines.where(~F.col("value").startswith("node")).select(F.trim(c[1]).alias("src"), F.trim(c[2]).alias("dst"), F.trim(c[3]).alias("edge_type"), prop(4).alias("properties"))
+    prop = lambda i: F.from_json(F.trim(F.get(c, F.lit(i))), "map<string,string>")
+    nodes = lines.where(F.col("value").startswith("node")).select(F.trim(F.get(c, F.lit(1))).alias("id"), prop(2).alias("properties"))
+    links = lines.where(~F.col("value").startswith("node")).select(F.trim(F.get(c, F.lit(1))).alias("src"), F.trim(F.get(c, F.lit(2))).alias("dst"), F.trim(F.get(c, F.lit(3))).alias("edge_type"), prop(4).alias("properties"))
     return nodes, links
 
 
@@ -112,7 +112,7 @@ def load_library(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFr
     elif there(f"{directory}/entries.zip"):
         lines = unzip_entries(spark, f"{directory}/entries.zip").select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line")).where("pos > 0 and length(line) > 0")
         c = F.split("line", "\t")
-        nodes = lines.select("file", "pos", c[0].cast("bigint").alias("node_id"), c[1].alias("node_type"), c[2].alias("description"), F.array_distinct(F.from_json(c[3], "array<bigint>")).alias("child_ids"), (F.col("pos") == 1).alias("root"))
+        nodes = lines.select("file", "pos", F.get(c, F.lit(0)).cast("bigint").alias("node_id"), F.get(c, F.lit(1)).alias("node_type"), F.get(c, F.lit(2)).alias("description"), F.array_distinct(F.from_json(F.get(c, F.lit(3)), "array<bigint>")).alias("child_ids"), (F.col("pos") == 1).alias("root"))
     if there(f"{directory}/network.csv"):
         return nodes, *read_network(spark, f"{directory}/network.csv")
     return nodes, spark.createDataFrame([], "id string, properties map<string,string>"), spark.createDataFrame([], "src string, dst string, edge_type string, properties map<string,string>")

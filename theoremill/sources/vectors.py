@@ -37,7 +37,7 @@ def read_words(spark: SparkSession, path: str, separator: str = " ") -> DataFram
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """Word, cnt from TAB separated lines after the header; a plain word counts 1."""
     c = F.split("value", "\t")
-    return spark.read.text(path).where("length(value) > 0 and value <> 'WORD\tCOUNT'").select(c[0].alias("word"), F.coalesce(F.try_element_at(c, F.lit(2)).cast("bigint"), F.lit(1)).alias("cnt"))
+    return spark.read.text(path).where("length(value) > 0 and value <> 'WORD\tCOUNT'").select(F.get(c, F.lit(0)).alias("word"), F.coalesce(F.try_element_at(c, F.lit(2)).cast("bigint"), F.lit(1)).alias("cnt"))
 
 
 def write_vocabulary(counts: DataFrame, path: str, forbidden: DataFrame | None = None) -> None:
@@ -51,7 +51,7 @@ def read_translations(spark: SparkSession, path: str) -> DataFrame:
     """Word, pos, part, weight from `word;count;cum;part...[;weight...]`. There are weights if the last field is a
     number strictly between 0 and 1, else all are equal."""
     c = F.transform(F.split("value", ";"), lambda x: F.trim(x))
-    rows = spark.read.text(path).where("length(value) > 0").select(c[0].alias("word"), F.filter(F.slice(c, F.lit(4), F.greatest(F.size(c) - 3, F.lit(0))), lambda x: x != "").alias("rest"))
+    rows = spark.read.text(path).where("length(value) > 0").select(F.get(c, F.lit(0)).alias("word"), F.filter(F.slice(c, F.lit(4), F.greatest(F.size(c) - 3, F.lit(0))), lambda x: x != "").alias("rest"))
     last = F.try_element_at("rest", F.lit(-1)).try_cast("double")
     weighted = F.coalesce((last > 0) & (last < 1), F.lit(False))
     n = F.when(weighted, F.floor(F.size("rest") / 2)).otherwise(F.size("rest")).cast("int")
