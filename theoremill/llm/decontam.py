@@ -53,8 +53,8 @@ _UPPER = np.isin(np.arange(256), np.arange(65, 91))
 def templates(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template hash, value hash, slot flag) of every word.
 
-    Number: starts with a digit. Unit: listed. Name: capital first letter but not a second one, and not the first word
-    of a sentence or line. All else is literal, lowered.
+    Number: starts with a digit. Unit: listed. Name: a capital letter and then a small one, and not the first word of a
+    sentence or line. All else is literal, lowered.
     """
     low = words.data.copy()  # capital letters of Latin-1 are lowered too: C3 80-9E to C3 A0-BE
     low[1:][(low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)] += 0x20
@@ -62,10 +62,12 @@ def templates(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     value = words.hashes()
     if not len(value):
         return value, value, np.zeros(0, bool)
-    first = words.raw[words.starts]
-    second = words.raw[np.minimum(words.starts + 1, len(words.raw) - 1)]
-    wide = (first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)  # capital letters of Latin-1
-    capital = wide | (_UPPER[first] & ~(_UPPER[second] & (words.ends - words.starts > 1)))
+    byte = lambda at: words.raw[np.minimum(at, len(words.raw) - 1)]
+    wide_at = lambda at: (byte(at) == 0xC3) & (byte(at + 1) >= 0x80) & (byte(at + 1) <= 0x9E) & (byte(at + 1) != 0x97)  # noqa: E731  capital letters of Latin-1
+    upper_at = lambda at: _UPPER[byte(at)] | wide_at(at)
+    first = byte(words.starts)
+    following = words.starts + np.where(wide_at(words.starts), 2, 1)
+    capital = upper_at(words.starts) & (following < words.ends) & ~upper_at(following)
     stops = np.concatenate([[0], np.cumsum(_ENDS[words.raw])])
     begins = np.ones(len(value), bool)
     begins[1:] = stops[words.starts[1:]] > stops[words.ends[:-1]]
