@@ -136,6 +136,7 @@ def graph_checks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(origin, node) pairs reached along src -> dst, start included; start: origin, node. Works on cyclic graphs: only
     new pairs are followed."""
+    edges = materialize(edges.select("src", "dst").distinct(), "reach-edges")
     seen = front = materialize(start.select("origin", "node").distinct(), "reach")
     for _ in range(max_rounds):
         new = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("origin", F.col("dst").alias("node")).distinct()

@@ -9,6 +9,7 @@ from theoremill.functions import names as N
 from theoremill.operators import graph as K
 from theoremill.operators import stats as G
 from theoremill.plans.projection import Library
+from theoremill.plans.scratch import materialize
 from theoremill.plans.sql import library
 
 Q, SQL = {}, {}
@@ -89,23 +90,25 @@ def helper_owner(lib: Library) -> DataFrame:
     return K.helper_owners(lib.helper_edges(), lib.helper_order())
 
 
-def _roots(lib: Library) -> DataFrame:
-    return K.helper_roots(K.helper_owners(lib.helper_edges(), lib.helper_order()))
+def _helpers(lib: Library) -> tuple[DataFrame, DataFrame]:
+    """The library's edges with helpers, and each helper's root; both are written once, as several steps read them."""
+    edges = materialize(lib.helper_edges(), "helper-edges")
+    return edges, K.helper_roots(K.helper_owners(edges, lib.helper_order()))
 
 
 @register("helper_root", library("SELECT helper, root FROM owners"))
 def helper_root(lib: Library) -> DataFrame:
-    return _roots(lib)
+    return _helpers(lib)[1]
 
 
 @register("helper_total_weight", library("SELECT helper, 'REFERENCE_BODY_TO_WITH' AS edge_type, 1::BIGINT AS tw FROM owners"))
 def helper_total_weight(lib: Library) -> DataFrame:
-    return K.helper_total_weights(lib.helper_edges(), _roots(lib))
+    return K.helper_total_weights(*_helpers(lib))
 
 
 @register("helper_lift", library("SELECT * FROM body"))
 def helper_lift(lib: Library) -> DataFrame:
-    edges, roots = lib.helper_edges(), _roots(lib)
+    edges, roots = _helpers(lib)
     return K.lift_from_helpers(edges, roots, K.helper_total_weights(edges, roots))
 
 
@@ -115,7 +118,7 @@ def cross_helper_lift(lib: Library) -> DataFrame:
     h = lib.order_helpers()
     cross = lib.named(rows, "l_suppkey", lib.suppliers(), "src").join(h.select("o_orderkey", F.col("first").alias("dst")), "o_orderkey").select("src", "dst", F.lit(N.BODY + N.TO_WITH).alias("edge_type"), "w")
     own = h.select(F.col("customer").alias("src"), F.col("first").alias("dst"), F.lit(N.BODY + N.TO_WITH).alias("edge_type"), F.lit(1).cast("bigint").alias("w"))
-    return K.lift_cross_references(cross.unionAll(own), _roots(lib))
+    return K.lift_cross_references(cross.unionAll(own), _helpers(lib)[1])
 
 
 @register("rewrite_lift", library("SELECT c.id AS src, p.id AS dst, 'REFERENCE_BODY' AS edge_type, count(*)::BIGINT AS w FROM sold JOIN cust c ON o_custkey = c.key JOIN parts p ON l_partkey = p.key WHERE o_orderstatus = 'F' GROUP BY 1, 2"))
@@ -150,19 +153,19 @@ _DEG = """deg AS (SELECT n.id, coalesce(i.d, 0)::DOUBLE AS in_degree, coalesce(o
 
 @register("degrees", library("SELECT * FROM deg", _NODES, _DEG))
 def degrees(lib: Library) -> DataFrame:
-    edges = lib.edges()
+    edges = materialize(lib.edges(), "edges")
     return G.degrees(G.nodes_of(edges), edges)
 
 
 @register("graph_shape", library("SELECT round((max(degree) * count(*) - sum(degree)) / ((SELECT max(coalesce(w, 1)) FROM edges) * (count(*) - 1) * (count(*) - 2)), 6) AS star_shape_level, round(sum(degree * degree) / sum(degree), 6) AS tendency_to_make_hub FROM deg", _NODES, _DEG))
 def graph_shape(lib: Library) -> DataFrame:
-    edges = lib.edges()
+    edges = materialize(lib.edges(), "edges")
     return G.shape(G.nodes_of(edges), edges).select(F.round("star_shape_level", 6).alias("star_shape_level"), F.round("tendency_to_make_hub", 6).alias("tendency_to_make_hub"))
 
 
 @register("weak_components")
 def weak_components(lib: Library) -> DataFrame:
-    edges = lib.edges()
+    edges = materialize(lib.edges(), "edges")
     return G.weak_components(G.nodes_of(edges), edges).groupBy("component").agg(F.count("*").alias("size"))
 
 
@@ -177,7 +180,7 @@ SQL["weak_components"] = library(
 
 @register("pagerank_10", None)
 def pagerank_10(lib: Library) -> DataFrame:
-    edges = lib.references()
+    edges = materialize(lib.references(), "edges")
     return G.pagerank(G.nodes_of(edges), edges, rounds=10, tolerance=0).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 

@@ -127,7 +127,7 @@ un AS (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY src, dst, edge_ty
 
 @register("undirected_tfidf_weights", library("SELECT u, v, round(sum(CASE WHEN nth > 1 THEN w ELSE 0 END) + sum(w * li), 6) AS w FROM un GROUP BY u, v", _UND))
 def undirected_tfidf_weights(lib: Library) -> DataFrame:
-    return E.undirected_weights(lib.edges()).select("u", "v", F.round("w", 6).alias("w"))
+    return E.undirected_weights(materialize(lib.edges(), "edges")).select("u", "v", F.round("w", 6).alias("w"))
 
 
 _PAIRS = "vp AS (SELECT a.id AS src, b.id AS dst, a.f AS fa, b.f AS fb, (a.label = b.label)::INT AS truth FROM vec a JOIN vec b ON b.id BETWEEN a.id + 1 AND a.id + 20)"
@@ -232,7 +232,7 @@ def analogy(lib: Library) -> DataFrame:
 @register("popularity", library(f"""SELECT id, in_degree, round(CASE WHEN id = (SELECT id FROM pd ORDER BY in_degree DESC, id LIMIT 1) THEN 0.75 ELSE 0.25 + 0.25 * {_HEX.format("'12345:' || id")}::DOUBLE / 4294967296 END, 9)::DOUBLE AS score FROM pd""",
     "pd AS (SELECT n.id, coalesce(i.d, 0)::DOUBLE AS in_degree FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) n LEFT JOIN (SELECT dst, sum(coalesce(w, 1)) AS d FROM edges GROUP BY dst) i ON i.dst = n.id)"))
 def popularity(lib: Library) -> DataFrame:
-    edges = lib.edges()
+    edges = materialize(lib.edges(), "edges")
     return R.popularity(edges, G.nodes_of(edges)).select("id", "in_degree", F.round("score", 9).alias("score"))
 
 
@@ -248,8 +248,8 @@ def _two_hops_sql(mine: str, other: str, path: str) -> str:
 
 
 def _two_hops(lib: Library, edge_weights: str) -> DataFrame:
-    edges = lib.edges()
-    queries = lib.customers().where("key % 20 = 0").select("id").join(lib.references().select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+    edges = materialize(lib.edges(), "edges")
+    queries = lib.customers().where("key % 20 = 0").select("id").join(edges.where(N.edge_type_is_reference(F.col("edge_type"))).select(F.col("src").alias("id")).distinct(), "id", "left_semi")
     return R.two_hops(queries, edges, G.nodes_of(edges), 5, edge_weights).select("query", "candidate", F.round("score", 6).alias("score"), "rank")
 
 
@@ -323,8 +323,9 @@ fr AS (SELECT pb.src, ring.dst, n, row_number() OVER (PARTITION BY pb.src ORDER
 @register("negative_sample", library("SELECT src, dst FROM fr WHERE nth <= n", _SPLIT, _PRUNE, _NEG.replace("FROM pb JOIN ring ON place = (start + step) % total ANTI JOIN body ON body.src = pb.src AND body.dst = ring.dst", "FROM pb JOIN ring ON place = (start + step) % total WHERE NOT EXISTS (SELECT 1 FROM body WHERE body.src = pb.src AND body.dst = ring.dst)"), recursive=True))
 def negative_sample(lib: Library) -> DataFrame:
     test = _split(lib).where("split = 'test'").select(F.col("id").alias("src"))
-    wanted = _pruned(lib).where("removed").join(test, "src", "left_semi").groupBy("src").agg(F.count("*").alias("n"))
-    return P.sample_negatives(wanted, lib.definitions().select(F.col("def_id").alias("id")), lib.body_references())
+    body = materialize(lib.body_references(), "body")
+    wanted = P.prune_references(body, 0.1).where("removed").join(test, "src", "left_semi").groupBy("src").agg(F.count("*").alias("n"))
+    return P.sample_negatives(wanted, lib.definitions().select(F.col("def_id").alias("id")), body)
 
 
 # ---- evaluation
