@@ -138,27 +138,36 @@ def concatenate(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.where(ok).select("id", F.concat("fa", "fb").alias("features"))
 
 
-def random_walks(edges: DataFrame, n_walks: int = 100, length: int = 100, seed: int = 1234) -> DataFrame:
-    """Walk (start, nth), step, node: weighted random walks on undirected edges (u, v, w), one join per step.
+def random_walks(edges: DataFrame, n_walks: int = 100, length: int = 100, seed: int = 1234, p: float = 1.0, q: float = 1.0) -> DataFrame:
+    """Walk (start, nth), step, node: weighted random walks on undirected edges (u, v, w), one join per step.
 
-    Each node's neighbours stand on [0, 1) by cumulated weight; a walk draws a hashed number and joins the neighbour
-    whose interval holds it, so no task holds the graph."""
+    With p = q = 1 each node's neighbours stand on [0, 1) by cumulated weight; a walk draws a hashed number and joins
+    the neighbour whose interval holds it. Else the weight of a step back is divided by p and that of a step to a node
+    which the previous one isn't linked with by q, and the neighbour with the least hashed exponential wins. No task
+    holds the graph."""
     from pyspark.sql import Window
 
     both = edges.select(F.col("u").alias("at"), F.col("v").alias("to"), "w").unionAll(edges.where("u <> v").select("v", "u", "w")).where("w > 0")
     order = Window.partitionBy("at").orderBy("to")
     total = Window.partitionBy("at")
-    cum = materialize(both.select("at", "to", (F.sum("w").over(order) / F.sum("w").over(total)).alias("high"), ((F.sum("w").over(order) - F.col("w")) / F.sum("w").over(total)).alias("low")), "steps")
-    walks = cum.select("at").distinct().select(F.col("at").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))).alias("nth"), F.col("at").alias("node"), F.lit(0).alias("step"))
-    front, every = materialize(walks, "walks"), None
+    cum = materialize(both.select("at", "to", "w", (F.sum("w").over(order) / F.sum("w").over(total)).alias("high"), ((F.sum("w").over(order) - F.col("w")) / F.sum("w").over(total)).alias("low")), "steps")
+    start = cum.select("at").distinct().select(F.col("at").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))).alias("nth"), F.col("at").alias("node"), F.lit(None).cast(cum.schema["at"].dataType).alias("before"), F.lit(0).alias("step"))
+    front = materialize(start, "walks")
     every = front
+    drawn = lambda i, *more: (F.conv(F.substring(N.hash_order(seed, F.col("start").cast("string"), F.col("nth").cast("string"), F.lit(str(i)), *more), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
     for i in range(1, length):
-        draw = F.conv(F.substring(N.hash_order(seed, F.col("start").cast("string"), F.col("nth").cast("string"), F.lit(str(i))), 1, 8), 16, 10).cast("double") / 4294967296.0
-        drawn = front.withColumn("x", draw)
-        hit = drawn.join(cum, (F.col("node") == F.col("at")) & (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
-        front = materialize(hit.select("start", "nth", F.col("to").alias("node"), F.lit(i).alias("step")), "walks")
-        every = every.unionAll(front)
-    return every
+        if p == q == 1:
+            hit = front.withColumn("x", drawn(i)).join(cum, (F.col("node") == F.col("at")) & (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
+            moved = hit.select("start", "nth", F.col("to").alias("node"), F.col("node").alias("before"))
+        else:
+            near = cum.select(F.col("at").alias("before"), F.col("to").alias("to"), F.lit(True).alias("linked"))
+            options = front.join(cum.select("at", "to", "w"), F.col("node") == F.col("at")).join(near, ["before", "to"], "left")
+            weight = F.col("w") * F.when(F.col("before").isNull(), 1.0).when(F.col("to") == F.col("before"), 1.0 / p).when(F.col("linked"), 1.0).otherwise(1.0 / q)
+            raced = options.withColumn("race", -F.log(drawn(i, F.col("to").cast("string"))) / weight)
+            moved = raced.groupBy("start", "nth", F.col("node").alias("was")).agg(F.min_by("to", F.struct("race", "to")).alias("node")).select("start", "nth", "node", F.col("was").alias("before"))
+        front = materialize(moved.withColumn("step", F.lit(i)), "walks")
+        every = every.unionAll(front.select(*every.columns))
+    return every.select("start", "nth", "step", "node")
 
 
 def node_vectors(walks: DataFrame, size: int = 64, window: int = 5, epochs: int = 10, seed: int = 1) -> DataFrame:

@@ -200,6 +200,17 @@ class EdgeModelRecommender(Recommender):
         self.model = RandomForestClassifier(numTrees=self.trees, maxDepth=self.depth, seed=self.seed, featureSubsetStrategy="all").fit(self._assembled(labelled))
         return self
 
+    def knn_votes(self, pairs: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
+        """R13, the other classifier: share of positives among the k training edges nearest to each pair (src, dst)."""
+        labelled = dataset.classifier_edges(self.edges, self.nodes.select("id"))
+        key = F.concat_ws("\x1f", "src", "dst").alias("id")
+        train = features.edge_features(labelled, self.vectors, self.scheme)
+        asked = features.edge_features(pairs.select("src", "dst"), self.vectors, self.scheme)
+        found = search.vector_knn(asked.select(key, "features"), train.select(key, "features"), k, metric)
+        votes = found.join(labelled.select(key.alias("candidate"), "label"), "candidate").groupBy("query").agg(F.avg("label").alias("score"))
+        parts = F.split("query", "\x1f")
+        return votes.select(parts[0].alias("src"), parts[1].alias("dst"), "score")
+
     def score_edges(self, pairs: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 

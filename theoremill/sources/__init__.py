@@ -1 +1 @@
-
+"""File formats in and out."""

@@ -92,3 +92,14 @@ def read_binary_vectors(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([word]), pa.array([vec.tolist()], pa.list_(pa.float64()))], names=["word", "vec"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "word string, vec array<double>")
+
+
+def vector_vocabulary(spark: SparkSession, path: str, tolerated: int = 10) -> DataFrame:
+    """Words of a text vector file: what stands before a blank or TAB and a number; more than `tolerated` lines of
+    another form are an error."""
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\d+ \d+$") & (F.length("value") > 0))
+    word = F.regexp_extract("value", r"^(\S+)[ \t]-?\d", 1)
+    bad = lines.where(word == "").limit(tolerated + 1).count()
+    if bad > tolerated:
+        raise ValueError("this is no vector file")
+    return lines.select(word.alias("word")).where("word <> ''")
