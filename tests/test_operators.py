@@ -254,3 +254,29 @@ def test_recommenders(spark):
     assert rows(recommend.TwoHopsRecommender(3).fit(nodes, edges).predict_edges(pairs), "dst", "score")[1] == ("x", 0.0)
     with pytest.raises(ValueError):
         recommend.TwoHopsRecommender(0)
+
+
+def test_embedding_probe(spark):
+    v = spark.createDataFrame([("Cat", [1.0, 0.0]), ("cat", [1.0, 1.0]), ("king", [2.0, 0.0]), ("man", [1.0, 0.0]), ("woman", [1.0, 3.0]), ("queen", [2.0, 3.0])], "word string, vec array<double>")
+    groups = features.case_variants(v)
+    assert rows(groups, "lower", "size") == [("cat", 2)]
+    assert rows(features.group_distances(groups, v, "cityblock"), "a", "b", "distance") == [("Cat", "cat", 0.5)]
+    assert features.random_pair_distances(v, 3).count() == 3
+    quads = spark.createDataFrame([("q", "king", "man", "woman")], "query string, x0 string, y0 string, y1 string")
+    assert features.analogies(quads, v, 1, "cityblock").first()["candidate"] == "queen"
+    sample = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "x double")
+    assert features.quantile_of(sample, spark.createDataFrame([(3.0,)], "value double")).first()["quantile"] == 0.5
+
+
+def test_pretty_text(spark):
+    n = sexp.parse_nodes(spark.createDataFrame([("e", "(:entry (:name a) (:type (:apply)))")], "entry string, text string"))
+    assert trees.pretty(n, 2).first()["text"] == "(:entry )\n  (:name a)\n  (:type )"
+    assert trees.full_text(n).first()["text"] == "(:entry  (:name a) (:type  (:apply )))"
+
+
+def test_vector_vocabulary(spark, tmp_path):
+    (tmp_path / "v").write_text("2 2\na 1 2\nb\t-3\n")
+    assert rows(vectors.vector_vocabulary(spark, str(tmp_path / "v")), "word") == [("a",), ("b",)]
+    (tmp_path / "w").write_text("\n".join(["nonsense"] * 20))
+    with pytest.raises(ValueError):
+        vectors.vector_vocabulary(spark, str(tmp_path / "w"))

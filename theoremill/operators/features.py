@@ -104,6 +104,44 @@ def case_variants(words: DataFrame, n: int = 100) -> DataFrame:
     return words.groupBy(F.lower("word").alias("lower")).agg(F.sort_array(F.collect_set("word")).alias("words")).select("lower", "words", F.size("words").alias("size")).where("size > 1").orderBy(F.desc("size"), "lower").limit(n)
 
 
+def pair_distance(a: Column, b: Column, metric: str) -> Column:
+    """M3 as a native expression: mean absolute difference (cityblock) or 1 - cosine (null with a zero vector)."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    dot = lambda x, y: total(F.zip_with(x, y, lambda u, v: u * v))
+    if metric == "cosine":
+        return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
+    return total(F.zip_with(a, b, lambda u, v: F.abs(u - v))) / F.size(a)
+
+
+def group_distances(groups: DataFrame, vectors: DataFrame, metric: str = "cosine") -> DataFrame:
+    """Lower, a, b, distance for the pairs of words in each group of case variants (groups are as small as the ways
+    to write a word). groups: lower, words; vectors: word, vec."""
+    words = groups.select("lower", F.explode("words").alias("a"), "words").select("lower", "a", F.explode("words").alias("b")).where("a < b")
+    side = lambda c: vectors.select(F.col("word").alias(c), F.col("vec").alias(f"v{c}"))
+    return words.join(side("a"), "a").join(side("b"), "b").select("lower", "a", "b", pair_distance(F.col("va"), F.col("vb"), metric).alias("distance"))
+
+
+def random_pair_distances(vectors: DataFrame, n: int = 1000, metric: str = "cosine", seed: int = 1) -> DataFrame:
+    """A, b, distance of about n random pairs: the words with the lowest hashes, each with the next one."""
+    from pyspark.sql import Window
+
+    some = vectors.withColumn("h", N.hash_order(seed, F.col("word"))).orderBy("h", "word").limit(n + 1)  # n + 1 rows
+    w = Window.orderBy("h", "word")
+    pairs = some.select(F.col("word").alias("a"), F.col("vec").alias("va"), F.lead("word").over(w).alias("b"), F.lead("vec").over(w).alias("vb")).where("b is not null")
+    return pairs.select("a", "b", pair_distance(F.col("va"), F.col("vb"), metric).alias("distance"))
+
+
+def analogies(quads: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
+    """Query, candidate, error, rank: the k words nearest to x0 - y0 + y1. quads: query, x0, y0, y1."""
+    from theoremill.operators.search import nearest_targets
+
+    side = lambda c: vectors.select(F.col("word").alias(c), F.col("vec").alias(f"v{c}"))
+    full = quads.join(side("x0"), "x0").join(side("y0"), "y0").join(side("y1"), "y1")
+    minus = F.zip_with("vx0", "vy0", lambda u, v: u - v)
+    targets = full.select("query", F.zip_with(minus, "vy1", lambda u, v: u + v).alias("target"), F.col("vx0").alias("own"))
+    return nearest_targets(targets, vectors.select(F.col("word").alias("id"), F.col("vec").alias("features")), k, 0.0, metric)
+
+
 def undirected_weights(edges: DataFrame) -> DataFrame:
     """U, v (u <= v), w. Over normal edges in order of (src, dst, edge_type): the first of a pair starts it at 0,
     later ones add their weight; then every edge adds w * log2(idf(target)), a node's targets (round(w) times each)
