@@ -18,9 +18,11 @@ def merge_edges(edges: DataFrame) -> DataFrame:
 
 
 def reference_edges(references: DataFrame) -> DataFrame:
-    """K5: references (src, dst, section in TYPE or BODY, one row per occurrence) as weighted edges."""
+    """K5: references (src, dst, section in TYPE or BODY) as weighted edges; a row is one occurrence, or n of them where
+    there is a column n (so that occurrences can be counted by short keys before names are joined)."""
     section = F.concat(F.lit("REFERENCE_"), F.col("section"))
-    return merge_edges(references.select("src", "dst", N.reference_type(section, F.col("dst")).alias("edge_type"), F.lit(1).cast("bigint").alias("w")))
+    w = F.col("n") if "n" in references.columns else F.lit(1)
+    return merge_edges(references.select("src", "dst", N.reference_type(section, F.col("dst")).alias("edge_type"), w.cast("bigint").alias("w")))
 
 
 def upsert_nodes(candidates: DataFrame) -> DataFrame:

@@ -29,9 +29,10 @@ def register(name: str, sql: str | None = None):
 def edge_merge(lib: Library) -> DataFrame:
     sold = lib.sold()
     rows = sold.select("o_custkey", F.inline(F.array(F.struct(F.col("l_partkey").alias("key"), F.lit("BODY").alias("section")), F.struct(F.col("l_suppkey").alias("key"), F.lit("TYPE").alias("section")))))
-    named = lib.named(rows, "o_custkey", lib.customers(), "src")
+    counted = rows.groupBy("o_custkey", "key", "section").agg(F.count("*").alias("n"))
+    named = lib.named(counted, "o_custkey", lib.customers(), "src")
     target = lib.parts().select("key", "id", F.lit("BODY").alias("section")).unionAll(lib.suppliers().select("key", "id", F.lit("TYPE").alias("section")))
-    return K.reference_edges(named.join(target.withColumnRenamed("id", "dst"), ["key", "section"]).select("src", "dst", "section"))
+    return K.reference_edges(named.join(target.withColumnRenamed("id", "dst"), ["key", "section"]).select("src", "dst", "section", "n"))
 
 
 @register("node_upsert", library("SELECT id, arg_min(label, (ord, label)) AS label FROM (SELECT def_id AS id, def_type AS label, ord FROM defs UNION ALL SELECT def_id, ':external', ord + 1 FROM defs) GROUP BY id"))
