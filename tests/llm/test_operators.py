@@ -452,3 +452,27 @@ def test_packing_odd_rows(spark, odd_docs, no_docs):
             at += length
         assert at <= 1024
     assert packing.pack(no_docs).count() == 0
+
+
+# ---- samples
+
+
+def test_lowest_is_the_same_with_and_without_its_bound(spark):
+    from theoremill.llm.common import lowest
+
+    ids = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    want = [r[0] for r in ids.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(40).collect()]
+    assert sorted(r[0] for r in lowest(ids.unionAll(ids), "doc_id", 40, 3).collect()) == sorted(want)
+    assert sorted(r[0] for r in lowest(ids, "doc_id", 40, 3, total=100).collect()) == sorted(want)
+    assert lowest(ids.limit(0), "doc_id", 40).count() == 0
+
+
+def test_labels_of_held_out_rows_are_never_used(spark):
+    from theoremill.llm.common import labelled_sample, text_sample
+
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    out = {f"text {i}" for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0}
+    got = labelled_sample(docs, labels, "quality", 500, 5, 0, 1000)
+    assert {t for t, _ in got} == {f"text {i}" for i in range(200)} - out and all(int(t.split()[1]) % 2 == y for t, y in got)
+    assert not out & set(text_sample(docs, 500, 5, 0, 1000))

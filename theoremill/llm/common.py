@@ -40,9 +40,17 @@ def held_out(doc_id: Column, divisor: int, rest: int) -> Column:
     return F.coalesce(remainder(doc_id, divisor) == rest, F.lit(False))
 
 
-def lowest(df: DataFrame, key: str, n: int, salt: int = 0) -> DataFrame:
-    """The n rows with the lowest keyed hash: a deterministic sample of bounded size (a top-n, no full sort)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(salt)), F.col(key)).limit(n)
+def lowest(df: DataFrame, key: str, n: int, salt: int = 0, total: int | None = None) -> DataFrame:
+    """The n rows with the lowest keyed hash, repeated rows once: a deterministic sample of bounded size.
+
+    Where there are many more rows, a bound on the hash lets about 4 n of them into the top-n, so that it is the same
+    small step at any size. total: number of rows, counted if not given.
+    """
+    h = F.xxhash64(F.col(key), F.lit(salt))
+    total = df.count() if total is None else total
+    if total > 8 * n:
+        df = df.where(h < -(2**63) + 2**64 * 4 * n // total)
+    return df.distinct().orderBy(h, F.col(key)).limit(n)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, divisor: int, rest: int, max_chars: int) -> list[tuple[str, int]]:
@@ -60,7 +68,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 def text_sample(docs: DataFrame, n: int, divisor: int, rest: int, max_chars: int, salt: int = 1) -> list[str]:
     """At most n whole texts of up to max_chars characters, by keyed hash, never of held-out rows."""
-    ids = lowest(docs.where(remainder(F.col("doc_id"), divisor) != rest).select("doc_id").distinct(), "doc_id", n, salt)
+    ids = lowest(docs.where(remainder(F.col("doc_id"), divisor) != rest).select("doc_id"), "doc_id", n, salt)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
     return [r["text"] for r in sorted(texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text").collect(), key=lambda r: (r["doc_id"], r["text"]))]
 

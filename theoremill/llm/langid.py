@@ -212,15 +212,16 @@ def fit(texts: list[str], languages: list[str], hidden: int = HIDDEN, steps: int
 
 def train(docs: DataFrame, divisor: int = 3, rest: int = 1) -> LanguageModel:
     """Fit from text and lang of rows that are not held out: per language a bounded sample by keyed hash of the id."""
-    fair = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), divisor) != rest))
-    names = [r[0] for r in fair.select("lang").distinct().orderBy("lang").collect()]  # one row per language
+    fair = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), divisor) != rest))
+    sizes = {r["lang"]: r["count"] for r in fair.groupBy("lang").count().collect()}  # one row per language
     ids = None
-    for name in names:
-        some = lowest(fair.where(F.col("lang") == name).select("doc_id").distinct(), "doc_id", PER_LANGUAGE, 2).withColumn("chosen", F.lit(name))
+    for name in sorted(sizes):
+        some = lowest(fair.where(F.col("lang") == name).select("doc_id"), "doc_id", PER_LANGUAGE, 2, sizes[name]).withColumn("chosen", F.lit(name))
         ids = some if ids is None else ids.unionAll(some)
     if ids is None:
         return fit([], [])
-    found = fair.where(F.length("text") <= MAX_CHARS).select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").where("lang = chosen")
+    texts = fair.where(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS)).select("doc_id", "text", "lang")
+    found = texts.join(F.broadcast(ids), "doc_id").where("lang = chosen")  # at most PER_LANGUAGE ids per language
     rows = sorted(found.select("doc_id", "text", "lang").collect())
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
