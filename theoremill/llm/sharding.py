@@ -100,7 +100,7 @@ def histogram(keyed: DataFrame, probes: list[int]) -> list[tuple[int, int, int,
 
 def find_splitters(keyed: DataFrame, n_ranges: int, tolerance: float) -> tuple[list[Splitter], int, int]:
     """n_ranges - 1 splitters (rows with a key below one lie left of it), total bytes, total rows."""
-    gaps: list[tuple[int, int]] = [(0, 2 ** (8 * KEY_BYTES) - 1)]
+    gaps: dict[tuple[int, int], None] = {(0, 2 ** (8 * KEY_BYTES) - 1): None}
     open_targets = list(range(1, n_ranges))
     found: dict[int, Splitter] = {}
     total = rows = 0
@@ -111,7 +111,7 @@ def find_splitters(keyed: DataFrame, n_ranges: int, tolerance: float) -> tuple[l
         bins = histogram(keyed, probes)
         total, rows = sum(b[1] for b in bins), sum(b[2] for b in bins)
         near = max(1, int(tolerance * total / n_ranges))
-        left, gaps = [], []
+        left, gaps = [], {}
         k = done = done_rows = 0
         for t in open_targets:
             want = total * t // n_ranges
@@ -126,8 +126,7 @@ def find_splitters(keyed: DataFrame, n_ranges: int, tolerance: float) -> tuple[l
                 found[t] = Splitter(low, done, done_rows) if before <= after else Splitter(high + 1, done + size, done_rows + n)
             else:
                 left.append(t)
-                if (low, high) not in gaps:
-                    gaps.append((low, high))
+                gaps[low, high] = None
         open_targets = left
         if not open_targets:
             return [found[t] for t in range(1, n_ranges)], total, rows
