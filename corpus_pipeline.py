@@ -1,6 +1,9 @@
 """Corpus preparation in five stages; each reads what the one before it kept.
 
-Every stage is a function (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of documents.
+Every stage is a function (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of documents, in
+their order, further columns included. Null texts are scored as empty ones, linked with nothing, leak nothing, stay
+null, and are packed as their end id. Rows with a null id are never copies or leaks. Rows that repeat an id are one
+document after near_dedup. Empty tables give empty results.
 """
 
 from __future__ import annotations
