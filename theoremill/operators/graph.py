@@ -56,7 +56,7 @@ def helper_owners(edges: DataFrame, order: DataFrame) -> DataFrame:
 def helper_roots(owners: DataFrame) -> DataFrame:
     """K8: helper, root: owners are followed until one is not a with helper (pointer jumping, so the rounds grow with
     the logarithm of the longest chain). A cycle is an error."""
-    now = owners.select("helper", F.col("owner").alias("root"))
+    now = materialize(owners.select("helper", F.col("owner").alias("root")), "owners")
     for _ in range(MAX_DEPTH.bit_length() + 1):
         up = now.select(F.col("helper").alias("k"), F.col("root").alias("next"))
         step = materialize(now.join(up, F.col("root") == F.col("k"), "left").select("helper", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")

@@ -99,7 +99,7 @@ def _helpers(lib: Library) -> tuple[DataFrame, DataFrame]:
 
 @register("helper_root", library("SELECT helper, root FROM owners"))
 def helper_root(lib: Library) -> DataFrame:
-    return _helpers(lib)[1]
+    return K.helper_roots(K.helper_owners(lib.helper_edges(), lib.helper_order()))
 
 
 @register("helper_total_weight", library("SELECT helper, 'REFERENCE_BODY_TO_WITH' AS edge_type, 1::BIGINT AS tw FROM owners"))
@@ -119,7 +119,7 @@ def cross_helper_lift(lib: Library) -> DataFrame:
     h = lib.order_helpers()
     cross = lib.named(rows, "l_suppkey", lib.suppliers(), "src").join(h.select("o_orderkey", F.col("first").alias("dst")), "o_orderkey").select("src", "dst", F.lit(N.BODY + N.TO_WITH).alias("edge_type"), "w")
     own = h.select(F.col("customer").alias("src"), F.col("first").alias("dst"), F.lit(N.BODY + N.TO_WITH).alias("edge_type"), F.lit(1).cast("bigint").alias("w"))
-    return K.lift_cross_references(cross.unionAll(own), _helpers(lib)[1])
+    return K.lift_cross_references(cross.unionAll(own), K.helper_roots(K.helper_owners(lib.helper_edges(), lib.helper_order())))
 
 
 @register("rewrite_lift", library("SELECT c.id AS src, p.id AS dst, 'REFERENCE_BODY' AS edge_type, count(*)::BIGINT AS w FROM sold JOIN cust c ON o_custkey = c.key JOIN parts p ON l_partkey = p.key WHERE o_orderstatus = 'F' GROUP BY 1, 2"))
