@@ -71,6 +71,24 @@ def test_crowded_region(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def family(rng, each, shared, own, swap):
+    """Texts that share a block of words, and for each a partner that differs from it in a few words."""
+    base, texts = [f"b{i}" for i in range(shared)], {}
+    for i in range(each):
+        tail = [f"t{i}_{rng.randrange(10**6)}" for _ in range(own)]
+        texts[i] = " ".join([*base, *tail])
+        texts[each + i] = " ".join([*base, *tail[: own - swap], *(f"p{i}_{j}" for j in range(swap))])
+    return texts
+
+
+def test_links_between_blocks_of_a_large_group(spark):
+    """Partners at 0.8 in a family at 0.65, spread over several blocks."""
+    texts = family(random.Random(5), 60, 160, 40, 21)
+    want, _ = jaccard_components(texts, 4, 80)
+    got = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 4, 80, block_shingles=2000).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) == 60
+
+
 def test_near_duplicates_odd_rows(spark, odd_docs, no_docs):
     got = neardup.near_duplicates(odd_docs, 4, 80).collect()
     assert len(got) == odd_docs.count()

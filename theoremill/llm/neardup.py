@@ -7,13 +7,12 @@
    form a region; a region that is too large is looked at deeper, as far as the tree goes, while neighbours across the
    deeper regions stay candidates. Within a region, one byte per signature value estimates the similarity, and only a
    spanning set of edges (linear in the rows) leaves it.
-3. Components of these edges are candidate groups. Their texts are fetched once, in blocks of bounded size, and
-   searched breadth-first with exact set intersections: within a block the result is that of comparing all pairs.
-   Between blocks of one large group, candidate edges that join different components are confirmed round by round
-   until none is left.
+3. Components of these edges are candidate groups. Their texts are fetched and searched breadth-first with exact set
+   intersections, so the result is that of comparing all pairs. A group that is too large for one task is dealt in
+   blocks, and each pair of blocks is searched so by a task of its own.
 4. Components over confirmed links only.
 
-Nothing is capped: regions, blocks and rounds only bound what one task holds.
+Nothing is capped: regions and blocks only bound what one task holds.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ TREES, DEPTH, MIN_DEPTH = 12, 6, 2
 VALUES = TREES * DEPTH
 #: Rows of a region that are compared at once, and rows that a sort task holds before it closes a region early.
 REGION_ROWS, HELD_ROWS = 256, 32_768
-#: Shingles of one block of a candidate group.
+#: Shingles of a candidate group that one task searches.
 BLOCK_SHINGLES = 2_000_000
 #: How many standard deviations below the threshold an estimate may lie and still be confirmed exactly.
 SLACK = 6.0
@@ -199,7 +198,7 @@ def link_sets(sets: list[np.ndarray], percent: int) -> list[int]:
 
 
 def _confirm_blocks(size: int, percent: int):
-    """Rows sorted by (cluster, block): for each row the smallest id that it is linked with inside its block."""
+    """Rows sorted by (cluster, pair of blocks): for each row the smallest id that it is linked with inside the pair."""
 
     def close(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         root = link_sets(sets, percent)
@@ -211,9 +210,9 @@ def _confirm_blocks(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets = None, [], []
         for batch in batches:
-            where = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            numbers = batch.column(2).to_pylist()
-            for a, _, words in chunks(batch.column(3)):
+            where = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            numbers = batch.column(3).to_pylist()
+            for a, _, words in chunks(batch.column(4)):
                 for i, s in enumerate(shingle_sets(words, size), a):
                     if where[i] != now:
                         if ids:
@@ -228,34 +227,6 @@ def _confirm_blocks(size: int, percent: int):
     return run
 
 
-def _confirm_pairs(size: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [[s for _, _, w in chunks(batch.column(k)) for s in shingle_sets(w, size)] for k in (2, 3)]
-            ok = [len(x) > 0 and len(y) > 0 and bool(_similar(n := len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)) for x, y in zip(*both, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ok, pa.bool_())], names=["ca", "cb", "linked"])
-
-    return run
-
-
-def _join_blocks(comps: DataFrame, edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirm candidate edges between components, the most similar one of each pair first, until none is untested."""
-    labels = comps
-    while True:
-        side = lambda c, name: labels.select(F.col("doc_id").alias(c), F.col("comp").alias(name))
-        crossing = edges.join(side("a", "ca"), "a").join(side("b", "cb"), "b").where("ca <> cb")
-        crossing = materialize(crossing.select("a", "b", "match", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")), "crossing")
-        if crossing.isEmpty():
-            return labels
-        tested = materialize(crossing.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("match", "a", "b")).alias("e")).select("ca", "cb", "e.a", "e.b"), "tested")
-        text = lambda c, name: texts.select(F.col("doc_id").alias(c), F.col("text").alias(name))
-        pairs = tested.join(text("a", "ta"), "a").join(text("b", "tb"), "b").select("ca", "cb", "ta", "tb")
-        linked = materialize(pairs.mapInArrow(_confirm_pairs(size, percent), "ca long, cb long, linked boolean").where("linked").select("ca", "cb"), "linked")
-        merged = connected_components(linked, "ca", "cb").select(F.col("node").alias("comp"), "component")
-        labels = materialize(labels.join(merged, "comp", "left").select("doc_id", F.coalesce("component", "comp").alias("comp")), "labels")
-        edges = materialize(crossing.join(tested, ["a", "b"], "left_anti").select("a", "b", "match"), "untested")
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document: doc_id, n_shingles (long), component_id (long), kept (boolean).
 
@@ -280,16 +251,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_shi
     found = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(least), "a long, b long, match int")
     edges = materialize(found.groupBy("a", "b").agg(F.max("match").alias("match")), "candidates")
     groups = materialize(connected_components(edges, "a", "b").join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node"), "groups")
-    blocks = groups.groupBy("component").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("n_blocks"))
+    total = F.sum("n_shingles")
+    blocks = groups.groupBy("component").agg(F.when(total <= block_shingles, 1).otherwise(F.ceil(2 * total / block_shingles)).cast("int").alias("n_blocks"))
     members = groups.join(blocks, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"), "n_blocks")
-    members = materialize(members, "members")
-    placed = texts.join(members, "doc_id").select("cluster", "block", "doc_id", "text")
-    comps = placed.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "doc_id").mapInArrow(_confirm_blocks(size, percent), "doc_id long, comp long")
-    comps = materialize(comps.groupBy("doc_id").agg(F.min("comp").alias("comp")), "confirmed")
-    large = members.where("n_blocks > 1").select("doc_id")
-    if not large.isEmpty():
-        between = edges.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi")
-        comps = _join_blocks(comps, between, texts.join(large.select("doc_id"), "doc_id", "left_semi"), size, percent)
+    # A group of several blocks has a task for every pair of them, each block being half as large.
+    others = F.when(F.col("n_blocks") == 1, F.array("block")).otherwise(F.array_except(F.sequence(F.lit(0), F.col("n_blocks") - 1), F.array("block")))
+    members = members.withColumn("other", F.explode(others))
+    several = not blocks.where("n_blocks > 1").isEmpty()
+    members = materialize(members.select("doc_id", "cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")), "members")
+    placed = texts.join(members, "doc_id").select("cluster", "one", "two", "doc_id", "text")
+    task = ("cluster", "one", "two")
+    linked = placed.repartition(*task).sortWithinPartitions(*task, "doc_id").mapInArrow(_confirm_blocks(size, percent), "doc_id long, comp long")
+    comps = materialize(linked.distinct(), "confirmed")
+    if several:
+        comps = connected_components(comps, "doc_id", "comp").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
     classes = reps.join(comps.select(F.col("doc_id").alias("rep"), "comp"), "rep", "left").select("n_shingles", "print", F.coalesce("comp", "rep").alias("component_id"))
     out = slim.select("doc_id", "n_shingles", "print").join(classes, ["n_shingles", "print"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
