@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,57 @@ def test_links_between_blocks_of_a_large_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) == 60
 
 
+def crowded(n):
+    """(tree, key, doc_id, sketch): strangers in one region of tree 1, i and n + i being alike; a row before and after."""
+    rng = np.random.default_rng(2)
+    sketch = rng.integers(0, 256, (2 * n + 2, neardup.VALUES), dtype=np.uint8)
+    sketch[n : 2 * n] = sketch[:n]
+    sketch[n : 2 * n, :14] += 1
+    key = np.arange(neardup.DEPTH, dtype=">u4").tobytes()
+    where = [(1, i) for i in range(2 * n)] + [(0, 2 * n), (2, 2 * n + 1)]
+    return sorted((t, key, i, x.tobytes()) for (t, i), x in zip(where, sketch, strict=True))
+
+
+def roots(pairs):
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    return {i: find(i) for i in list(root)}
+
+
+@pytest.mark.parametrize("held", [neardup.HELD_ROWS, 2000])
+def test_hidden_pairs_of_a_crowded_region(monkeypatch, held):
+    monkeypatch.setattr(neardup, "HELD_ROWS", held)
+    n = 1500
+    columns = [pa.array(c, k) for c, k in zip(zip(*crowded(n), strict=True), (pa.int32(), pa.binary(), pa.int64(), pa.binary()), strict=True)]
+    batches = pa.table(columns, names=["tree", "key", "doc_id", "sketch"]).to_batches(1000)
+    rows = [r for b in neardup._neighbours(40)(iter(batches)) for r in b.to_pylist()]
+    pairs = [(r["a"], r["b"]) for r in rows if r["b"] is not None]
+    if held < 2 * n:  # cut rows are joined by their part
+        pairs += [(r["a"], ("part", r["part"])) for r in rows if r["part"] is not None]
+    else:
+        assert len(pairs) == n
+    root = roots(pairs)
+    assert all(root.get(i, i) == root.get(n + i, n + i) for i in range(n))
+
+
+def test_hidden_pairs_of_a_region_in_several_tasks(spark):
+    n = 600
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = neardup.candidates(spark.createDataFrame([(t, bytearray(k), i, bytearray(x)) for t, k, i, x in crowded(n)], "tree int, key binary, doc_id long, sketch binary"), 40)
+        root = roots([(r["a"], r["b"]) for r in found.collect()])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(root.get(i, i) == root.get(n + i, n + i) for i in range(n))
+
+
 def test_near_duplicates_odd_rows(spark, odd_docs, no_docs):
     got = neardup.near_duplicates(odd_docs, 4, 80).collect()
     assert len(got) == odd_docs.count()

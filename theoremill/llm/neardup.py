@@ -3,10 +3,10 @@
 1. Every whole text becomes its set of word shingles (64-bit hashes), a fingerprint of the set and a MinHash signature
    of `trees x depth` values. Texts with equal sets form a class; one row stands for it from here on.
 2. Forest: for each tree the classes are sorted by that tree's part of the signature (one range-partitioned sort, so a
-   hot run of signatures is spread over tasks). Rows that share a longest common prefix of at least `MIN_DEPTH` values
-   form a region; a region that is too large is looked at deeper, as far as the tree goes, while neighbours across the
-   deeper regions stay candidates. Within a region, one byte per signature value estimates the similarity, and only a
-   spanning set of edges (linear in the rows) leaves it.
+   hot run of signatures is spread over tasks). Rows that share a common prefix of at least `MIN_DEPTH` values form a
+   region. Within a region, one byte per signature value estimates the similarity of all pairs, and only a spanning
+   set of edges (linear in the rows) leaves it. Regions that the sort cuts in pieces are joined again: a large piece
+   is taken as similar as a whole, which leaves its pairs to step 3.
 3. Components of these edges are candidate groups. Their texts are fetched and searched breadth-first with exact set
    intersections, so the result is that of comparing all pairs. A group that is too large for one task is dealt in
    blocks, and each pair of blocks is searched so by a task of its own.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from theoremill.operators.components import connected_components
 
 TREES, DEPTH, MIN_DEPTH = 12, 6, 2
 VALUES = TREES * DEPTH
-#: Rows of a region that are compared at once, and rows that a sort task holds before it closes a region early.
+#: Rows of a piece of a region that are handed on one by one, and rows that a sort task holds before it cuts a region.
 REGION_ROWS, HELD_ROWS = 256, 32_768
 #: Shingles of a candidate group that one task searches.
 BLOCK_SHINGLES = 2_000_000
@@ -75,69 +76,62 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
 
 
-class _Region:
-    """Candidate edges among rows that are sorted by signature."""
-
-    def __init__(self, least: int):
-        self.least, self.found = least, {}
-
-    def edge(self, a: int, b: int, match: int) -> None:
-        if a != b:
-            self.found[max(a, b), min(a, b)] = match
-
-    def block(self, ids: np.ndarray, sketch: np.ndarray) -> None:
-        """A maximum spanning forest (Prim) of the graph of similar rows: each row's most similar one is in it."""
-        match = (sketch[:, None, :] == sketch[None, :, :]).sum(2, dtype=np.int16)
-        np.fill_diagonal(match, -1)
-        match[match < self.least] = -1
-        left = (match >= 0).any(1)
-        best, parent = np.full(len(ids), -1, np.int16), np.zeros(len(ids), int)
-        while left.any():
-            i = int(np.where(left, best, -2).argmax())
-            if best[i] >= 0:
-                self.edge(int(ids[i]), int(ids[parent[i]]), int(best[i]))
-            left[i] = False
-            closer = left & (match[i] > best)
-            best[closer], parent[closer] = match[i][closer], i
-
-    def region(self, keys: np.ndarray, ids: np.ndarray, sketch: np.ndarray, depth: int) -> None:
-        n = len(ids)
-        if n <= REGION_ROWS:
-            if n > 1:
-                self.block(ids, sketch)
-            return
-        if depth == MIN_DEPTH or depth == DEPTH:  # rows near each other in the order, blocks around a common pivot
-            for a in range(0, n, REGION_ROWS - 1):
-                self.block(np.append(ids[a : a + REGION_ROWS - 1], ids[0]), np.concatenate([sketch[a : a + REGION_ROWS - 1], sketch[:1]]))
-        if depth < DEPTH:  # deeper regions, and the first rows of these among each other
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(keys[:, depth].astype(np.int64))) + 1, [n]])
-            for a, z in zip(cut[:-1], cut[1:], strict=True):
-                self.region(keys[a:z], ids[a:z], sketch[a:z], depth + 1)
-            for a in range(0, len(cut) - 1, REGION_ROWS):
-                self.block(ids[cut[a : a + REGION_ROWS][: len(cut) - 1 - a]], sketch[cut[a : a + REGION_ROWS][: len(cut) - 1 - a]])
+def _search(ids: np.ndarray, sketch: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the graph of rows that agree in `least` values or more: breadth-first search, each step
+    against all rows not reached yet, so no pair is left out and the edges are fewer than the rows."""
+    rest, left = np.arange(1, len(ids)), np.ascontiguousarray(sketch[1:].T)
+    queue = [0]
+    while len(rest):
+        q = queue.pop()
+        hit = (left == sketch[q][:, None]).sum(0, dtype=np.uint8) >= least
+        if hit.any():
+            new = rest[hit]
+            yield from ((int(ids[i]), int(ids[q])) for i in new)
+            queue.extend(int(i) for i in new)
+            rest, left = rest[~hit], left[:, ~hit]
+        if not queue and len(rest):
+            queue, rest, left = [int(rest[0])], rest[1:], left[:, 1:]
 
 
 def _neighbours(least: int):
+    """Rows sorted by (tree, key) -> edges (a, b) of each region. A region that may go on in another piece (another
+    task, or rows beyond HELD_ROWS) also gives (a, null, part, piece): its rows, or one of them if all are linked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        piece = (context.partitionId() if context else 0) << 32
         held: list[tuple[np.ndarray, ...]] = []
+        opening = True  # the first region held may have begun in another piece
 
         def close(rows: tuple[np.ndarray, ...], last: bool) -> tuple[tuple[np.ndarray, ...] | None, pa.RecordBatch]:
+            nonlocal piece, opening
             tree, keys, ids, sketch = rows
             new = (np.diff(tree) != 0) | (keys[1:, :MIN_DEPTH] != keys[:-1, :MIN_DEPTH]).any(1)
             cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(ids)]])
-            found, size = _Region(least), np.diff(cut)
+            size = np.diff(cut)
             early = len(ids) - cut[-2] > HELD_ROWS
             done = len(size) if last or early else len(size) - 1
-            two = cut[:-1][:done][size[:done] == 2]
-            match = (sketch[two] == sketch[two + 1]).sum(1)
-            for i in np.flatnonzero(match >= least):
-                found.edge(int(ids[two[i]]), int(ids[two[i] + 1]), int(match[i]))
-            for r in np.flatnonzero(size[:done] > 2):
+            edge = np.zeros(done, bool)
+            edge[:1] = opening
+            edge[len(size) - 1 :] = True
+            found: set[tuple[int, int]] = set()
+            parts: list[tuple[int, bytes, int]] = []
+            two = cut[:-1][:done][(size[:done] == 2) & ~edge]
+            for i in two[(sketch[two] == sketch[two + 1]).sum(1) >= least]:
+                found.add((int(ids[i]), int(ids[i + 1])))
+            for r in np.flatnonzero((size[:done] > 2) | edge):
                 a, z = cut[r], cut[r + 1]
-                found.region(keys[a:z], ids[a:z], sketch[a:z], MIN_DEPTH)
-            keep = None if last else tuple(x[len(ids) - REGION_ROWS :] if early else x[cut[-2] :] for x in rows)
-            a, b, m = zip(*((x, y, m) for (x, y), m in found.found.items()), strict=True) if found.found else ((), (), ())
-            return keep, pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int32())], names=["a", "b", "match"])
+                whole = edge[r] and z - a > REGION_ROWS
+                found.update(((int(i), int(ids[a])) for i in ids[a + 1 : z]) if whole else _search(ids[a:z], sketch[a:z], least))
+                if edge[r]:
+                    part = int(tree[a]).to_bytes(2, "big") + keys[a, :MIN_DEPTH].tobytes()
+                    parts += [(int(i), part, piece) for i in ids[a : a + 1 if whole else z]]
+                    piece += 1
+            opening = early or (opening and not done)
+            keep = None if last or early else tuple(x[cut[-2] :] for x in rows)
+            pairs = [(max(x), min(x), None, None) for x in found if x[0] != x[1]] + [(i, None, part, p) for i, part, p in parts]
+            columns = list(zip(*pairs, strict=True)) if pairs else [()] * 4
+            return keep, pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["a", "b", "part", "piece"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -154,6 +148,17 @@ def _neighbours(least: int):
     return run
 
 
+def candidates(forest: DataFrame, least: int) -> DataFrame:
+    """(a, b): edges whose components hold every pair of rows of (tree, key, doc_id, sketch) that lie in one region and
+    agree in `least` sketch bytes. Regions in several pieces are one component each, to be searched exactly later."""
+    order = ("tree", "key", "doc_id")
+    found = materialize(forest.select(*order, "sketch").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(least), "a long, b long, part binary, piece long"), "neighbours")
+    pieces = found.where("part is not null")
+    cut = pieces.groupBy("part").agg(F.min("a").alias("b"), F.count_distinct("piece").alias("n")).where("n > 1")
+    across = pieces.select("a", "part").join(cut.select("part", "b"), "part").where("a <> b").select("a", "b")
+    return materialize(found.where("part is null").select("a", "b").unionAll(across).distinct(), "candidates")
+
+
 def _similar(inter: np.ndarray, a: np.ndarray, b: int, percent: int) -> np.ndarray:
     return 100 * inter >= percent * (a + b - inter)
 
@@ -247,9 +252,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_shi
     forest = trees.select("tree", F.substring("signature", F.col("tree") * (DEPTH * 4) + 1, F.lit(DEPTH * 4)).alias("key"), "doc_id", "sketch")
     p = percent / 100
     least = int(np.floor(VALUES * p - SLACK * np.sqrt(VALUES * p * (1 - p))))
-    order = ("tree", "key", "doc_id")
-    found = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(least), "a long, b long, match int")
-    edges = materialize(found.groupBy("a", "b").agg(F.max("match").alias("match")), "candidates")
+    edges = candidates(forest, least)
     groups = materialize(connected_components(edges, "a", "b").join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node"), "groups")
     total = F.sum("n_shingles")
     blocks = groups.groupBy("component").agg(F.when(total <= block_shingles, 1).otherwise(F.ceil(2 * total / block_shingles)).cast("int").alias("n_blocks"))
