@@ -213,6 +213,36 @@ def test_pii_odd_rows(spark, odd_docs, no_docs):
     assert digits(texts[500]) == digits(texts[7].split(" or")[0])
 
 
+def found(text):
+    return [(kind, text[a:z]) for a, z, kind in pii.find_entities(text)]
+
+
+def test_names_behind_other_capitals_and_further_parts():
+    for text, name in [("Contact Mary Smith now", "Mary Smith"), ("Yesterday John Miller left", "John Miller"), ("the President James Brown", "James Brown"), ("met Mary Anne Smith there", "Mary Anne Smith"), ("пишет Анна Петрова сама", "Анна Петрова"), ("λέει Ελένη Παπαδάκη εδώ", "Ελένη Παπαδάκη")]:
+        assert found(text) == [("person", name)]
+        new, _ = pii.replace_entities(text, b"k")
+        assert name.split()[-1] not in new.split() and len(new.split()) == len(text.split())
+    new = pii.surrogate("person", "Анна Петрова", b"k")
+    assert new.split()[0] in pii.FEMALE_CYRILLIC and all("а" <= c.lower() <= "я" for c in new if c != " ")
+    assert found("New York and Good Morning") == []
+    assert len({pii._letters(c + "άκης", b"k", "surname") for c in "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"}) == 17
+
+
+def test_compressed_ipv6():
+    for text in ("2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:db8:0:0:0:0:0:1", "2001:db8::"):
+        assert found(f"from {text}, to") == [("ipv6", text)] and found(f"ip:{text}.") == [("ipv6", text)]
+    assert pii.surrogate("ipv6", "2001:db8::1", b"k") == pii.surrogate("ipv6", "2001:db8:0:0:0:0:0:1", b"k")
+    assert found("std::vector9 at 12:30:45 ::1 dead::beef") == []
+
+
+def test_collisions_cover_persons_and_addresses(spark):
+    docs = spark.createDataFrame([(1, "Anna Lee at 10.1.2.3 and 2001:db8::1"), (2, "Anna Lee at 2001:db8:0:0:0:0:0:1")], "doc_id long, text string")
+    made = pii.replace_pii(docs)
+    assert pii.collisions(docs, made).count() == 0
+    torn = made.withColumn("pii_spans", F.transform("pii_spans", lambda s: s.withField("replacement", F.concat(s["replacement"], F.col("doc_id").cast("string")))))
+    assert {r["kind"] for r in pii.collisions(docs, torn).collect()} == {"person", "ipv6"}
+
+
 # ---- decontamination
 
 ITEM = "A train leaves Berlin at 9 and covers 120 km in 2 hours before Anna boards it; how far does the train travel per hour on average today"

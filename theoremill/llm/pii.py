@@ -24,11 +24,17 @@ from theoremill.llm.common import prepare
 FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Sandra Ashley Emily Anna Maria Laura Julia Sophie Claire Camille Lucie Ingrid Heike Petra Sabine Carmen Lucia Elena Isabel Olga Irina Fatima Aisha Mei".split()
 MALE = "James Robert John Michael David William Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Paul Andrew Peter Hans Klaus Jürgen Stefan Pierre Jean Luc Antoine Carlos Miguel Javier Pablo Ivan Dmitri Omar Ahmed Wei Kenji Raj".split()
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Dr": "", "Prof": ""}
+# The same in Cyrillic and Greek script (nominative forms).
+FEMALE_CYRILLIC = "Анна Мария Елена Ольга Ирина Наталья Татьяна Светлана Екатерина Юлия Анастасия Людмила Галина Надежда Вера Дарья".split()
+MALE_CYRILLIC = "Иван Дмитрий Сергей Александр Алексей Андрей Михаил Николай Владимир Павел Пётр Юрий Виктор Олег Игорь Борис".split()
+FEMALE_GREEK = "Μαρία Ελένη Αικατερίνη Βασιλική Σοφία Αγγελική Γεωργία Δήμητρα Άννα Ειρήνη".split()
+MALE_GREEK = "Γεώργιος Ιωάννης Δημήτριος Κωνσταντίνος Νικόλαος Παναγιώτης Βασίλειος Αλέξανδρος Ανδρέας Γιώργος Γιάννης Νίκος".split()
+TITLES |= {"Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 # Alphabets whose letters are exchanged among themselves.
-ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœ", "çñßšžčćđłńśź", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρσςτφχψ")
+ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœ", "çñßšžčćđłńśź", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 _CLASS = {c: (alphabet, i) for alphabet in ALPHABETS for i, c in enumerate(alphabet)}
-_GENDER = {**dict.fromkeys(FEMALE, "f"), **dict.fromkeys(MALE, "m")}
-_POOL = {"f": FEMALE, "m": MALE}
+_POOL = {"f": FEMALE, "m": MALE, "f|cyrillic": FEMALE_CYRILLIC, "m|cyrillic": MALE_CYRILLIC, "f|greek": FEMALE_GREEK, "m|greek": MALE_GREEK}
+_GENDER = {name: gender for gender, pool in _POOL.items() for name in pool}
 ROUNDS = 10
 
 
@@ -108,6 +114,15 @@ def _ipv4(text: str, key: bytes) -> str:
     return _walk(".".join(str(int(x)) for x in text.split(".")), step, usable)
 
 
+def _is_ipv6(text: str) -> bool:
+    """Loopback and unspecified addresses are nobody's, and without a digit it may be a scope (dead::beef)."""
+    try:
+        address = ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return _DIGIT.search(text) is not None and not (address.is_loopback or address.is_unspecified)
+
+
 def _ipv6(text: str, key: bytes) -> str:
     groups = [int(x, 16) for x in ipaddress.IPv6Address(text).exploded.split(":")]
     return ":".join(f"{x:x}" for x in permute(groups, [65536] * 8, key, "ipv6"))
@@ -177,20 +192,22 @@ def _person(text: str, key: bytes) -> str:
     return "".join(out)
 
 
+_GROUP = "[0-9a-fA-F]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’-]+"
+_NAME = r"(?:[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿœšžčćđłńśź'’-]+|[А-ЯЁ][а-яё'’-]+|[Α-ΩΆΈΉΊΌΎΏ][α-ωάέήίόύώϊϋΐΰ'’-]+)"
+_GIVEN = "|".join(sorted(_GENDER, key=len, reverse=True))
 #: kind -> (pattern, group that holds the entity, surrogate), in order of precedence.
 DETECTORS: dict[str, tuple[re.Pattern, int, Callable[[str, bytes], str]]] = {
     "email": (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), 0, _email),
     "secret": (re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b\s*[:=]\s*[\"']?([A-Za-z0-9_+/-]{12,})"), 1, _secret),
     "hash": (re.compile(r"\b[0-9a-f]{32,128}\b"), 0, _secret),
     "iban": (re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), 0, _iban),
-    "ipv6": (re.compile(r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b"), 0, _ipv6),
+    "ipv6": (re.compile(rf"(?<!\w)(?:{_GROUP}(?::{_GROUP}){{7}}|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?)(?!\w|:[0-9a-fA-F:])"), 0, _ipv6),
     "ipv4": (re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)"), 0, _ipv4),
     "ssn": (re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), 0, lambda t, k: _digits_apart(t, lambda d: _letters(d, k, "ssn"))),
     "phone": (re.compile(r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"), 0, _phone),
     "card": (re.compile(r"(?<![\d-])\d(?:\d{12,18}|(?:[ -]?\d){12,18})(?![\d-])"), 0, _card),
-    "person": (re.compile(rf"\b(?:{'|'.join(TITLES)})\.?\s{_NAME}(?:\s{_NAME})?|\b(?:{_NAME})\s{_NAME}"), 0, _person),
+    "person": (re.compile(rf"\b(?:{'|'.join(TITLES)})\.?(?:\s{_NAME}){{1,4}}|\b(?=[A-ZÀ-ÞА-ЯΆ-Ω])(?:{_GIVEN})(?:\s{_NAME}){{1,3}}"), 0, _person),
 }
 _DIGIT = re.compile("[0-9]")
 _TWO_NAMES = re.compile(rf"{_NAME}\s{_NAME}|(?:{'|'.join(TITLES)})\.\s")
@@ -207,13 +224,13 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
         elif kind == "person":
             if not _TWO_NAMES.search(text):
                 continue
-        elif kind not in ("secret", "hash") and not has_digit:
+        elif kind not in ("secret", "hash") and (not has_digit or kind == "ipv6" and text.count(":") < 2):
             continue
         elif kind == "secret" and "=" not in text and ":" not in text:
             continue
         for m in pattern.finditer(text):
             a, z = m.span(group)
-            if kind == "person" and m[0].split()[0].rstrip(".") not in TITLES and m[0].split()[0] not in _GENDER:
+            if kind == "ipv6" and not _is_ipv6(m[0]):
                 continue
             if all(z <= x or a >= y for x, y, _ in taken):
                 taken.append((a, z, kind))
@@ -258,13 +275,21 @@ def replace_pii(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     return out.select(*(f"`{c}`" for c in docs.columns if c != "pii_spans"), "pii_spans")
 
 
+def _exploded(text: str) -> str:
+    try:
+        return ipaddress.IPv6Address(text).exploded
+    except ValueError:
+        return text
+
+
 def collisions(docs: DataFrame, replaced: DataFrame, key_column: str = "doc_id") -> DataFrame:
     """Surrogates that stand for more than one entity, and entities with more than one: (kind, entity, replacement,
-    n); empty if the promise holds. Entities are compared without case, spaces and number separators, as coreference
-    does. A check over all documents: slim rows, aggregated by hash."""
+    n); empty if the promise holds. Entities are compared without case, spaces and number separators, persons without
+    dots, addresses by value, as coreference does. A check over all documents: slim rows, aggregated by hash."""
+    prepare(docs.sparkSession)
     spans = docs.select(key_column, "text").join(replaced.select(key_column, F.explode("pii_spans").alias("s")), key_column)
-    plain = lambda c: F.lower(F.regexp_replace(c, r"[\s().-]", ""))
-    pairs = spans.select(F.col("s.kind").alias("kind"), plain(F.expr("substring(text, s.start + 1, s.length)")).alias("entity"), plain(F.col("s.replacement")).alias("replacement")).where("kind not in ('person', 'ipv4', 'ipv6')").distinct()
+    plain = lambda c: F.when(F.col("s.kind") == "ipv4", c).when(F.col("s.kind") == "ipv6", F.udf(_exploded, "string")(c)).when(F.col("s.kind") == "person", F.regexp_replace(F.regexp_replace(c, r"\.", ""), r"\s+", " ")).otherwise(F.lower(F.regexp_replace(c, r"[\s().-]", "")))
+    pairs = spans.select(F.col("s.kind").alias("kind"), plain(F.expr("substring(text, s.start + 1, s.length)")).alias("entity"), plain(F.col("s.replacement")).alias("replacement")).distinct()
     shared = pairs.groupBy("kind", "replacement").agg(F.count("*").alias("n"), F.min("entity").alias("entity")).where("n > 1")
     torn = pairs.groupBy("kind", "entity").agg(F.count("*").alias("n"), F.min("replacement").alias("replacement")).where("n > 1")
     return shared.select("kind", "entity", "replacement", "n").unionAll(torn.select("kind", "entity", "replacement", "n"))
