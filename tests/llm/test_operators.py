@@ -279,6 +279,19 @@ def test_short_items_and_odd_rows(spark, odd_docs, no_docs):
     assert decontam.leaks(no_docs, bench).count() == 0 and decontam.leaks(odd_docs, bench.limit(0)).count() == 0
 
 
+def test_items_of_slots_and_decimals(spark):
+    """Windows of slots are found by value; the sizes to scan are those of the items' windows."""
+    sums, lengths, decimals = "12 34 56 78 90 11 23 45 67", "3 km 5 miles 7 kg 9 tons", "What is 3.5 times 2.5 plus 1.5?"
+    items = [(1, sums), (2, lengths), (3, decimals)]
+    for item_id, item in items:
+        docs = spark.createDataFrame([(0, f"we read: {item} and so on"), (1, "we read 98 76 54 32 10 21 43 65 87 or 4 km 6 miles 8 kg 2 tons")], "doc_id long, text string")
+        got = decontam.leaks(docs, spark.createDataFrame([(item_id, item)], "item_id long, text string")).collect()
+        assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in got] == [(0, item_id, 1.0)]
+    mixed = "we count the whole 12 km of the road and then go on 12 34 56 78 90 11 23 45 67 10 20 30 40 50"
+    other = "we count the whole 77 km of the road and then go on 92 94 96 98 99 91 93 95 97 70 80 71 81 51"
+    assert set(leaked(spark, [mixed, other], [(1, mixed)])) == {0, 1}
+
+
 # ---- classifiers
 
 

@@ -35,7 +35,7 @@ UNITS = (
     "dollar dollars cent cents euro euros usd eur gbp percent "
     "degree degrees celsius fahrenheit kelvin watt watts kw volt volts amp amps joule joules newton newtons pascal hz mph kmh"
 ).split()
-_NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x6E756D, 0x6E616D65, 0x756E6974))
+_NUMBER, _NAME, _UNIT, _LITERAL = (np.uint64(x) for x in (0x6E756D, 0x6E616D65, 0x756E6974, 0x6C69746572616C))
 
 
 def _unit_hashes() -> np.ndarray:
@@ -78,25 +78,31 @@ def templates(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return template, value, number | unit | name
 
 
-def window_hashes(template: np.ndarray, slot: np.ndarray, words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of every window of `size` words of one text with at least half of them literal."""
+def window_hashes(template: np.ndarray, value: np.ndarray, slot: np.ndarray, words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, hash, literal) of every window of `size` words of one text. Windows with more than half slots say
+    too little as templates: these are literal, hashed with the values of their slots."""
     n = len(template) - size + 1
     if n <= 0:
-        return np.zeros(0, int), np.zeros(0, np.uint64)
+        return np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, bool)
     place = mix(np.arange(101, 101 + size, dtype=np.uint64)) | np.uint64(1)
     h = np.zeros(n, np.uint64)
     for j in range(size):
         h += template[j : j + n] * place[j]
     running = np.concatenate([[0], np.cumsum(slot)])
     text = words.text_of()
-    ok = (text[:n] == text[size - 1 :]) & ((running[size:] - running[:-size]) * 2 <= size)
-    at = np.flatnonzero(ok)
-    return at, mix(h[at] + np.uint64(size))
+    at = np.flatnonzero(text[:n] == text[size - 1 :])
+    literal = (running[at + size] - running[at]) * 2 > size
+    own = at[literal]
+    h[own] = _LITERAL
+    for j in range(size):
+        h[own] += value[own + j] * place[j]
+    return at, mix(h[at] + np.uint64(size)), literal
 
 
 def _windows(sizes: list[int], bitmap: np.ndarray | None, short_too: bool):
-    """Arrow function: (id, text) -> id, position, hash, slots, total. With a bitmap only windows that may match; with
-    short_too a text of fewer than WINDOW words is one window of its own length."""
+    """Arrow function: (id, text) -> id, position, hash, slots, literal, size, total (windows of the text), templates (those
+    not literal). With a bitmap only windows that may match; with short_too a text of fewer than WINDOW words is one
+    window of its own length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,25 +110,26 @@ def _windows(sizes: list[int], bitmap: np.ndarray | None, short_too: bool):
                 template, value, slot = templates(words)
                 signed = value.view(np.int64)
                 text, counts = words.text_of(), words.counts()
-                at_all, hash_all, size_all = [], [], []
+                at_all, hash_all, literal_all, size_all = [], [], [], []
                 for size in sizes:
-                    at, h = window_hashes(template, slot, words, size)
+                    at, h, literal = window_hashes(template, value, slot, words, size)
                     if bitmap is not None:
                         some = bitmap[(h >> np.uint64(64 - BITS)).astype(np.int64)]
                     else:
                         some = counts[text[at]] == size if size < WINDOW and short_too else np.ones(len(at), bool)
                     at_all.append(at[some])
                     hash_all.append(h[some])
+                    literal_all.append(literal[some])
                     size_all.append(np.full(int(some.sum()), size))
-                at, h, size = (np.concatenate(x) for x in (at_all, hash_all, size_all))
-                per_text = np.bincount(text[at], minlength=len(counts)) if len(at) else np.zeros(len(counts), int)
+                at, h, literal, size = (np.concatenate(x) for x in (at_all, hash_all, literal_all, size_all))
+                per_text, plain = (np.bincount(text[x], minlength=len(counts)) if len(x) else np.zeros(len(counts), int) for x in (at, at[~literal]))
                 running = np.concatenate([[0], np.cumsum(slot)])
                 where = np.flatnonzero(slot)
                 slots = [signed[where[running[i] : running[i + s]]] for i, s in zip(at, size, strict=True)]
                 ids = batch.column(0).take(pa.array(a + text[at], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(at - words.first[:-1][text[at]], pa.int64()), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64())), pa.array(per_text[text[at]], pa.int64())],
-                    names=["id", "pos", "h", "slots", "total"],
+                    [ids, pa.array(at - words.first[:-1][text[at]], pa.int64()), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64())), pa.array(literal), pa.array(size, pa.int32()), pa.array(per_text[text[at]], pa.int64()), pa.array(plain[text[at]], pa.int64())],
+                    names=["id", "pos", "h", "slots", "literal", "size", "total", "templates"],
                 )
 
     return run
@@ -131,34 +138,41 @@ def _windows(sizes: list[int], bitmap: np.ndarray | None, short_too: bool):
 def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
     """(doc_id, item_id, n_windows, n_covered, coverage, n_slots, changed): one row per document and item it leaks.
 
-    n_windows: distinct template windows of the item; n_covered: those found in the document with consistent slots;
-    changed: some slot value differs (the question was re-parameterised). Items of fewer than 4 words have no window
-    and are never reported; items of 4 to 7 words are one window. Null and empty texts match nothing, rows with a null
+    n_windows: windows of the item; n_covered: those found in the document with consistent slots; changed: some slot
+    value differs (the question was re-parameterised). Windows with more than half slots are found with equal values
+    only; n_windows and n_covered leave them out where the others alone are covered no less (with new values these
+    could not be). Items of fewer than 4 words have no window and are never reported; items of 4 to 7 words are one window. Null and empty texts match nothing, rows with a null
     id are not reported, repeated rows add nothing, an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    schema = "id long, pos long, h long, slots array<long>, total long"
+    schema = "id long, pos long, h long, slots array<long>, literal boolean, size int, total long, templates long"
     of = lambda df, key: df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sizes = list(range(SHORTEST, WINDOW + 1))
     items = materialize(of(benchmark, "item_id").distinct().mapInArrow(_windows(sizes, None, True), schema), "benchmark-windows")
     bitmap = np.zeros(1 << BITS, bool)
     bitmap[[r[0] for r in items.select(F.shiftrightunsigned("h", 64 - BITS).cast("int")).distinct().collect()]] = True  # at most 2**BITS places
-    used = sorted({WINDOW, *(r[0] for r in of(benchmark, "item_id").select(F.size(F.regexp_extract_all("text", F.lit(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"), F.lit(0)))).distinct().collect() if r[0] and SHORTEST <= r[0] < WINDOW)})
+    used = sorted(r[0] for r in items.select("size").distinct().collect()) or [WINDOW]  # at most WINDOW sizes
     seen = of(docs, "doc_id").mapInArrow(_windows(used, bitmap, False), schema)
-    item = items.select(F.col("id").alias("item_id"), "h", F.col("pos").alias("at"), F.col("slots").alias("values"), "total")
+    item = items.select(F.col("id").alias("item_id"), "h", F.col("pos").alias("at"), F.col("slots").alias("values"), "literal", "total", "templates")
     found = seen.select(F.col("id").alias("doc_id"), "pos", "h", "slots").join(item, "h").where(F.size("slots") == F.size("values"))
     # One diagonal holds each window of an item once at most, so a group is as large as the item.
     lines = found.groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("values", "slots")))).alias("pairs"), F.max("total").alias("n_windows")
+        F.collect_set(F.struct("at", "literal")).alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("values", "slots")))).alias("pairs"), F.max("total").alias("total"), F.max("templates").alias("templates")
     )
     distinct = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: p[name])))
     n = F.size("pairs")
     lines = lines.where(F.least(distinct("values"), distinct("slots")) >= CONSISTENT * n)
-    lines = lines.select("doc_id", "item_id", "n_windows", n.alias("n_slots"), F.exists("pairs", lambda p: p["values"] != p["slots"]).alias("changed"), F.explode("at").alias("at"))
-    out = lines.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.count_distinct("at").alias("n_covered"), F.max("n_slots").cast("long").alias("n_slots"), F.bool_and("changed").alias("changed"))
+    lines = lines.select("doc_id", "item_id", "total", "templates", n.alias("n_slots"), F.exists("pairs", lambda p: p["values"] != p["slots"]).alias("changed"), F.explode("at").alias("at"))
+    at, template = F.col("at.at"), ~F.col("at.literal")
+    out = lines.groupBy("doc_id", "item_id").agg(
+        F.max("total").alias("total"), F.max("templates").alias("templates"), F.count_distinct(at).alias("all"), F.count_distinct(F.when(template, at)).alias("plain"), F.max("n_slots").cast("long").alias("n_slots"), F.bool_and("changed").alias("changed")
+    )
+    by_template = F.coalesce(F.col("plain") * F.col("total") >= F.col("all") * F.col("templates"), F.lit(False)) & (F.col("templates") > 0)
+    out = out.select("doc_id", "item_id", F.when(by_template, F.col("templates")).otherwise(F.col("total")).alias("n_windows"), F.when(by_template, F.col("plain")).otherwise(F.col("all")).alias("n_covered"), "n_slots", "changed")
     return out.withColumn("coverage", F.col("n_covered") / F.col("n_windows")).where(F.col("coverage") >= covered)
 
 
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
     """The documents that leak no item, all columns kept; rows with a null id are kept."""
     return docs.join(leaks(docs, benchmark, covered).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
