@@ -280,3 +280,17 @@ def test_vector_vocabulary(spark, tmp_path):
     (tmp_path / "w").write_text("\n".join(["nonsense"] * 20))
     with pytest.raises(ValueError):
         vectors.vector_vocabulary(spark, str(tmp_path / "w"))
+
+
+def test_lists_of_all_candidates_have_no_end(spark):
+    n = 1100
+    nodes = spark.createDataFrame([(f"n{i:04d}",) for i in range(n)], "id string")
+    edges = spark.createDataFrame([("n0000", "n0001", "REFERENCE_BODY", 1), ("n0002", "n0001", "REFERENCE_BODY", 2)], "src string, dst string, edge_type string, w long")
+    texts = spark.createDataFrame([(f"n{i:04d}", f"w{i % 7} x{i}") for i in range(n)], "id string, text string")
+    vectors = spark.createDataFrame([(f"n{i:04d}", [1.0, float(i)]) for i in range(n)], "id string, features array<double>")
+    queries = nodes.where("id in ('n0000', 'n0005')")
+    for r in (recommend.PopularityRecommender(None), recommend.BagOfWordsRecommender(None), recommend.TfIdfRecommender(None), recommend.VectorRecommender(vectors, None, "euclidean"), recommend.TwoHopsRecommender(None)):
+        got = r.fit(nodes, edges, texts).predict(queries).collect()
+        for q in ("n0000", "n0005"):
+            mine = [x for x in got if x["query"] == q]
+            assert sorted(x["rank"] for x in mine) == list(range(1, n + 1)) and len({x["candidate"] for x in mine}) == n, type(r)

@@ -20,6 +20,8 @@ def rank_by_hash(df: DataFrame, hashed: Column, tie: str, out: str = "rank") ->
     return ranked.withColumn(out, (F.col("__before") + F.col("__within")).cast("bigint")).drop("__hash", "__prefix", "__n", "__before", "__within")
 
 
-def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
-    """The first k rows of each group with their 1-based rank; Spark limits each task's groups before the exchange."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint")).where(F.col(out) <= k)
+def top_k(df: DataFrame, by: list[str], order: list[Column], k: int | None, out: str = "rank") -> DataFrame:
+    """The first k rows of each group (None: all) with their 1-based rank; Spark limits each task's groups before the
+    exchange."""
+    ranked = df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
+    return ranked if k is None else ranked.where(F.col(out) <= k)

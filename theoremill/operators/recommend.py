@@ -52,11 +52,11 @@ def popularity(edges: DataFrame, nodes: DataFrame, seed: int = 12345) -> DataFra
     return d.crossJoin(F.broadcast(best)).select("id", "in_degree", F.when(F.col("id") == F.col("best"), 0.75).otherwise(0.25 + 0.25 * hashed).alias("score"))  # one row
 
 
-def two_hops(queries: DataFrame, edges: DataFrame, nodes: DataFrame, k: int, edge_weights: str = "DEGREE", node_weights: str = "CONSTANT") -> DataFrame:
+def two_hops(queries: DataFrame, edges: DataFrame, nodes: DataFrame, k: int | None, edge_weights: str = "DEGREE", node_weights: str = "CONSTANT") -> DataFrame:
     """Query, candidate, score, rank: candidates t weighted by paths query -> x <- t.
 
     Paths are summed with map-side combination; a popular x is spread by Spark's skew handling of the join on x. The
-    distance is 1 / weight, 2 for nodes that no path reaches; only the k best are ranked, and unreachable nodes (score
+    distance is 1 / weight, 2 for nodes that no path reaches; only the k best are ranked (None: all), and unreachable nodes (score
     0) fill the list by falling name where fewer than k are reachable. edges: src, dst, edge_type, w (null counts 1).
     """
     w = lambda c: {"CONSTANT": F.lit(1.0), "DEGREE": c, "LOG2_DEGREE": F.log2(c) + 1}[edge_weights]
@@ -77,10 +77,11 @@ def two_hops(queries: DataFrame, edges: DataFrame, nodes: DataFrame, k: int, edg
     high = F.when(F.col("reached") < F.col("n"), F.greatest(F.lit(2.0), F.col("high"))).otherwise(F.col("high"))
     score = F.when(F.col("low") < high, 1 - (F.col("y") - F.col("low")) / F.when(F.col("low") < high, high - F.col("low"))).otherwise(1 - F.col("y"))
     listed = materialize(top_k(y.select("query", "candidate", score.alias("score"), "reached"), ["query"], [F.desc("score"), F.desc("candidate")], k), "two-hops")
-    few = asked.select(F.col("src").alias("query")).join(listed.where(F.col("reached") >= k).select("query"), "query", "left_anti")
-    # At most 2k nodes can be needed to fill a list of k.
-    last = normal.orderBy(F.desc("candidate")).limit(2 * k)
-    fill = few.crossJoin(F.broadcast(last)).join(listed.select("query", "candidate"), ["query", "candidate"], "left_anti")  # 2k rows
+    few, last = asked.select(F.col("src").alias("query")), normal
+    if k is not None:  # at most 2k nodes can be needed to fill a list of k
+        few = few.join(listed.where(F.col("reached") >= k).select("query"), "query", "left_anti")
+        last = F.broadcast(normal.orderBy(F.desc("candidate")).limit(2 * k))
+    fill = few.crossJoin(last).join(listed.select("query", "candidate"), ["query", "candidate"], "left_anti")
     filled = listed.select("query", "candidate", "score").unionAll(fill.select("query", "candidate", F.lit(0.0).alias("score")))
     best = top_k(filled, ["query"], [F.desc("score"), F.desc("candidate")], k)
     name = lambda c: names.select(F.col("n").alias(c), F.col("name").alias(f"{c}_name"))
@@ -130,8 +131,12 @@ class Recommender:
 
 class PopularityRecommender(Recommender):
     def predict(self, queries: DataFrame) -> DataFrame:
-        best = popularity(self.edges, self.nodes).orderBy(F.desc("score"), F.desc("id")).limit(self.k or 1000)
-        return top_k(queries.select(F.col("id").alias("query")).crossJoin(F.broadcast(best.select(F.col("id").alias("candidate"), "score"))), ["query"], [F.desc("score"), F.desc("candidate")], self.k or 1000)  # k rows
+        best = popularity(self.edges, self.nodes).select(F.col("id").alias("candidate"), "score")
+        asked = queries.select(F.col("id").alias("query"))
+        order = [F.desc("score"), F.desc("candidate")]
+        if self.k is None:
+            return top_k(best.crossJoin(asked).select("query", "candidate", "score"), ["query"], order, None)
+        return top_k(asked.crossJoin(F.broadcast(best.orderBy(*order).limit(self.k))), ["query"], order, self.k)  # k rows
 
 
 class BagOfWordsRecommender(Recommender):
@@ -144,7 +149,7 @@ class BagOfWordsRecommender(Recommender):
 
     def predict(self, queries: DataFrame) -> DataFrame:
         rows = self._rows()
-        found = search.sparse_knn(rows.join(queries.select("id"), "id", "left_semi"), rows, self.k or 1000, self.metric)
+        found = search.sparse_knn(rows.join(queries.select("id"), "id", "left_semi"), rows, self.k, self.metric)
         return postprocess(found.select("query", "candidate", F.col("distance").alias("y")), self.k)
 
 
@@ -166,7 +171,7 @@ class VectorRecommender(Recommender):
         self.vectors, self.metric = vectors, metric
 
     def predict(self, queries: DataFrame) -> DataFrame:
-        found = search.vector_knn(self.vectors.join(queries.select("id"), "id", "left_semi"), self.vectors, self.k or 1000, self.metric)
+        found = search.vector_knn(self.vectors.join(queries.select("id"), "id", "left_semi"), self.vectors, self.k, self.metric)
         return postprocess(found.select("query", "candidate", F.col("distance").alias("y")), self.k)
 
 
@@ -176,7 +181,7 @@ class TwoHopsRecommender(Recommender):
         self.node_weights, self.edge_weights = node_weights, edge_weights
 
     def predict(self, queries: DataFrame) -> DataFrame:
-        return two_hops(queries, self.edges, self.nodes, self.k or 1000, self.edge_weights, self.node_weights)
+        return two_hops(queries, self.edges, self.nodes, self.k, self.edge_weights, self.node_weights)
 
 
 class EdgeModelRecommender(Recommender):
