@@ -305,6 +305,18 @@ def test_nnpu_separates_and_defaults():
     assert toxicity.fit_nnpu([], ["a"], 0.2).score(toxicity.words_of(["x", ""])).tolist() == pytest.approx([0.2, 0.2])
 
 
+def test_nnpu_keeps_all_significant_words():
+    """More marking words than a fixed number would hold, each in 1 % of the positives."""
+    rng = random.Random(4)
+    plain = lambda: " ".join(rng.choice("the of to and in it by for with from".split()) for _ in range(20))
+    marks = [f"mark{i}" for i in range(200)]
+    positive = [f"{plain()} {marks[i % 200]} {marks[(i * 7 + 3) % 200]}" for i in range(2000)]
+    model = toxicity.fit_nnpu(positive, [plain() for _ in range(3000)], 0.1)
+    known = toxicity.words_of([" ".join(marks)]).hashes()
+    assert np.isin(known, model.words).all() and len(model.words) <= 215
+    assert (model.score(toxicity.words_of(marks)) > 0.5).all()
+
+
 def test_mil_gradient():
     rng = np.random.default_rng(0)
     texts = ["good words here and there " * 20, "BAD!! WORDS!! " * 30, "fine", ""]

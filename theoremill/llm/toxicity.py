@@ -2,12 +2,13 @@
 
 Confirmed toxic texts are the positives, other texts are unlabelled (they hide more toxic ones). With class prior p
 the risk of a linear classifier is  p * R_pos(+1) + max(0, R_unl(-1) - p * R_pos(-1)); where the bracket turns
-negative the step goes against it (the non-negative correction). Features: presence of the words that part positives
-from unlabelled texts best, hashed. Everything is numpy; the fit takes a bounded sample, scoring reads whole texts.
+negative the step goes against it (the non-negative correction). Features: presence of all words, hashed, that are
+significantly more frequent in positives than in unlabelled texts. Everything is numpy; the fit takes a bounded sample, scoring reads whole texts.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,8 @@ from theoremill.llm.textbytes import NOT_ALNUM, Words, words_in
 
 #: Bounds of the training sample: positives, unlabelled texts, characters of one text.
 POSITIVES, UNLABELLED, MAX_CHARS = 3000, 9000, 20_000
-FEATURES = 96
+#: Share of chance words accepted among the chosen ones (Benjamini and Hochberg).
+FALSE_WORDS = 0.05
 
 
 def words_of(texts: list[str]) -> Words:
@@ -55,7 +57,24 @@ class PuModel:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
 
 
-def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, features: int = FEATURES, steps: int = 600, rate: float = 0.05, decay: float = 1e-6) -> PuModel:
+def _chance(k: int, n: int, p: float) -> float:
+    """Probability of k or more of n texts being positive if each is with probability p."""
+    j = np.arange(k, n + 1)
+    log = np.array([math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in j]) + j * math.log(p) + (n - j) * math.log1p(-p)
+    return float(min(1.0, np.exp(log).sum()))
+
+
+def significant(in_pos: np.ndarray, in_all: np.ndarray, p: float, share: float = FALSE_WORDS) -> np.ndarray:
+    """Which words, seen in in_pos positives among in_all texts, are more frequent in positives than chance gives, with
+    at most `share` of them by chance. p: share of positives among the texts."""
+    pairs, at = np.unique(np.stack([in_pos, in_all], 1), axis=0, return_inverse=True)
+    chance = np.array([_chance(int(k), int(n), p) if k > n * p else 1.0 for k, n in pairs])[at.ravel()]
+    order = np.sort(chance)
+    passed = np.flatnonzero(order <= share * np.arange(1, len(order) + 1) / max(1, len(order)))
+    return chance <= order[passed[-1]] if len(passed) else np.zeros(len(chance), bool)
+
+
+def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-6) -> PuModel:
     """Fit on texts. Without positives or unlabelled texts the model is the prior for every text."""
     prior = float(np.clip(prior, 1e-4, 0.9))
     if not positive or not unlabelled:
@@ -64,30 +83,35 @@ def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, features:
     values, seen = zip(*(np.unique(np.concatenate(s), return_counts=True) for s in sets), strict=True)
     n_pos, n_unl = len(positive), len(unlabelled)
     vocabulary = values[0]
-    in_pos = seen[0] / n_pos
     at = np.minimum(np.searchsorted(values[1], vocabulary), len(values[1]) - 1)
-    in_unl = np.where(values[1][at] == vocabulary, seen[1][at], 0) / n_unl
-    spread = np.sqrt(in_unl * (1 - in_unl) / n_unl + in_pos * (1 - in_pos) / n_pos + 1 / min(n_pos, n_unl) ** 2)
-    z = np.where(seen[0] >= min(3, n_pos), (in_pos - in_unl) / spread, 0)
-    best = np.argsort(-z, kind="stable")[:features]
-    chosen = np.sort(vocabulary[best[z[best] > 0]])
-
-    def matrix(texts: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(texts), len(chosen)), np.float32)
-        for i, t in enumerate(texts):
-            out[i, np.flatnonzero(np.isin(chosen, t, assume_unique=True))] = 1
-        return out
-
-    xp, xu = matrix(sets[0]), matrix(sets[1])
+    in_unl = np.where(values[1][at] == vocabulary, seen[1][at], 0) if len(values[1]) else np.zeros(len(vocabulary), int)
+    tried = np.flatnonzero(seen[0] >= min(3, n_pos))
+    chosen = vocabulary[tried[significant(seen[0][tried], (seen[0] + in_unl)[tried], n_pos / (n_pos + n_unl))]]
+
+    class Presence:
+        """The texts' chosen words as (row, column) pairs."""
+
+        def __init__(self, texts: list[np.ndarray]):
+            found = [np.flatnonzero(np.isin(chosen, t, assume_unique=True)) for t in texts]
+            self.n, self.column = len(texts), np.concatenate(found).astype(int)
+            self.row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+
+        def __matmul__(self, w: np.ndarray) -> np.ndarray:
+            return np.bincount(self.row, w[self.column], self.n)
+
+        def back(self, g: np.ndarray) -> np.ndarray:
+            return np.bincount(self.column, g[self.row], len(chosen))
+
+    xp, xu = Presence(sets[0]), Presence(sets[1])
     w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
     for step in range(1, steps + 1):
         sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
 
-        def slope(x: np.ndarray, s: np.ndarray) -> np.ndarray:  # gradient of the mean of sigmoid(x . w + b)
+        def slope(x: Presence, s: np.ndarray) -> np.ndarray:  # gradient of the mean of sigmoid(x . w + b)
             g = s * (1 - s) / len(s)
-            return np.append(x.T @ g, g.sum())
+            return np.append(x.back(g), g.sum())
 
         on_pos, on_unl = slope(xp, sp), slope(xu, su)
         negative = su.mean() - prior * sp.mean()  # risk of label -1, corrected by the prior
