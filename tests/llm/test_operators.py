@@ -601,3 +601,24 @@ def test_labels_of_held_out_rows_are_never_used(spark):
     got = labelled_sample(docs, labels, "quality", 500, 5, 0, 1000)
     assert {t for t, _ in got} == {f"text {i}" for i in range(200)} - out and all(int(t.split()[1]) % 2 == y for t, y in got)
     assert not out & set(text_sample(docs, 500, 5, 0, 1000))
+
+
+def test_pages_behind_an_unreadable_one():
+    image = np.arange(48, dtype=np.uint8).reshape(4, 4, 3)
+    blob = bytearray(tiff.encode([image, image, image], tiff.NONE))
+    at = int.from_bytes(blob[4:8], "little")
+    entry = next(at + 2 + 12 * i for i in range(20) if int.from_bytes(blob[at + 2 + 12 * i : at + 4 + 12 * i], "little") == tiff.COMPRESSION)
+    blob[entry + 8] = 99
+    got = list(tiff.pages(bytes(blob)))
+    assert [r["page"] for r in got] == [0, 1, 2] and got[0]["error"] and [r["pixels"] for r in got[1:]] == [image.tobytes()] * 2
+
+
+def test_lzw_at_any_length_with_both_predictors():
+    seen = set()
+    for i in range(400):
+        payload = tiff.padded(f"text {i} the of and in ".encode() * 600)
+        if zlib.crc32(payload) % 16 == 0:
+            got = list(tiff.pages(tiff.store(payload)))
+            assert b"".join(r["pixels"] for r in got) == payload
+            seen |= {(r["compression"], r["predictor"]) for r in got}
+    assert seen == {(tiff.LZW, 1), (tiff.LZW, 2)}

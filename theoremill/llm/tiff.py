@@ -210,12 +210,12 @@ def pages(blob: bytes | None) -> Iterator[dict]:
     seen, page = set(), 0
     while at and at not in seen:
         seen.add(at)
+        following = 0
         try:
             tags, following = _directory(blob, at, order)
             yield {"page": page} | _page(blob, tags, order)
         except (KeyError, ValueError, struct.error, zlib.error, IndexError) as e:
             yield empty | {"page": page, "error": f"{type(e).__name__}: {e}"[:200]}
-            return
         at, page = following, page + 1
 
 
@@ -296,8 +296,6 @@ def encode(images: list[np.ndarray], how: int = DEFLATE, predictor: int = 1, til
 
 #: Query-side layout: an RGB row of 64 pixels takes 192 bytes of a payload; pages of at most this many rows.
 ROW_BYTES, PAGE_ROWS = 192, 256
-#: Payloads of up to so many bytes may be stored with LZW (coded in Python, so kept for short ones).
-LZW_BYTES = 4096
 
 
 def padded(text: bytes) -> bytes:
@@ -306,11 +304,11 @@ def padded(text: bytes) -> bytes:
 
 def store(payload: bytes) -> bytes:
     """A payload as a TIFF file; its checksum picks compression, predictor, strips or tiles, so equal texts agree."""
-    pick = zlib.crc32(payload) % 16
+    more, pick = divmod(zlib.crc32(payload), 16)
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW_BYTES // 3, 3)
     images = [rows[a : a + PAGE_ROWS] for a in range(0, len(rows), PAGE_ROWS)]
-    if pick == 0 and len(payload) <= LZW_BYTES:
-        return encode(images, LZW, predictor=1 + pick % 2)
+    if pick == 0:
+        return encode(images, LZW, predictor=1 + more % 2)
     if pick < 4:
         return encode(images, PACKBITS)
     return encode(images, DEFLATE, predictor=2 if pick in (5, 9) else 1, tile=16 if pick in (6, 9) else 0)
