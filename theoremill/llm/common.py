@@ -31,6 +31,12 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def with_row(stored: DataFrame, name: str) -> DataFrame:
+    """A table read from Parquet files with a long that tells its rows apart, repeated ones too: a 64-bit hash of the
+    row's file and its place there, the same in every scan."""
+    return stored.withColumn(name, F.xxhash64("_metadata.file_name", "_metadata.row_index"))
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id written as text, modulo divisor; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(divisor))

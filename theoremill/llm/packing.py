@@ -17,21 +17,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from theoremill.llm.common import materialize, prepare
+from theoremill.llm.common import materialize, prepare, with_row
 
 #: Cuts for what is left of a document after whole sequences, largest first; the first that packs well is used.
 CUTS = (1024, 512, 256, 128, 64)
 #: Share of padding that is small enough to keep longer pieces.
 PADDING = 0.005
-#: Characters for which both tokenizer libraries surely split texts alike; other texts take the slower one.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ȳ]*")
+#: Texts that both tokenizer libraries surely split alike, at bounded depth: plain Latin characters, no run of white
+#: space above 64 and no word above 512 characters. All other texts take the slower library.
+_SPACE, _SIGN = "[\t\n\r ]", "[!-~¡-ȳ]"
+_PLAIN = re.compile(f"{_SPACE}{{0,64}}+(?:{_SIGN}{{1,512}}+{_SPACE}{{1,64}}+)*+(?:{_SIGN}{{1,512}}+)?")
 
 _encoders: dict[tuple[str, str], object] = {}
 
 
 def _encoder(json_path: str, ranks_path: str | None):
-    """texts -> id lists, as library `tokenizers` gives them. With the ranks file (the same vocabulary), texts of plain
-    Latin characters go through the faster library; tests hold the two against each other."""
+    """texts -> id lists, as library `tokenizers` gives them.
+
+    With the ranks file (the same vocabulary), texts that match _PLAIN go through the faster library, whose recursion
+    grows with runs of white space; tests hold the two against each other.
+    """
     if (json_path, ranks_path or "") in _encoders:
         return _encoders[json_path, ranks_path or ""]
     from tokenizers import Tokenizer
@@ -65,7 +70,11 @@ def tokenizer_paths() -> tuple[str, str]:
 
 
 def tokenize(docs: DataFrame, json_path: str | None = None, ranks_path: str | None = None, end_id: int = 0) -> DataFrame:
-    """doc_id, n_tokens (long, with the end id), ids (binary: little-endian unsigned 32-bit). Null text: empty."""
+    """doc_id, n_tokens (long, with the end id), ids (binary: little-endian unsigned 32-bit) of every whole text.
+
+    Null and empty texts have the end id alone; texts of any length and runs of any character are encoded whole; rows
+    that repeat an id, or have none, are each returned; other columns are dropped; an empty table gives an empty result.
+    """
     prepare(docs.sparkSession)
     if json_path is None:
         json_path, ranks_path = tokenizer_paths()
@@ -85,9 +94,11 @@ def tokenize(docs: DataFrame, json_path: str | None = None, ranks_path: str | No
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
 
 
-def cut(tokens: DataFrame, max_length: int, rest_cut: int, digest: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+def cut(tokens: DataFrame, max_length: int, rest_cut: int, digest: dict[str, Callable[[Column], Column]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pieces (doc_id, n_tokens, start, length, ids): whole sequences first, then the rest in cuts of rest_cut.
 
+    Each row of tokens gives its own pieces, whether its id is null or repeated; a document has one id at least, so one
+    piece at least; an empty table gives an empty result; columns other than `keep` are dropped.
     digest: functions of a piece's ids, computed before the pieces of a document are dealt to rows; ids are then left
     out, so that no row repeats them.
     """
@@ -103,7 +114,7 @@ def cut(tokens: DataFrame, max_length: int, rest_cut: int, digest: dict[str, Cal
         ids = F.substring("ids", (start * 4 + 1).cast("int"), (length * 4).cast("int"))
         return F.struct(start.alias("start"), length.alias("length"), *([f(ids).alias(k) for k, f in digest.items()] if digest else [ids.alias("ids")]))
 
-    return tokens.select("doc_id", "n_tokens", F.inline(F.transform(starts, piece)))
+    return tokens.select("doc_id", "n_tokens", *keep, F.inline(F.transform(starts, piece)))
 
 
 def piece_histogram(totals: dict[int, int], whole: int, max_length: int, rest_cut: int) -> dict[int, int]:
@@ -173,28 +184,26 @@ def places(patterns: list) -> list[tuple[int, int, int, int, int, int]]:
 def assign(pieces: DataFrame, patterns: list, order: tuple[str, ...], rows_per_bucket: int = 500_000) -> DataFrame:
     """Add sequence_id and offset (long) to pieces that have `length`; other columns are carried along.
 
-    Ranks within a length are counted in buckets of hashed rows, so that a length which a third of all pieces have is
-    ranked by many tasks; the bucket sums (lengths x buckets, slim) give each bucket its first rank.
+    order: columns that tell all rows apart, repeated ones too. Ranks within a length are counted in buckets hashed
+    over them, so that a length, or copies, that make up a third of all pieces are ranked by many tasks; the bucket
+    sums (lengths x buckets, slim) give each bucket its first rank. Names of helper columns begin with two underscores;
+    an empty table gives an empty result; columns sequence_id and offset are overwritten.
     """
     spark = pieces.sparkSession
     total = sum(c * sum(t for _, t in p) for p, c in patterns)
     buckets = max(32, total // rows_per_bucket)
-    salted = pieces.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    counts = salted.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    first = counts.select(
-        F.col("length").alias("l"),
-        F.col("bucket").alias("b"),
-        (F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("before"),
-    )
-    ranked = salted.withColumn("in_bucket", F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order)))
-    ranked = ranked.join(first, (F.col("length") == F.col("l")) & (F.col("bucket") == F.col("b"))).withColumn("rank", F.coalesce("before", F.lit(0)) + F.col("in_bucket") - 1)
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    salted = pieces.select(*(f"`{c}`" for c in own)).withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    counts = salted.groupBy(F.col("length").alias("__l"), F.col("__bucket").alias("__b")).agg(F.count("*").alias("__n"))
+    first = counts.select("__l", "__b", F.sum("__n").over(Window.partitionBy("__l").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    ranked = salted.withColumn("__in", F.row_number().over(Window.partitionBy("length", "__bucket").orderBy(*order)))
+    ranked = ranked.join(first, (F.col("length") == F.col("__l")) & (F.col("__bucket") == F.col("__b"))).withColumn("__rank", F.coalesce("__before", F.lit(0)) + F.col("__in") - 1)
     # Places: patterns x distinct lengths in one; patterns follow from the histogram of at most max_length counts.
-    spots = spark.createDataFrame(places(patterns), "pl long, first_rank long, last_rank long, times long, first_sequence long, at long")
-    found = ranked.join(F.broadcast(spots), (F.col("length") == F.col("pl")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") <= F.col("last_rank")))
-    k = F.col("rank") - F.col("first_rank")
-    return found.withColumns({"sequence_id": F.col("first_sequence") + F.expr("(rank - first_rank) div times"), "offset": F.col("at") + F.pmod(k, F.col("times")) * F.col("length")}).drop(
-        "l", "b", "before", "in_bucket", "bucket", "rank", "pl", "first_rank", "last_rank", "times", "first_sequence", "at"
-    )
+    spots = spark.createDataFrame(places(patterns), "__pl long, __first long, __last long, __times long, __sequence long, __at long")
+    found = ranked.join(F.broadcast(spots), (F.col("length") == F.col("__pl")) & (F.col("__rank") >= F.col("__first")) & (F.col("__rank") <= F.col("__last")))
+    k = F.col("__rank") - F.col("__first")
+    sequence, offset = F.col("__sequence") + F.expr("(__rank - __first) div __times"), F.col("__at") + F.pmod(k, F.col("__times")) * F.col("length")
+    return found.select(*(f"`{c}`" for c in own), sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def pack(docs: DataFrame, max_length: int = 1024, digest: dict[str, Callable[[Column], Column]] | None = None, **tokenizer) -> DataFrame:
@@ -202,13 +211,14 @@ def pack(docs: DataFrame, max_length: int = 1024, digest: dict[str, Callable[[Co
 
     Every id of every document lies in one piece; sequences hold max_length ids at most and pieces fill them from 0
     without gaps. digest: columns to compute from a piece's ids instead of carrying these through the exchange. Null and
-    empty texts are documents of one (end) id; an empty table gives an empty result.
+    empty texts are documents of one (end) id; rows that repeat an id, or have none, are documents of their own; an
+    empty table gives an empty result.
     """
-    tokens = materialize(tokenize(docs, **tokenizer), "tokens")
+    tokens = with_row(materialize(tokenize(docs, **tokenizer), "tokens"), "__row")
     sums = tokens.groupBy(F.pmod("n_tokens", F.lit(max_length)).alias("rest")).agg(F.count("*").alias("n"), F.sum(F.expr(f"n_tokens div {max_length}")).alias("whole")).collect()
     rests, whole = {r["rest"]: r["n"] for r in sums if r["rest"]}, sum(r["whole"] for r in sums)
     for rest_cut in (c for c in CUTS if c <= max_length):
         patterns = shortest_pack_first(piece_histogram(rests, whole, max_length, rest_cut), max_length)
         if padding_share(patterns, max_length) <= PADDING:
             break
-    return assign(cut(tokens, max_length, rest_cut, digest), patterns, ("doc_id", "start"))
+    return assign(cut(tokens, max_length, rest_cut, digest, ("__row",)), patterns, ("__row", "start")).drop("__row")
