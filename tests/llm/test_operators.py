@@ -513,7 +513,8 @@ def test_histogram_sort_is_a_sort(spark):
 
 
 def test_splitters_meet_exact_bytes(spark):
-    docs = spark.range(500).select("id", F.lit(10).cast("long").alias("size"), sharding.text_order_key(F.lit("one hot text"), F.col("id")).alias("key"))
+    tie = F.unhex(F.lit("0" * 16))
+    docs = spark.range(500).select("id", F.lit(10).cast("long").alias("__size"), F.concat(sharding.text_order_key(F.lit("one hot text"), F.col("id")), tie).alias("__key"))
     found, total, n = sharding.find_splitters(docs, 5, 0.0)
     assert (total, n) == (5000, 500) and [s.bytes_below for s in found] == [1000, 2000, 3000, 4000] and [s.rows_below for s in found] == [100, 200, 300, 400]
 
@@ -528,6 +529,22 @@ def test_shards_odd_rows(spark, odd_docs, no_docs):
     assert sharding.shard_documents(no_docs, 4).count() == 0
 
 
+def test_shards_of_rows_that_are_all_equal(spark):
+    """Equal texts without an id, a third of them null: nothing tells the rows apart but their place in the table."""
+    rows = [(None, "one hot text " * 8, 1, "x")] * 2000 + [(None, None, 2, "y")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, __rank string")
+    got = sharding.shard_documents(docs, 24).collect()
+    assert len(got) == 3000
+    sizes, counts = [0] * 24, [[] for _ in range(24)]
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        counts[r["shard"]].append(r["slot"])
+    assert max(sizes) - min(sizes) <= 2 * 112 and all(sorted(c) == list(range(len(c))) for c in counts)
+    keyed = docs.select("*", F.lit(8).cast("long").alias("size"), sharding.text_order_key(F.col("text"), F.col("doc_id")).alias("key"))
+    made = sharding.histogram_sort(keyed, 6, rows_per_range=100)
+    assert made.columns == ["doc_id", "text", "__rank", "size", "shard", "slot"] and made.groupBy("shard").count().where("count = 500").count() == 6
+
+
 # ---- packing
 
 
@@ -558,10 +575,41 @@ def test_tokenizers_agree():
     exact, fast = packing._encoder(packing.tokenizer_paths()[0], None), packing._encoder(*packing.tokenizer_paths())
     rng = random.Random(4)
     texts = ["".join(chr(rng.choice([*range(32, 127), *range(0xA1, 0x234), 9, 10, 13, 32, 32, 32])) for _ in range(rng.randrange(80))) for _ in range(2000)]
-    texts += ["<|endoftext|>", "don't we'll  \n\n x", "　全角 и кириллица ​", "a b", "\x1c\x85", "  ", "¹²³ ½ Ⅷ"]
+    texts += ["<|endoftext|>", "don't we'll  \n\n x", "　全角 и кириллица ​", "a b", "\x1c\x85", "  ", "¹²³ ½ Ⅷ"]
+    texts += ["x" * 512 + " " * 64 + "y", "x" * 513, " " * 65, ("ab" * 200 + "\n" * 64) * 50]
     assert list(exact(texts)) == list(fast(texts))
 
 
+@pytest.mark.parametrize("run", [" ", "\t", "\n", "a", "é", "!", " a", "\r\n"])
+def test_runs_of_a_million(run):
+    exact, fast = packing._encoder(packing.tokenizer_paths()[0], None), packing._encoder(*packing.tokenizer_paths())
+    text = "a" + run * 1_000_000 + "b"
+    assert list(fast([text])) == list(exact([text]))
+
+
+def test_packing_a_text_of_white_space_and_copies(spark):
+    """A million spaces, and many equal rows without an id: every id lies in one place."""
+    rows = [(1, "a" + " " * 1_000_000 + "b")] + [(None, "same text of some words")] * 3000
+    made = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    taken = {}
+    for r in made:
+        taken.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in taken.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert sum(r["length"] for r in made if r["doc_id"] is None) == 3000 * 6
+    assert sorted(r["start"] for r in made if r["doc_id"] == 1)[0] == 0 and sum(r["length"] for r in made if r["doc_id"] == 1) == 1_000_002
+
+
+def test_assign_carries_clashing_columns(spark):
+    pieces = spark.range(50).select(F.col("id").alias("at"), F.lit(100).cast("long").alias("length"), F.lit("x").alias("rank"), F.lit("y").alias("bucket"), F.lit("z").alias("offset"))
+    made = packing.assign(pieces, packing.shortest_pack_first({100: 50}, 1024), ("at",))
+    assert made.columns == ["at", "length", "rank", "bucket", "sequence_id", "offset"] and made.select("sequence_id", "offset").distinct().count() == 50
+
+
 def test_packing_odd_rows(spark, odd_docs, no_docs):
     rows = packing.pack(odd_docs).collect()
     assert len({r["doc_id"] for r in rows}) == 11

@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from theoremill.llm.common import materialize, prepare
+from theoremill.llm.common import materialize, prepare, with_row
 
-KEY_BYTES = 16
+#: 8 bytes of order (equal texts agree), 8 of the id, 8 that tell repeated rows apart.
+KEY_BYTES = 24
 #: Rows that one task sorts at most, about; more rows make more (not larger) sort tasks.
 ROWS_PER_RANGE = 500_000
 #: Probes of one round over all splitters.
@@ -33,8 +34,8 @@ class Splitter:
 
 
 def text_order_key(text: Column, doc_id: Column) -> Column:
-    """16 bytes, unsigned big-endian: hash of the text, then the id. Equal texts are neighbours; ids break the tie, so
-    a group of copies of any size can be cut."""
+    """16 bytes, unsigned big-endian: hash of the text, then the id. Equal texts are neighbours; ids break the tie, and
+    `histogram_sort` tells rows with equal keys apart, so a group of copies of any size can be cut."""
     h = F.xxhash64(F.coalesce(text, F.lit("")))
     i = F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).bitwiseXOR(F.lit(-(2**63)))
     return F.unhex(F.concat(F.lpad(F.hex(h), 16, "0"), F.lpad(F.hex(i), 16, "0")))
@@ -88,7 +89,7 @@ def _count_between(probes: np.ndarray):
 def histogram(keyed: DataFrame, probes: list[int]) -> list[tuple[int, int, int, int, int]]:
     """(bin, bytes, rows, lowest key, highest key) of each non-empty gap between sorted probes: exact counts."""
     found = (
-        keyed.select("key", "size")
+        keyed.select("__key", "__size")
         .mapInArrow(_count_between(_as_bytes(probes)), "bin int, bytes long, n long, low binary, high binary")
         .groupBy("bin")
         .agg(F.sum("bytes"), F.sum("n"), F.min("low"), F.max("high"))
@@ -99,7 +100,11 @@ def histogram(keyed: DataFrame, probes: list[int]) -> list[tuple[int, int, int,
 
 
 def find_splitters(keyed: DataFrame, n_ranges: int, tolerance: float) -> tuple[list[Splitter], int, int]:
-    """n_ranges - 1 splitters (rows with a key below one lie left of it), total bytes, total rows."""
+    """n_ranges - 1 splitters (rows with a key below one lie left of it), total bytes, total rows.
+
+    keyed: __key (binary(KEY_BYTES)) and __size (long), neither null. Rows with equal keys are not parted: their
+    splitter lies before or behind all of them. An empty table gives splitters at 0.
+    """
     gaps: dict[tuple[int, int], None] = {(0, 2 ** (8 * KEY_BYTES) - 1): None}
     open_targets = list(range(1, n_ranges))
     found: dict[int, Splitter] = {}
@@ -135,8 +140,8 @@ def find_splitters(keyed: DataFrame, n_ranges: int, tolerance: float) -> tuple[l
 def _range_of(splitters: np.ndarray):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.searchsorted(splitters, _keys(batch.column("key")), "right") if len(splitters) else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], names=[*batch.schema.names, "part"])
+            at = np.searchsorted(splitters, _keys(batch.column("__key")), "right") if len(splitters) else np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], names=[*batch.schema.names, "__part"])
 
     return assign
 
@@ -144,32 +149,36 @@ def _range_of(splitters: np.ndarray):
 def histogram_sort(keyed: DataFrame, n_shards: int, tolerance: float = 0.001, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Sort rows into n_shards shards of near-equal bytes.
 
-    keyed: columns key (binary(16), not null) and size (long, not null), and any others, which are carried along.
-    Adds shard (int) and slot (long: position in key order within the shard, gapless from 0). Shards differ from the
-    ideal size by the tolerance (a share of it) plus one row at most; rows with equal keys stay together. An empty
-    table gives an empty result.
+    keyed: columns key (binary(16), not null) and size (long, not null, 1 or more), and any others, which are carried
+    along but for `shard` and `slot`, which are overwritten. Adds shard (int) and slot (long: position in key order
+    within the shard, gapless from 0). Shards differ from the ideal size by the tolerance (a share of it) plus one row
+    at most, whatever the keys: rows with equal keys, repeated ones too, follow their place in the written table, and
+    may be cut. An empty table gives an empty result.
     """
     spark = keyed.sparkSession
     prepare(spark)
-    keyed = materialize(keyed, "histogram-sort")
-    n = keyed.count()
+    own = [c for c in keyed.columns if c not in ("shard", "slot")]
+    stored = with_row(materialize(keyed.select(*(f"`{c}`" for c in own)), "histogram-sort"), "__row")
+    tie = F.unhex(F.lpad(F.hex("__row"), 16, "0"))
+    rows = stored.select(*(f"`{c}`" for c in own), F.concat("key", tie).alias("__key"), F.col("size").alias("__size"))
+    n = stored.count()
     if not n:
-        return keyed.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop("key")
-    per_shard = max(4, -(-n // (n_shards * rows_per_range)))
-    splitters, _, rows = find_splitters(keyed, n_shards * per_shard, tolerance)
-    keys = [s.key for s in splitters]
-    starts = [0, *(s.rows_below for s in splitters)]
-    base = [(p, p // per_shard, starts[p] - starts[p - p % per_shard]) for p in range(len(starts))]
-    first = spark.createDataFrame(base, "part int, shard int, base long")
-    high = [k for k in keys if k < 2 ** (8 * KEY_BYTES)]
-    dealt = keyed.mapInArrow(_range_of(_as_bytes(high)), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema) + ", part int")
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("key"))
-    return (
-        dealt.withColumn("rank", rank.cast("long"))
-        .join(F.broadcast(first), "part")  # one line per sort range: bounded by rows / rows_per_range
-        .withColumn("slot", F.col("rank") - 1 + F.col("base"))
-        .drop("part", "base", "rank", "key")
-    )
+        return stored.select(*(f"`{c}`" for c in own if c != "key"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    shards, _, _ = find_splitters(rows, n_shards, tolerance)
+    # Sort tasks are bounded by rows, not bytes: a third of all texts may be null. The two sets of splitters are merged.
+    tasks, _, _ = find_splitters(rows.withColumn("__size", F.lit(1).cast("long")), max(2 * n_shards, -(-n // rows_per_range)), 0.1)
+    starts = {s.key: s.rows_below for s in (Splitter(0, 0, 0), *shards, *tasks)}
+    keys = sorted(starts)
+    shard_of = [sum(s.key <= k for s in shards) for k in keys]
+    shard_start = [0, *(s.rows_below for s in shards)]
+    base = [(p, d, starts[k] - shard_start[d]) for p, (k, d) in enumerate(zip(keys, shard_of, strict=True))]
+    first = spark.createDataFrame(base, "__part int, __shard int, __base long")
+    high = [k for k in keys[1:] if k < 2 ** (8 * KEY_BYTES)]
+    carried = rows.drop("__size", "key")
+    dealt = carried.mapInArrow(_range_of(_as_bytes(high)), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema) + ", __part int")
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy("__key")).cast("long")
+    found = dealt.withColumn("__rank", rank).join(F.broadcast(first), "__part")  # one line per sort range: bounded by rows / rows_per_range
+    return found.select(*(f"`{c}`" for c in own if c != "key"), F.col("__shard").alias("shard"), (F.col("__rank") - 1 + F.col("__base")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, tolerance: float = 0.001) -> DataFrame:
