@@ -452,6 +452,81 @@ def test_float_predictor():
     assert np.frombuffer(next(tiff.pages(blob))["pixels"], "<f4").tolist() == values[0].tolist()
 
 
+def digested(docs):
+    return tiff.digests(tiff.read_pages(tiff.with_digest(tiff.store_documents(docs)), keep=("doc_id", "n_bytes", "media_bytes", "media_sha256")))
+
+
+def one_page(tags, data=b""):
+    """A file of one page by hand: (tag, type, values) and bytes that begin at 8."""
+    import struct
+
+    out, at, fields = bytearray(data), 8 + len(data), []
+    for tag, kind, values in sorted(tags):
+        raw = struct.pack(f"<{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(raw) > 4:
+            raw, place = struct.pack("<I", 8 + len(out)), out.extend(raw)
+        fields.append(struct.pack("<HHI", tag, kind, len(values)) + raw.ljust(4, b"\0"))
+    at = 8 + len(out)
+    return struct.pack("<2sHI", b"II", 42, at) + bytes(out) + struct.pack("<H", len(fields)) + b"".join(fields) + b"\0" * 4
+
+
+def shape(width, height, bits, *more, at=(8,), size=(1,), rows=None):
+    return [(256, 4, [width]), (257, 4, [height]), (258, 3, bits), (273, 4, list(at)), (278, 4, [rows or max(1, height)]), (279, 4, list(size)), *more]
+
+
+@pytest.mark.parametrize(
+    "blob",
+    [
+        one_page(shape(0, 5, [8]), b"x"),
+        one_page(shape(5, 0, [8]), b"x"),
+        one_page(shape(4_000_000, 4_000_000, [8]), b"x"),
+        one_page(shape(65_000, 60_000, [8]), b"x" * 2_000_000),
+        one_page([t for t in shape(4, 4, [8]) if t[0] not in (273, 278, 279)] + [(322, 4, [0]), (323, 4, [16]), (324, 4, [8]), (325, 4, [1])], b"x"),
+        one_page(shape(8, 8, [8], (259, 3, [8]), size=(9,)), zlib.compress(b"ab")),
+        one_page(shape(8, 8, [8], (259, 3, [5]), size=(3,)), b"\xff\xff\xff"),
+        one_page(shape(8, 8, [8], (277, 3, [0])), b"x"),
+        one_page(shape(8, 8, [12]), b"x" * 96),
+        one_page(shape(8, 8, [8], (317, 3, [3]), size=(64,)), b"x" * 64),
+        one_page(shape(8, 8, [8], at=(8, 8), size=(64,)), b"x" * 64),
+    ],
+)
+def test_headers_that_lie(blob):
+    got = list(tiff.pages(blob))
+    assert len(got) == 1 and got[0]["error"] and got[0]["pixels"] is None
+
+
+def test_a_bomb_is_not_inflated():
+    bomb = zlib.compress(bytes(50_000_000))
+    got = list(tiff.pages(one_page(shape(8, 8, [8], (259, 3, [8]), size=(len(bomb),)), bomb)))
+    assert got[0]["pixels"] == bytes(64)
+
+
+def test_bits_and_planes():
+    bits = np.random.default_rng(1).integers(0, 2, (5, 11, 1), dtype=np.uint8)
+    packed = np.packbits(bits[:, :, 0], axis=1).tobytes()
+    assert next(tiff.pages(one_page(shape(11, 5, [1], size=(10,)), packed)))["pixels"] == bits.tobytes()
+    lines = b"".join(tiff.pack_bits(packed[i : i + 2]) for i in range(0, 10, 2))
+    assert next(tiff.pages(one_page(shape(11, 5, [1], (259, 3, [tiff.PACKBITS]), size=(len(lines),)), lines)))["pixels"] == bits.tobytes()
+    rgb = np.random.default_rng(2).integers(0, 256, (4, 3, 3), dtype=np.uint8)
+    planes = [rgb[y : y + 2, :, p].tobytes() for p in range(3) for y in (0, 2)]
+    blob = one_page(shape(3, 4, [8, 8, 8], (277, 3, [3]), (284, 3, [2]), at=[8 + 6 * i for i in range(6)], size=[6] * 6, rows=2), b"".join(planes))
+    assert next(tiff.pages(blob))["pixels"] == rgb.tobytes()
+
+
+def test_a_very_long_text(spark):
+    """Pages of one file in many batches, each byte once."""
+    import hashlib
+
+    text = "ab c" * 4_000_000
+    rows = digested(spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string")).collect()
+    payload = tiff.padded(text.encode())
+    assert len(rows) == 3 and len({tuple(r) for r in rows}) == 2
+    r = next(r for r in rows if r["doc_id"] == 1)
+    media = tiff.store(payload)
+    assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (16_000_000, len(payload), hashlib.sha256(payload).hexdigest())
+    assert (r["media_bytes"], r["media_sha256"], r["tail_crc32"]) == (len(media), hashlib.sha256(media).hexdigest(), zlib.crc32(payload[-16:]))
+
+
 def test_tiff_odd_files(spark, odd_docs, no_docs):
     good = tiff.encode([np.ones((2, 2, 1), np.uint8)])
     loop = bytearray(good)
@@ -459,7 +534,7 @@ def test_tiff_odd_files(spark, odd_docs, no_docs):
     got = tiff.read_pages(spark.createDataFrame(files, "doc_id long, media binary")).collect()
     by = {r["doc_id"]: r for r in got}
     assert set(by) == set(range(1, 8)) and by[5]["error"] is None and all(by[i]["error"] for i in (1, 2, 3, 4, 7))
-    rows = tiff.digests(tiff.read_pages(tiff.store_documents(odd_docs), keep=("doc_id", "n_bytes", "media"))).collect()
+    rows = digested(odd_docs).collect()
     assert len(rows) == odd_docs.count()
     assert {r["payload_bytes"] for r in rows if r["n_bytes"] == 0} == {192}
     assert tiff.read_pages(tiff.store_documents(no_docs)).count() == 0

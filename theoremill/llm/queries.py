@@ -33,8 +33,8 @@ def _judged(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = tiff.store_documents(table(spark, sf_dir, "documents"))
-    return tiff.digests(tiff.read_pages(files, keep=("doc_id", "n_bytes", "media")))
+    files = tiff.with_digest(tiff.store_documents(table(spark, sf_dir, "documents")))
+    return tiff.digests(tiff.read_pages(files, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256")))
 
 
 def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,9 +21,14 @@ from theoremill.llm.common import prepare
 # Fixed values of the format: field types (bytes each), tags, compression schemes.
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
+FILL_ORDER = 266
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
+#: Bytes of a page's samples: they must fit a binary cell. A file can't hold more than this many times its own bytes.
+PAGE_BYTES, MOST_PACKED = 2**31 - 1, 4096
+#: Bytes that an Arrow function gathers before it hands rows on, and rows.
+FLUSH_BYTES, FLUSH_ROWS = 8 << 20, 128
 PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
 
 
@@ -80,11 +85,14 @@ def lzw_decode(data: bytes, size: int) -> bytes:
             continue
         if code == 257 or made >= size:
             break
+        if code > len(table) or not prior and code > 255:
+            raise ValueError(f"code {code} of a table of {len(table)}")
         if not prior:
             word = table[code]
         else:
             word = table[code] if code < len(table) else prior + prior[:1]
-            table.append(prior + word[:1])
+            if len(table) < 4096:
+                table.append(prior + word[:1])
             if len(table) + 1 >= 1 << width and width < 12:
                 width += 1
         out.append(word)
@@ -132,9 +140,10 @@ def _difference(block: np.ndarray) -> np.ndarray:
     return out
 
 
-def _undo(raw: bytes, rows: int, columns: int, samples: int, kind: np.dtype, predictor: int) -> np.ndarray:
-    n = rows * columns * samples * kind.itemsize
-    raw = raw[:n].ljust(n, b"\0")
+def _undo(raw: bytes, rows: int, columns: int, samples: int, kind: np.dtype, predictor: int, bits: int) -> np.ndarray:
+    if bits == 1:  # rows begin on whole bytes
+        line = -(-columns * samples // 8)
+        return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, line), axis=1)[:, : columns * samples].reshape(rows, columns, samples)
     if predictor == 3:  # bytes of a row are split by significance, then differenced
         planes = np.frombuffer(raw, np.uint8).reshape(rows, -1, samples)
         planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, columns * samples)
@@ -146,15 +155,20 @@ def _undo(raw: bytes, rows: int, columns: int, samples: int, kind: np.dtype, pre
 
 
 def _inflate(data: bytes, size: int, how: int) -> bytes:
+    """Exactly size bytes; what follows them is not decoded, and fewer are an error."""
     if how == NONE:
-        return data
-    if how in (DEFLATE, DEFLATE_OLD):
-        return zlib.decompress(data)
-    if how == PACKBITS:
-        return unpack_bits(data, size)
-    if how == LZW:
-        return lzw_decode(data, size)
-    raise ValueError(f"compression {how} is not supported")
+        out = data[:size]
+    elif how in (DEFLATE, DEFLATE_OLD):
+        out = zlib.decompressobj().decompress(data, max(1, size))
+    elif how == PACKBITS:
+        out = unpack_bits(data, size)
+    elif how == LZW:
+        out = lzw_decode(data, size)
+    else:
+        raise ValueError(f"compression {how} is not supported")
+    if len(out) < size:
+        raise ValueError(f"{len(out)} of {size} bytes")
+    return out
 
 
 def _directory(blob: bytes, at: int, order: str) -> tuple[dict[int, list[int]], int]:
@@ -174,25 +188,38 @@ def _directory(blob: bytes, at: int, order: str) -> tuple[dict[int, list[int]],
 
 
 def _page(blob: bytes, tags: dict[int, list[int]], order: str) -> dict:
+    """One page: 1-bit (as bytes 0 and 1), 8, 16 or 32-bit samples, chunky or planar, strips or tiles. Everything that the
+    header claims is checked before memory is taken for it."""
     one = lambda tag, default: tags.get(tag, [default])[0]
     width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
-    bits, how, predictor = one(BITS, 8), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if bits not in (8, 16, 32) or one(PLANAR, 1) != 1:
-        raise ValueError(f"{bits} bits or planar samples are not supported")
-    kind = np.dtype(f"{order}f4" if one(SAMPLE_FORMAT, 1) == 3 else f"{order}u{bits // 8}")
-    image = np.zeros((height, width, samples), kind)
-    tiled = TILE_OFFSETS in tags
+    bits, how, predictor, real = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1), one(SAMPLE_FORMAT, 1) == 3
+    if bits not in (1, 8, 16, 32) or len(set(tags.get(BITS, [bits]))) > 1 or real and bits != 32 or one(FILL_ORDER, 1) != 1:
+        raise ValueError(f"samples of {bits} bits in this order are not supported")
+    if predictor not in (1, 2, 3) or predictor == 3 and not real or predictor == 2 and (bits == 1 or real):
+        raise ValueError(f"predictor {predictor} does not go with these samples")
+    tiled, planar = TILE_OFFSETS in tags, one(PLANAR, 1) == 2
     if tiled:
         across, down, places, sizes = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0), tags[TILE_OFFSETS], tags[TILE_BYTES]
     else:
         across, down, places, sizes = width, min(one(ROWS_PER_STRIP, height), height), tags[STRIP_OFFSETS], tags[STRIP_BYTES]
-    per_row = -(-width // across)
+    if min(width, height, samples, across, down) < 1:
+        raise ValueError("width, height, samples or tiles of nothing")
+    kind = np.dtype(f"{order}f4" if real else f"{order}u{max(1, bits // 8)}")
+    need = width * height * samples * kind.itemsize
+    if need > min(PAGE_BYTES, MOST_PACKED * len(blob)) or across * down * samples * kind.itemsize > PAGE_BYTES:
+        raise ValueError(f"{need} bytes of samples in a file of {len(blob)}")
+    deep = 1 if planar else samples  # samples of a block
+    per_row, per_plane = -(-width // across), -(-width // across) * -(-height // down)
+    if len(places) != len(sizes) or len(places) != per_plane * (samples // deep):
+        raise ValueError(f"{len(places)} blocks, {len(sizes)} sizes")
+    image = np.zeros((height, width, samples), kind)
     for i, (place, size) in enumerate(zip(places, sizes, strict=True)):
-        y, x = i // per_row * down, i % per_row * across
+        plane, at = divmod(i, per_plane)
+        y, x = at // per_row * down, at % per_row * across
         rows = down if tiled else min(down, height - y)
-        raw = _inflate(blob[place : place + size], rows * across * samples * kind.itemsize, how)
-        block = _undo(raw, rows, across, samples, kind, predictor)
-        image[y : y + down, x : x + across] = block[: height - y, : width - x]
+        line = -(-across * deep // 8) if bits == 1 else across * deep * kind.itemsize
+        block = _undo(_inflate(blob[place : place + size], rows * line, how), rows, across, deep, kind, predictor, bits)
+        image[y : y + down, x : x + across, plane : plane + deep] = block[: height - y, : width - x]
     return {"width": width, "height": height, "samples": samples, "bits": bits, "compression": how, "predictor": predictor, "tiled": tiled, "pixels": image.tobytes(), "error": None}
 
 
@@ -214,7 +241,7 @@ def pages(blob: bytes | None) -> Iterator[dict]:
         try:
             tags, following = _directory(blob, at, order)
             yield {"page": page} | _page(blob, tags, order)
-        except (KeyError, ValueError, struct.error, zlib.error, IndexError) as e:
+        except (KeyError, ValueError, struct.error, zlib.error, IndexError, OverflowError, MemoryError) as e:
             yield empty | {"page": page, "error": f"{type(e).__name__}: {e}"[:200]}
         at, page = following, page + 1
 
@@ -223,7 +250,10 @@ def read_pages(files: DataFrame, blob: str = "media", keep: tuple[str, ...] = ("
     """One row per page of each file, the columns `keep` repeated; pages of a file follow each other in order.
 
     Columns: page (0-based), width, height, samples, bits, compression, predictor, tiled, pixels (binary, row by row),
-    error. Null, empty or broken files give one row with an error, never a failed task. Other columns are dropped.
+    error. Null, empty or broken files give one row with an error, never a failed task; so does a page that can't be
+    read, or of more bytes than a binary cell holds, and the pages behind it are read. Repeated rows are each read; an
+    empty table gives an empty result; other columns are dropped. Rows are handed on by bytes, so files have any size;
+    keep should hold small columns only, being repeated for each page.
     """
     prepare(files.sparkSession)
     chosen = files.select(*keep, F.col(blob).cast("binary").alias("__blob"))
@@ -234,15 +264,27 @@ def read_pages(files: DataFrame, blob: str = "media", keep: tuple[str, ...] = ("
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = batch.column(batch.num_columns - 1)
-            for a in range(0, batch.num_rows, 128):
-                at, rows = [], []
-                for i in range(a, min(a + 128, batch.num_rows)):
-                    for row in pages(blobs[i].as_py()):
-                        at.append(i)
-                        rows.append(row)
+            at, rows, held = [], [], 0
+
+            def flush(batch=batch, at=at, rows=rows) -> pa.RecordBatch:
                 index = pa.array(at, pa.int64())
                 kept = [batch.column(k).take(index) for k in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array([r[c] for r in rows], k) for c, k in zip(columns, kinds, strict=True))], names=[*keep, *columns])
+                made = pa.RecordBatch.from_arrays([*kept, *(pa.array([r[c] for r in rows], k) for c, k in zip(columns, kinds, strict=True))], names=[*keep, *columns])
+                at.clear()
+                rows.clear()
+                return made
+
+            for i in range(batch.num_rows):
+                for row in pages(blobs[i].as_py()):
+                    size = len(row["pixels"] or b"")
+                    if rows and (held + size > FLUSH_BYTES or len(rows) >= FLUSH_ROWS):
+                        yield flush()
+                        held = 0
+                    at.append(i)
+                    rows.append(row)
+                    held += size
+            if rows:
+                yield flush()
 
     return chosen.mapInArrow(run, f"{schema}, {PAGE_SCHEMA}")
 
@@ -315,15 +357,27 @@ def store(payload: bytes) -> bytes:
 
 
 def store_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: every whole text (null: empty) as UTF-8, padded with spaces to rows of 192 bytes."""
+    """doc_id, n_bytes, media: every whole text as UTF-8, padded with spaces to rows of 192 bytes.
+
+    Null and empty texts are one row of spaces (n_bytes 0); equal texts give equal files; rows that repeat an id, or
+    have none, are each stored; texts have any length; an empty table gives an empty result; other columns are dropped.
+    """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            for a in range(0, batch.num_rows, 128):
-                raw = [(texts[i].as_py() or "").encode() for i in range(a, min(a + 128, batch.num_rows))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 128), pa.array([len(x) for x in raw], pa.int64()), pa.array([store(padded(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
+            texts, a, sizes, files, held = batch.column(1), 0, [], [], 0
+            for i in range(batch.num_rows):
+                raw = (texts[i].as_py() or "").encode()
+                file = store(padded(raw))
+                if files and (held + len(file) > FLUSH_BYTES or len(files) >= FLUSH_ROWS):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, i - a), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                    a, sizes, files, held = i, [], [], 0
+                sizes.append(len(raw))
+                files.append(file)
+                held += len(file)
+            if files:
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
@@ -338,18 +392,31 @@ def feature_of(pixels: np.ndarray) -> str:
     return f"{int(''.join('1' if x else '0' for x in (cells[:, 1:] > cells[:, :-1]).ravel()), 2):016x}"
 
 
+def with_digest(files: DataFrame) -> DataFrame:
+    """files without `media`'s bytes having to follow its pages: adds media_bytes (long) and media_sha256 (lowercase hex)
+    of the stored form; null media: null. Columns of these names are overwritten; all rows are kept."""
+    return files.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+
+
 def digests(read: DataFrame) -> DataFrame:
-    """One row per file from its consecutive pages (read_pages with doc_id, n_bytes and media kept): a narrow step."""
-    import hashlib
+    """One row per file from its consecutive pages (read_pages of with_digest's table, its columns doc_id, n_bytes,
+    media_bytes and media_sha256 kept): a narrow step.
 
-    def close(key: tuple, parts: list[bytes]) -> tuple:
-        doc_id, n_bytes, media = key
-        payload = b"".join(parts)
-        return (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(np.frombuffer(payload, np.uint8)), len(parts))
+    A file that could not be read has the digests of what could be, nothing for the rest. Rows that repeat an id, or
+    have none, are told apart by page 0 and each returned; an empty table gives an empty result.
+    """
+    import hashlib
 
+    own = ("doc_id", "n_bytes", "media_bytes", "media_sha256")
     names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages")
     kinds = (None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
 
+    def close(key: tuple, parts: list[bytes]) -> tuple:
+        doc_id, n_bytes, media_bytes, media_sha256 = key
+        payload = b"".join(parts)
+        feature = feature_of(np.frombuffer(payload[: len(payload) // ROW_BYTES * ROW_BYTES], np.uint8)) if len(payload) >= ROW_BYTES else ""
+        return (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), media_bytes, media_sha256, feature, len(parts))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, out, kind = None, [], [], None
 
@@ -365,8 +432,8 @@ def digests(read: DataFrame) -> DataFrame:
                 if page[i] == 0:
                     if key:
                         out.append(close(key, parts))
-                    key, parts = (batch.column("doc_id")[i].as_py(), batch.column("n_bytes")[i].as_py(), batch.column("media")[i].as_py()), []
-                parts.append(batch.column("pixels")[i].as_py())
+                    key, parts = tuple(batch.column(c)[i].as_py() for c in own), []
+                parts.append(batch.column("pixels")[i].as_py() or b"")
             if out:
                 yield flush()
         if key:
@@ -374,4 +441,4 @@ def digests(read: DataFrame) -> DataFrame:
             yield flush()
 
     kind = dict(read.dtypes)["doc_id"]
-    return read.select("doc_id", "n_bytes", "media", "page", "pixels").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int")
+    return read.select(*own, "page", "pixels").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int")
