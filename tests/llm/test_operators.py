@@ -366,23 +366,60 @@ def test_scores_of_odd_rows(spark, odd_docs, no_docs):
 # ---- language
 
 
-def test_gru_gradient():
+def test_bptt_gradient():
+    """Finite differences of the loss of whole windows, through time in both directions."""
     rng = np.random.default_rng(1)
-    g = langid.Gru(rng.normal(0, 0.3, (256, 9)), rng.normal(0, 0.3, (3, 9)))
-    byte, h0 = np.array([5, 9, 5]), rng.normal(0, 1, (3, 3))
-    out, kept = g.step(byte, h0)
-    dx, du = np.zeros_like(g.x), np.zeros_like(g.u)
-    dh = g.back(kept, np.ones_like(out), dx, du)
-    eps = 1e-6
-    for a, d in ((g.u, du), (g.x, dx), (h0, dh)):
-        for i in [(0, 1), (2, 0), (1, 2)] if a is not g.x else [(5, 0), (9, 4), (5, 8)]:
-            was = a[i]
-            a[i] = was + eps
-            up = g.step(byte, h0)[0].sum()
-            a[i] = was - eps
-            down = g.step(byte, h0)[0].sum()
-            a[i] = was
-            assert d[i] == pytest.approx((up - down) / (2 * eps), abs=1e-6)
+    h = 3
+    grus = [langid.Gru(rng.normal(0, 0.5, (256, 3 * h)), rng.normal(0, 0.5, (h, 3 * h))) for _ in range(2)]
+    model = langid.LanguageModel(["a", "b"], *grus, rng.normal(0, 0.5, (2 * h, 2)), rng.normal(0, 0.5, 2), h)
+    x, y = rng.integers(97, 101, (4, 9)), np.array([0, 1, 1, 0])
+    _, grad = langid.gradients(model, x, y)
+    for name, w in (("fx", model.forth.x), ("fu", model.forth.u), ("bx", model.back.x), ("bu", model.back.u), ("o", model.out), ("b", model.bias)):
+        places = [(i, j) for i in (97, 99) for j in (0, 4, 8)] if name in ("fx", "bx") else [tuple(int(rng.integers(n)) for n in w.shape) for _ in range(6)]
+        for i in places:
+            was, eps = w[i], 1e-5
+            w[i] = was + eps
+            up = langid.gradients(model, x, y)[0]
+            w[i] = was - eps
+            down = langid.gradients(model, x, y)[0]
+            w[i] = was
+            assert grad[name][i] == pytest.approx((up - down) / (2 * eps), abs=1e-7), name
+
+
+def test_states_are_carried_through_whole_texts():
+    """Lanes against a loop over all bytes: every position counts once, and windows leave no trace."""
+    model = langid.fit(["the of and that with " * 40, "der die und nicht mit " * 40] * 5, ["en", "de"] * 5, steps=120)
+    texts = ["the of " * 300 + "nicht die " * 300, "x", "", "der " * 10 + "with that and " * 171, "and" * 171, "a" * 512, "b" * 1025, "12 34 " * 400]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = model.sums(data, offsets)
+    want = np.stack([model.positions(data[a:z]).sum(0) for a, z in zip(offsets[:-1], offsets[1:], strict=True)])
+    assert got.sum(1) == pytest.approx(np.diff(offsets), abs=1e-2)
+    assert np.abs(got - want).max() < 1.0 and (np.abs(got - want).sum(1) <= 2e-3 * np.diff(offsets) + 1e-3).all()
+
+
+def test_window_edges_without_a_run_up(monkeypatch):
+    """Where the run-up gives a wrong state, windows are read again until the states agree."""
+    model = langid.fit(["the of and that with " * 40, "der die und nicht mit " * 40] * 5, ["en", "de"] * 5, steps=60)
+    data = np.frombuffer(("the die of " * 900).encode(), np.uint8)
+    want = model.positions(data).sum(0)
+    monkeypatch.setattr(langid, "WARM", 1)
+    monkeypatch.setattr(langid, "WINDOW", 40)
+    monkeypatch.setattr(langid, "SAME_STATE", 1e-6)
+    assert model.sums(data, np.array([0, len(data)]))[0] == pytest.approx(want, rel=1e-4)
+
+
+def test_scripts_without_spaces():
+    """Whole sentences without a space, in two ranges of one script and one other."""
+    rng = random.Random(6)
+    kana, han, hangul = [chr(0x3042 + i) for i in range(40)], [chr(0x4E00 + 7 * i) for i in range(200)], [chr(0xAC00 + 28 * i) for i in range(200)]
+    make = {"ja": lambda: "".join(rng.choice(rng.choice([kana, kana, han])) for _ in range(rng.randint(20, 200))), "zh": lambda: "".join(rng.choice(han) for _ in range(rng.randint(20, 200))), "ko": lambda: "".join(rng.choice(hangul) for _ in range(rng.randint(20, 200)))}
+    names = [n for n in make for _ in range(40)]
+    model = langid.fit([make[n]() for n in names], names, steps=150)
+    texts = [make[n]() for n in names]
+    raw = [t.encode() for t in texts]
+    got, _ = langid.label_texts(model, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), texts)
+    assert np.mean([g == n for g, n in zip(got, names, strict=True)]) > 0.95
 
 
 def test_language_odd_rows(spark, odd_docs, no_docs):
@@ -399,16 +436,6 @@ def test_language_odd_rows(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in langid.identify(odd_docs, langid.train(no_docs)).collect()} == {"und"}
 
 
-def test_remembered_words_change_nothing():
-    model = langid.fit(["the of and " * 20, "der die und " * 20] * 10, ["en", "de"] * 10, steps=20)
-    texts = ["the of the die", "averyveryverylongwordindeed the"]
-    w = toxicity.words_of(texts)
-    langid._memory.clear()
-    first = langid.label_texts(model, w, texts)[1]
-    again = langid.label_texts(model, w, texts)[1]
-    whole = model.sums(w.data, w.starts, w.ends).sum(1)
-    assert first == pytest.approx(again) and whole == pytest.approx((w.ends - w.starts).astype(float), rel=1e-4)
-
 
 # ---- TIFF
 
@@ -705,16 +732,44 @@ def test_packing_odd_rows(spark, odd_docs, no_docs):
 # ---- samples
 
 
-def test_lowest_is_the_same_with_and_without_its_bound(spark):
+def test_lowest_counts_keys_and_not_rows(spark):
+    """The same sample of a table, of one with each row twice, and of one with few ids many times."""
     from theoremill.llm.common import lowest
 
     ids = spark.range(20_000).select(F.col("id").alias("doc_id"))
     want = [r[0] for r in ids.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(40).collect()]
     assert sorted(r[0] for r in lowest(ids.unionAll(ids), "doc_id", 40, 3).collect()) == sorted(want)
-    assert sorted(r[0] for r in lowest(ids, "doc_id", 40, 3, total=100).collect()) == sorted(want)
+    few = spark.range(200_000).select((F.col("id") % 100).alias("doc_id"))
+    want = [r[0] for r in few.distinct().orderBy(F.xxhash64("doc_id", F.lit(0)), "doc_id").limit(50).collect()]
+    assert sorted(r[0] for r in lowest(few, "doc_id", 50).collect()) == sorted(want)
+    nulls = ids.unionAll(spark.range(500).select(F.lit(None).cast("long").alias("doc_id")))
+    assert lowest(nulls, "doc_id", 40).where("doc_id is null").count() == 0
     assert lowest(ids.limit(0), "doc_id", 40).count() == 0
 
 
+def test_samples_of_repeated_rows_are_bounded(spark):
+    """Each row 50 times: the same sample, and one text per id reaches the driver."""
+    from theoremill.llm.common import labelled_sample, text_sample
+
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    many = docs.crossJoin(spark.range(50).select(F.lit(1).alias("extra"))).drop("extra")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    assert text_sample(docs, 30, 5, 0, 1000) == text_sample(many, 30, 5, 0, 1000)
+    again = labels.unionAll(labels)
+    assert labelled_sample(docs, labels, "quality", 20, 5, 0, 1000) == labelled_sample(many, again, "quality", 20, 5, 0, 1000)
+
+
+def test_long_texts_give_pieces(spark):
+    from theoremill.llm.common import bounded_text
+
+    docs = spark.createDataFrame([(1, "short"), (2, "".join(f"{i:07d} " for i in range(50_000))), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["p"] for r in docs.select("doc_id", bounded_text(F.col("text"), F.col("doc_id"), 1600).alias("p")).collect()}
+    assert got[1] == "short" and got[3] is None
+    lines = got[2].split("\n")
+    numbers = [int(x) for line in lines for x in line.split()[1:-1]]
+    assert len(got[2]) <= 1600 and len(lines) == 16 and max(numbers) - min(numbers) > 20_000
+
+
 def test_labels_of_held_out_rows_are_never_used(spark):
     from theoremill.llm.common import labelled_sample, text_sample
 

@@ -46,37 +46,59 @@ def held_out(doc_id: Column, divisor: int, rest: int) -> Column:
     return F.coalesce(remainder(doc_id, divisor) == rest, F.lit(False))
 
 
-def lowest(df: DataFrame, key: str, n: int, salt: int = 0, total: int | None = None) -> DataFrame:
-    """The n rows with the lowest keyed hash, repeated rows once: a deterministic sample of bounded size.
+#: Parts of a long text that stand for it in training.
+PIECES = 16
 
-    Where there are many more rows, a bound on the hash lets about 4 n of them into the top-n, so that it is the same
-    small step at any size. total: number of rows, counted if not given.
+
+def bounded_text(text: Column, doc_id: Column, max_chars: int) -> Column:
+    """The text, or, if it has more than max_chars characters, PIECES parts of it from keyed places all over it, each on
+    lines of its own: max_chars characters at most. For training only."""
+    each = max_chars // PIECES - 1
+    start = lambda i: F.pmod(F.xxhash64(doc_id, i), F.length(text) - each + 1).cast("int") + 1
+    parts = F.transform(F.sequence(F.lit(1), F.lit(PIECES)), lambda i: F.substring(text, start(i), F.lit(each)))
+    return F.when(F.length(text) > max_chars, F.array_join(parts, "\n")).otherwise(text)
+
+
+def lowest(df: DataFrame, key: str, n: int, salt: int = 0) -> DataFrame:
+    """The rows of the n keys with the lowest keyed hash, one row per key: a deterministic sample of bounded size,
+    whatever rows repeat. df has the key and columns that follow from it; null keys are left out.
+
+    Where there are many more keys, a bound on the hash lets about 4 n of them into the top-n, so that it is the same
+    small step at any size. Keys are counted by a sketch of fixed size (2 % error); should the bound have let too few
+    through all the same, it is dropped.
     """
     h = F.xxhash64(F.col(key), F.lit(salt))
-    total = df.count() if total is None else total
-    if total > 8 * n:
-        df = df.where(h < -(2**63) + 2**64 * 4 * n // total)
-    return df.distinct().orderBy(h, F.col(key)).limit(n)
+    known = df.where(F.col(key).isNotNull())
+    about = known.agg(F.approx_count_distinct(key, 0.02)).first()[0]
+    if about > 8 * n:
+        some = known.where(h < -(2**63) + 2**64 * 4 * n // about)
+        if some.select(key).distinct().limit(n).count() == n:
+            known = some
+    return known.dropDuplicates([key]).orderBy(h, F.col(key)).limit(n)
+
+
+def _texts_of(docs: DataFrame, chosen: DataFrame, max_chars: int) -> DataFrame:
+    """One text (the least, if rows repeat an id) per chosen id, of max_chars characters at most."""
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", bounded_text(F.col("text").cast("string"), F.col("doc_id"), max_chars).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, divisor: int, rest: int, max_chars: int) -> list[tuple[str, int]]:
-    """(text, label) of at most per_class rows per label value 0 and 1, never of held-out rows: a bounded sample.
+    """(text, label) of at most per_class ids per label value 0 and 1, never of held-out rows: a bounded sample.
 
-    Rows are chosen by keyed hash of the id among labels whose id is not held out; of these, texts of up to max_chars
-    characters are fetched (training only; scoring reads whole texts).
+    Ids are chosen by keyed hash among labels whose id is not held out; an id with both labels has label 1. One text
+    per id is fetched, of max_chars characters at most (see bounded_text; scoring reads whole texts).
     """
     fair = labels.where(F.col(label).isin(0, 1) & (remainder(F.col("doc_id"), divisor) != rest)).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = lowest(fair.where("y = 0"), "doc_id", per_class).unionAll(lowest(fair.where("y = 1"), "doc_id", per_class))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")  # at most 2 x per_class ids
-    return [(r["text"], r["y"]) for r in sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"]))]
+    label_of = {r["doc_id"]: r["y"] for r in chosen.collect()}  # at most 2 x per_class ids
+    return [(r["text"], label_of[r["doc_id"]]) for r in sorted(_texts_of(docs, chosen.select("doc_id"), max_chars).collect())]
 
 
 def text_sample(docs: DataFrame, n: int, divisor: int, rest: int, max_chars: int, salt: int = 1) -> list[str]:
-    """At most n whole texts of up to max_chars characters, by keyed hash, never of held-out rows."""
+    """At most n texts, one per id, by keyed hash, never of held-out rows, of max_chars characters at most."""
     ids = lowest(docs.where(remainder(F.col("doc_id"), divisor) != rest).select("doc_id"), "doc_id", n, salt)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
-    return [r["text"] for r in sorted(texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text").collect(), key=lambda r: (r["doc_id"], r["text"]))]
+    return [r["text"] for r in sorted(_texts_of(docs, ids, max_chars).collect())]
 
 
 def with_scores(docs: DataFrame, scorer, between) -> DataFrame:

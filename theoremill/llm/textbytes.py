@@ -97,16 +97,22 @@ def words_in(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE,
     return Words(raw, LOWER[raw], offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def chunks(column: pa.Array, between: np.ndarray = SPACE, joins: bytes = b"") -> Iterator[tuple[int, int, Words]]:
-    """(from row, to row, words) for runs of rows of about CHUNK_BYTES of text; `between` marks the bytes that part words."""
+def byte_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from row, to row, bytes, offsets) for runs of rows of about CHUNK_BYTES of text; null texts are empty."""
     raw, offsets = text_buffers(column)
     a = 0
     while a < len(column):
         z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1)
-        yield a, z, words_in(raw[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], between, joins)
+        yield a, z, raw[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
         a = z
 
 
+def chunks(column: pa.Array, between: np.ndarray = SPACE, joins: bytes = b"") -> Iterator[tuple[int, int, Words]]:
+    """(from row, to row, words) for runs of rows of about CHUNK_BYTES of text; `between` marks the bytes that part words."""
+    for a, z, raw, offsets in byte_chunks(column):
+        yield a, z, words_in(raw, offsets, between, joins)
+
+
 def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its runs of `size` words; with fewer words, of all of them as
     one; without words, none."""
