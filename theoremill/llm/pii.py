@@ -1,10 +1,14 @@
 """PII surrogates: detected entities get keyed, type-consistent replacements.
 
 Each replacement is a keyed permutation of the entity's own domain (a balanced Feistel network over the classes of its
-characters, walked on until the result is valid where the entity was): equal entities have equal surrogates in all
-documents (coreference), different ones never share one (distinctness), and format, script and gender stay. Because
-the map is a bijection per domain, no table of entities has to be gathered or joined: it is one narrow pass, and
-`collisions` checks the promise over the whole corpus.
+characters, walked on until the result is valid where the entity was; a domain of one symbol has a keyed cycle): equal
+entities have equal surrogates in all documents (coreference), different ones never share one (distinctness), and
+format, script and gender stay. No table of entities has to be gathered or joined: it is one narrow pass.
+
+Collisions are checked where each surrogate is made: it is turned back by the inverse permutation and must give its
+entity. A map that can be turned back on all entities of a corpus has no two of them on one surrogate. `collisions`
+checks the same by aggregation over the whole corpus, and `met_again` names surrogates that other documents hold as
+entities of their own.
 """
 
 from __future__ import annotations
@@ -12,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +26,9 @@ from pyspark.sql import functions as F
 
 from theoremill.llm.common import prepare
 
-# Common given names by gender, titles by gender.
-FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Sandra Ashley Emily Anna Maria Laura Julia Sophie Claire Camille Lucie Ingrid Heike Petra Sabine Carmen Lucia Elena Isabel Olga Irina Fatima Aisha Mei".split()
-MALE = "James Robert John Michael David William Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Paul Andrew Peter Hans Klaus Jürgen Stefan Pierre Jean Luc Antoine Carlos Miguel Javier Pablo Ivan Dmitri Omar Ahmed Wei Kenji Raj".split()
+# Common given names by gender, titles by gender, family names written before the given name.
+FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Sandra Ashley Emily Anna Maria Laura Julia Sophie Claire Camille Lucie Ingrid Heike Petra Sabine Carmen Lucia Elena Isabel Olga Irina Fatima Aisha Mei Zofia Agnieszka Katarzyna Giulia Chiara Francesca Helena Astrid Sofia Emma Hannah Marie Isabelle Beatriz Yasmin Priya Yuki".split()
+MALE = "James Robert John Michael David William Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Paul Andrew Peter Hans Klaus Jürgen Stefan Pierre Jean Luc Antoine Carlos Miguel Javier Pablo Ivan Dmitri Omar Ahmed Wei Kenji Raj Piotr Tomasz Jakub Marco Luca Giovanni Lars Erik George Edward Henry Jack François Louis Diego Mohammed Ali Arjun Hiroshi".split()
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Dr": "", "Prof": ""}
 # The same in Cyrillic and Greek script (nominative forms).
 FEMALE_CYRILLIC = "Анна Мария Елена Ольга Ирина Наталья Татьяна Светлана Екатерина Юлия Анастасия Людмила Галина Надежда Вера Дарья".split()
@@ -30,6 +36,8 @@ MALE_CYRILLIC = "Иван Дмитрий Сергей Александр Але
 FEMALE_GREEK = "Μαρία Ελένη Αικατερίνη Βασιλική Σοφία Αγγελική Γεωργία Δήμητρα Άννα Ειρήνη".split()
 MALE_GREEK = "Γεώργιος Ιωάννης Δημήτριος Κωνσταντίνος Νικόλαος Παναγιώτης Βασίλειος Αλέξανδρος Ανδρέας Γιώργος Γιάννης Νίκος".split()
 TITLES |= {"Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
+HAN_FAMILY = "王李张刘陈杨黄赵周吴徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+HAN_TITLES = ("先生", "女士", "小姐", "太太")
 # Alphabets whose letters are exchanged among themselves.
 ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœ", "çñßšžčćđłńśź", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 _CLASS = {c: (alphabet, i) for alphabet in ALPHABETS for i, c in enumerate(alphabet)}
@@ -48,21 +56,40 @@ def _stream(key: bytes, label: bytes, n: int) -> list[int]:
     return out[:n]
 
 
+class Inverse(bytes):
+    """A key that turns surrogates back."""
+
+
+@lru_cache(512)
+def _cycle(radix: int, key: bytes, shape: bytes) -> tuple[dict[int, int], dict[int, int]]:
+    """A keyed cycle through all of radix symbols, and its inverse: no symbol stays unless it is the only one."""
+    order = sorted(range(radix), key=lambda i: hashlib.blake2b(shape + i.to_bytes(4, "big"), key=key[:64], digest_size=8).digest())
+    follow = dict(zip(order, order[1:] + order[:1], strict=True))
+    return follow, {b: a for a, b in follow.items()}
+
+
 def permute(symbols: list[int], radices: list[int], key: bytes, domain: str) -> list[int]:
     """A keyed bijection of the sequences with these radices: halves are shifted in turn by a keyed function of the
-    other half."""
+    other half; a single symbol follows a keyed cycle. With an Inverse key, the inverse."""
     s = list(symbols)
     n = len(s)
-    halves = [range(0, n, 2), range(1, n, 2)]
+    back = isinstance(key, Inverse)
     shape = f"{domain}|{','.join(map(str, radices))}|".encode()
-    for r in range(ROUNDS):
+    if n == 1:
+        return [_cycle(radices[0], bytes(key), shape)[back][s[0]]]
+    halves = [range(0, n, 2), range(1, n, 2)]
+    for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
         mine, other = halves[r % 2], halves[1 - r % 2]
-        shift = _stream(key, shape + bytes([r]) + b",".join(str(s[i]).encode() for i in other), len(mine))
+        shift = _stream(bytes(key), shape + bytes([r]) + b",".join(str(s[i]).encode() for i in other), len(mine))
         for i, by in zip(mine, shift, strict=True):
-            s[i] = (s[i] + by) % radices[i]
+            s[i] = (s[i] - by if back else s[i] + by) % radices[i]
     return s
 
 
+def _upper(letter: str) -> str:
+    return "ẞ" if letter == "ß" else letter.upper()
+
+
 def _letters(text: str, key: bytes, domain: str, alphabet_of: Callable[[str], tuple[str, int] | None] = _CLASS.get) -> str:
     """Exchange characters within their alphabets; case and all other characters stay where they are."""
     low = text.lower() if len(text.lower()) == len(text) else text
@@ -72,7 +99,7 @@ def _letters(text: str, key: bytes, domain: str, alphabet_of: Callable[[str], tu
     out = list(text)
     for (i, c), v in zip(places, new, strict=True):
         letter = c[0][v]
-        out[i] = letter.upper() if text[i] != low[i] and len(letter.upper()) == 1 else letter
+        out[i] = _upper(letter) if text[i] != low[i] and len(_upper(letter)) == 1 else letter
     return "".join(out)
 
 
@@ -99,13 +126,19 @@ def _digits_apart(text: str, change: Callable[[str], str]) -> str:
     return "".join(next(new) if c.isascii() and c.isdigit() else c for c in text)
 
 
+def _fixed_labels(domain: str) -> int:
+    """Labels of a domain that stay: the last one, and `example` before it (reserved for examples)."""
+    labels = domain.lower().split(".")
+    return 2 if labels[-2] == "example" and len(labels) > 2 else 1
+
+
 def _email(text: str, key: bytes) -> str:
     local, _, domain = text.partition("@")
-    labels = domain.split(".")
-    fixed = 2 if labels[-2].lower() == "example" and len(labels) > 2 else 1
-    head = ".".join(labels[:-fixed])
+    labels, fixed = domain.split("."), _fixed_labels(domain)
+    head, tail = ".".join(labels[:-fixed]), "." + ".".join(labels[-fixed:])
     # One permutation over the whole address, the public suffix being fixed.
-    return _letters(f"{local}@{head}", key, f"email|{'.'.join(labels[-fixed:]).lower()}") + "." + ".".join(labels[-fixed:])
+    step = lambda s: _letters(s, key, f"email|{tail.lower()}")
+    return _walk(f"{local}@{head}", step, lambda s: _fixed_labels(s.partition("@")[2] + tail) == fixed) + tail
 
 
 def _ipv4(text: str, key: bytes) -> str:
@@ -141,9 +174,13 @@ def _phone(text: str, key: bytes) -> str:
 def _iban(text: str, key: bytes) -> str:
     plain = text.replace(" ", "").upper()
     check = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
-    body = _letters(plain[4:], key, f"iban|{plain[:2]}|{plain[2:4] if check(plain) != 1 else ''}")
-    digits = plain[2:4] if check(plain) != 1 else f"{98 - check(plain[:2] + '00' + body):02d}"
-    new = iter(plain[:2] + digits + body)
+    if check(plain) == 1:
+        body = _letters(plain[4:], key, f"iban|{plain[:2]}|")
+        made = plain[:2] + f"{98 - check(plain[:2] + '00' + body):02d}" + body
+    else:
+        step = lambda s: s[:4] + _letters(s[4:], key, f"iban|{s[:4]}")
+        made = _walk(plain, step, lambda s: check(s) == 1)
+    new = iter(made)
     return "".join(c if c == " " else next(new) for c in text)
 
 
@@ -170,7 +207,7 @@ def _given(word: str, gender: str, key: bytes) -> str:
     known = _GENDER.get(word)
     if known:
         pool = _POOL[known]
-        return pool[permute([pool.index(word)], [len(pool)], key, f"given|{known}")[0]] if len(pool) > 1 else word
+        return pool[permute([pool.index(word)], [len(pool)], key, f"given|{known}")[0]]
     return _walk(word, lambda s: _letters(s, key, f"given|{gender}"), lambda s: s in _GENDER)
 
 
@@ -192,6 +229,15 @@ def _person(text: str, key: bytes) -> str:
     return "".join(out)
 
 
+_HAN_GIVEN = [i for i in range(0x4E00, 0x9FA6) if chr(i) not in HAN_FAMILY]
+_HAN_CLASS = {c: (HAN_FAMILY, i) for i, c in enumerate(HAN_FAMILY)} | {chr(c): ("".join(map(chr, _HAN_GIVEN)), i) for i, c in enumerate(_HAN_GIVEN)}
+
+
+def _han(text: str, key: bytes) -> str:
+    """Family names among themselves, other characters likewise."""
+    return _letters(text, key, "han", _HAN_CLASS.get)
+
+
 _GROUP = "[0-9a-fA-F]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"(?:[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿœšžčćđłńśź'’-]+|[А-ЯЁ][а-яё'’-]+|[Α-ΩΆΈΉΊΌΎΏ][α-ωάέήίόύώϊϋΐΰ'’-]+)"
@@ -208,15 +254,17 @@ DETECTORS: dict[str, tuple[re.Pattern, int, Callable[[str, bytes], str]]] = {
     "phone": (re.compile(r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"), 0, _phone),
     "card": (re.compile(r"(?<![\d-])\d(?:\d{12,18}|(?:[ -]?\d){12,18})(?![\d-])"), 0, _card),
     "person": (re.compile(rf"\b(?:{'|'.join(TITLES)})\.?(?:\s{_NAME}){{1,4}}|\b(?=[A-ZÀ-ÞА-ЯΆ-Ω])(?:{_GIVEN})(?:\s{_NAME}){{1,3}}"), 0, _person),
+    "han_person": (re.compile(rf"(?<![\u4e00-\u9fa5])[{HAN_FAMILY}][\u4e00-\u9fa5]{{1,2}}(?![\u4e00-\u9fa5])|[{HAN_FAMILY}][\u4e00-\u9fa5]{{0,2}}?(?=(?:{'|'.join(HAN_TITLES)}))"), 0, _han),
 }
 _DIGIT = re.compile("[0-9]")
+_HAN = re.compile("[\u4e00-\u9fa5]")
 _TWO_NAMES = re.compile(rf"{_NAME}\s{_NAME}|(?:{'|'.join(TITLES)})\.\s")
 
 
 def find_entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of entities in order, not overlapping; earlier kinds take precedence."""
     has_digit = _DIGIT.search(text) is not None
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # in order of their places
     for kind, (pattern, group, _) in DETECTORS.items():
         if kind == "email":
             if "@" not in text:
@@ -224,27 +272,52 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
         elif kind == "person":
             if not _TWO_NAMES.search(text):
                 continue
+        elif kind == "han_person":
+            if text.isascii() or not _HAN.search(text):
+                continue
         elif kind not in ("secret", "hash") and (not has_digit or kind == "ipv6" and text.count(":") < 2):
             continue
         elif kind == "secret" and "=" not in text and ":" not in text:
             continue
         for m in pattern.finditer(text):
             a, z = m.span(group)
-            if kind == "ipv6" and not _is_ipv6(m[0]):
+            if kind == "ipv6" and not _is_ipv6(m[0]) or kind == "card" and not _luhn("".join(c for c in m[0] if c.isdigit())):
                 continue
-            if all(z <= x or a >= y for x, y, _ in taken):
-                taken.append((a, z, kind))
-    return sorted(taken)
+            at = bisect_left(taken, (a,))
+            if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= z):
+                taken.insert(at, (a, z, kind))
+    return taken
+
+
+def normal(kind: str, entity: str) -> str:
+    """What makes two spellings one entity: no case, spaces or number separators; persons without dots; addresses by
+    value."""
+    if kind in ("person", "han_person"):
+        return re.sub(r"\s+", " ", entity.replace(".", "")).lower()
+    if kind == "ipv6":
+        return _exploded(entity)
+    return entity if kind == "ipv4" else re.sub(r"[\s().-]", "", entity).lower()
+
+
+class CollisionError(ValueError):
+    """A surrogate that can't be turned back to its entity, so that another entity may share it."""
 
 
 def surrogate(kind: str, entity: str, key: bytes) -> str:
     return DETECTORS[kind][2](entity, key)
 
 
+def restore(kind: str, replacement: str, key: bytes) -> str:
+    """The entity of a surrogate, in the surrogate's spelling."""
+    return DETECTORS[kind][2](replacement, Inverse(key))
+
+
 def replace_entities(text: str, key: bytes) -> tuple[str, list[dict]]:
     out, spans, at, shift = [], [], 0, 0
     for a, z, kind in find_entities(text):
         new = surrogate(kind, text[a:z], key)
+        if normal(kind, restore(kind, new, key)) != normal(kind, text[a:z]):
+            raise CollisionError(kind)  # the entity itself stays out of logs
         out += [text[at:a], new]
         spans.append({"kind": kind, "start": a, "length": z - a, "new_start": a + shift, "replacement": new})
         shift += len(new) - (z - a)
@@ -258,8 +331,12 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("leng
 
 def replace_pii(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     """All columns of docs with `text` replaced, and `pii_spans`: kind, start and length in the old text, start in the
-    new one, replacement. Null texts stay null, texts without entities stay as they are. A column named pii_spans is
-    overwritten."""
+    new one, replacement.
+
+    Null texts stay null, texts without entities stay as they are; texts have any length. Rows that repeat are each
+    returned, equal texts with equal replacements; an empty table gives an empty result. A column named pii_spans is
+    overwritten. Every surrogate is checked to turn back to its entity (CollisionError, which fails the job).
+    """
     prepare(docs.sparkSession)
     secret = key.encode()
     kept = [f for f in docs.schema.fields if f.name not in ("text", "pii_spans")]
@@ -282,14 +359,34 @@ def _exploded(text: str) -> str:
         return text
 
 
+def _pairs(docs: DataFrame, replaced: DataFrame, key_column: str) -> DataFrame:
+    """kind, entity, replacement (both normal) of all spans, each once: slim rows, aggregated by hash."""
+    prepare(docs.sparkSession)
+    spans = docs.select(key_column, "text").distinct().join(replaced.select(key_column, "pii_spans").distinct().select(key_column, F.explode("pii_spans").alias("s")), key_column)
+    ipv6 = F.udf(_exploded, "string")
+    joined = lambda c: F.lower(F.regexp_replace(c, r"[\s().-]", ""))
+    name = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"\.", ""), r"\s+", " "))
+    plain = lambda c: F.when(F.col("s.kind") == "ipv4", c).when(F.col("s.kind") == "ipv6", ipv6(c)).when(F.col("s.kind").isin("person", "han_person"), name(c)).otherwise(joined(c))
+    return spans.select(F.col("s.kind").alias("kind"), plain(F.expr("substring(text, s.start + 1, s.length)")).alias("entity"), plain(F.col("s.replacement")).alias("replacement")).distinct()
+
+
 def collisions(docs: DataFrame, replaced: DataFrame, key_column: str = "doc_id") -> DataFrame:
     """Surrogates that stand for more than one entity, and entities with more than one: (kind, entity, replacement,
-    n); empty if the promise holds. Entities are compared without case, spaces and number separators, persons without
-    dots, addresses by value, as coreference does. A check over all documents: slim rows, aggregated by hash."""
-    prepare(docs.sparkSession)
-    spans = docs.select(key_column, "text").join(replaced.select(key_column, F.explode("pii_spans").alias("s")), key_column)
-    plain = lambda c: F.when(F.col("s.kind") == "ipv4", c).when(F.col("s.kind") == "ipv6", F.udf(_exploded, "string")(c)).when(F.col("s.kind") == "person", F.regexp_replace(F.regexp_replace(c, r"\.", ""), r"\s+", " ")).otherwise(F.lower(F.regexp_replace(c, r"[\s().-]", "")))
-    pairs = spans.select(F.col("s.kind").alias("kind"), plain(F.expr("substring(text, s.start + 1, s.length)")).alias("entity"), plain(F.col("s.replacement")).alias("replacement")).distinct()
+    n); empty if the promise holds.
+
+    Entities are compared as `normal` has them, which is how coreference sees them; all kinds are covered. The key tells
+    documents apart: rows that repeat it count once if they are equal, rows with a null key are not covered. Null texts
+    and empty tables give nothing. A check over all documents.
+    """
+    pairs = _pairs(docs, replaced, key_column)
     shared = pairs.groupBy("kind", "replacement").agg(F.count("*").alias("n"), F.min("entity").alias("entity")).where("n > 1")
     torn = pairs.groupBy("kind", "entity").agg(F.count("*").alias("n"), F.min("replacement").alias("replacement")).where("n > 1")
     return shared.select("kind", "entity", "replacement", "n").unionAll(torn.select("kind", "entity", "replacement", "n"))
+
+
+def met_again(docs: DataFrame, replaced: DataFrame, key_column: str = "doc_id") -> DataFrame:
+    """(kind, entity, replacement): surrogates that the corpus also holds as an entity of its own, elsewhere. They tear no
+    reference, as that entity is replaced as well; in small domains (given names) they can't be avoided. Rows and nulls
+    as in `collisions`."""
+    pairs = _pairs(docs, replaced, key_column)
+    return pairs.join(pairs.select("kind", F.col("entity").alias("replacement")).distinct(), ["kind", "replacement"], "left_semi").select("kind", "entity", "replacement")
