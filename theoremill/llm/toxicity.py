@@ -2,24 +2,28 @@
 
 Confirmed toxic texts are the positives, other texts are unlabelled (they hide more toxic ones). With class prior p
 the risk of a linear classifier is  p * R_pos(+1) + max(0, R_unl(-1) - p * R_pos(-1)); where the bracket turns
-negative the step goes against it (the non-negative correction). Features: presence of all words, hashed, that are
-significantly more frequent in positives than in unlabelled texts. Everything is numpy; the fit takes a bounded sample, scoring reads whole texts.
+negative the step goes against it (the non-negative correction). Features: presence of all words and beginnings of
+words (PREFIXES bytes), hashed, that are significantly more frequent in positives than in unlabelled texts; a beginning
+stands for words of one family that the sample does not hold. Everything is numpy; the fit takes a bounded sample,
+scoring reads whole texts.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from theoremill.llm.common import labelled_sample, remainder, score_texts, text_sample
-from theoremill.llm.textbytes import NOT_ALNUM, Words, words_in
+from theoremill.llm.textbytes import NOT_ALNUM, Words, mix, words_in
 
 #: Bounds of the training sample: positives, unlabelled texts, characters of one text.
 POSITIVES, UNLABELLED, MAX_CHARS = 3000, 9000, 20_000
+#: Bytes of the beginnings of longer words that are features too.
+PREFIXES = (5, 7)
 #: Share of chance words accepted among the chosen ones (Benjamini and Hochberg).
 FALSE_WORDS = 0.05
 
@@ -30,29 +34,43 @@ def words_of(texts: list[str]) -> Words:
     return words_in(np.frombuffer(b"".join(raw), np.uint8), offsets, NOT_ALNUM)
 
 
+def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the text) of every word and of the beginnings of longer ones."""
+    text, size = words.text_of(), words.ends - words.starts
+    found, of = [words.hashes()], [text]
+    for k in PREFIXES:
+        longer = np.flatnonzero(size > k)
+        part = replace(words, starts=words.starts[longer], ends=words.starts[longer] + k)
+        found.append(mix(part.hashes() + np.uint64(k)))
+        of.append(text[longer])
+    return np.concatenate(found), np.concatenate(of)
+
+
 def _distinct(texts: list[str]) -> list[np.ndarray]:
     out = []
     for a in range(0, len(texts), 256):
         words = words_of(texts[a : a + 256])
-        h = words.hashes()
-        out += [np.unique(h[i:j]) for i, j in zip(words.first[:-1], words.first[1:], strict=True)]
+        h, of = features(words)
+        order = np.argsort(of, kind="stable")
+        cut = np.searchsorted(of[order], np.arange(len(words.first)))
+        out += [np.unique(h[order[i:j]]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
     return out
 
 
 @dataclass
 class PuModel:
-    words: np.ndarray  # sorted word hashes
+    words: np.ndarray  # sorted feature hashes
     weights: np.ndarray
     bias: float
 
     def score(self, words: Words) -> np.ndarray:
         """Probability per text; a text without any known word gets the bias alone, and so do empty texts."""
         n = len(words.first) - 1
-        h = words.hashes()
+        h, of = features(words)
         at = np.searchsorted(self.words, h) if len(self.words) else np.zeros(len(h), int)
         at = np.minimum(at, max(0, len(self.words) - 1))
         hit = np.flatnonzero(self.words[at] == h) if len(self.words) else np.zeros(0, int)
-        pairs = np.unique(words.text_of()[hit] * max(1, len(self.words)) + at[hit])
+        pairs = np.unique(of[hit] * max(1, len(self.words)) + at[hit])
         total = np.bincount(pairs // max(1, len(self.words)), self.weights[pairs % max(1, len(self.words))], n) if len(pairs) else np.zeros(n)
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
 
@@ -74,6 +92,32 @@ def significant(in_pos: np.ndarray, in_all: np.ndarray, p: float, share: float =
     return chance <= order[passed[-1]] if len(passed) else np.zeros(len(chance), bool)
 
 
+class Presence:
+    """Which of the chosen features (sorted) texts hold, as (row, column) pairs: a sparse matrix of ones."""
+
+    def __init__(self, texts: list[np.ndarray], chosen: np.ndarray):
+        found = [np.flatnonzero(np.isin(chosen, t, assume_unique=True)) for t in texts]
+        self.n, self.width, self.column = len(texts), len(chosen), np.concatenate([np.zeros(0, int), *found]).astype(int)
+        self.row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        """Sigmoids of x . w + b, the last of w being b."""
+        return 1 / (1 + np.exp(-np.clip(np.bincount(self.row, w[self.column], self.n) + w[-1], -30, 30)))
+
+    def slope(self, s: np.ndarray) -> np.ndarray:
+        """Gradient of the mean of the sigmoids s by w."""
+        g = s * (1 - s) / self.n
+        return np.append(np.bincount(self.column, g[self.row], self.width), g.sum())
+
+
+def risks(positive: Presence, unlabelled: Presence, w: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Risks of label 1 and label 0 under the sigmoid loss, each with its gradient by w. The second is that of the unlabelled
+    texts less what the positives among them add; where this is negative, the estimate has overfitted."""
+    sp, su = positive.scores(w), unlabelled.scores(w)
+    on_pos, on_unl = positive.slope(sp), unlabelled.slope(su)
+    return prior * (1 - sp).mean(), su.mean() - prior * sp.mean(), -prior * on_pos, on_unl - prior * on_pos
+
+
 def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-6) -> PuModel:
     """Fit on texts. Without positives or unlabelled texts the model is the prior for every text."""
     prior = float(np.clip(prior, 1e-4, 0.9))
@@ -87,40 +131,17 @@ def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, steps: in
     in_unl = np.where(values[1][at] == vocabulary, seen[1][at], 0) if len(values[1]) else np.zeros(len(vocabulary), int)
     tried = np.flatnonzero(seen[0] >= min(3, n_pos))
     chosen = vocabulary[tried[significant(seen[0][tried], (seen[0] + in_unl)[tried], n_pos / (n_pos + n_unl))]]
-
-    class Presence:
-        """The texts' chosen words as (row, column) pairs."""
-
-        def __init__(self, texts: list[np.ndarray]):
-            found = [np.flatnonzero(np.isin(chosen, t, assume_unique=True)) for t in texts]
-            self.n, self.column = len(texts), np.concatenate(found).astype(int)
-            self.row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-
-        def __matmul__(self, w: np.ndarray) -> np.ndarray:
-            return np.bincount(self.row, w[self.column], self.n)
-
-        def back(self, g: np.ndarray) -> np.ndarray:
-            return np.bincount(self.column, g[self.row], len(chosen))
-
-    xp, xu = Presence(sets[0]), Presence(sets[1])
-    w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+    xp, xu = Presence(sets[0], chosen), Presence(sets[1], chosen)
+    w = np.append(np.zeros(len(chosen)), np.log(prior / (1 - prior)))
+    m, v = np.zeros(len(w)), np.zeros(len(w))
     for step in range(1, steps + 1):
-        sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
-
-        def slope(x: Presence, s: np.ndarray) -> np.ndarray:  # gradient of the mean of sigmoid(x . w + b)
-            g = s * (1 - s) / len(s)
-            return np.append(x.back(g), g.sum())
-
-        on_pos, on_unl = slope(xp, sp), slope(xu, su)
-        negative = su.mean() - prior * sp.mean()  # risk of label -1, corrected by the prior
-        grad = -prior * on_pos + (on_unl - prior * on_pos) if negative >= 0 else -(on_unl - prior * on_pos)
-        grad[:-1] += decay * w
+        _, negative, up, down = risks(xp, xu, w, prior)
+        grad = up + down if negative >= 0 else -down
+        grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = np.maximum(w - move[:-1], 0), b - move[-1]  # presence of a word is evidence for toxicity or none
-    return PuModel(chosen, w, float(b))
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w[:-1] = np.maximum(w[:-1], 0)  # presence of a word is evidence for toxicity or none
+    return PuModel(chosen, w[:-1], float(w[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, divisor: int = 5, rest: int = 0) -> PuModel:
@@ -133,5 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, divisor: int = 5, rest: int = 0) -
 
 
 def score(docs: DataFrame, model: PuModel) -> DataFrame:
-    """doc_id, score (double, 0 to 1) of every whole text; null texts score as empty ones."""
+    """doc_id, score (double, 0 to 1) of every whole text; null texts score as empty ones. Rows that repeat an id, or have
+    none, are each returned; equal texts have equal scores; texts have any length; an empty table gives an empty
+    result; other columns are dropped."""
     return score_texts(docs, model.score, NOT_ALNUM)
