@@ -213,6 +213,64 @@ def test_pii_odd_rows(spark, odd_docs, no_docs):
     assert digits(texts[500]) == digits(texts[7].split(" or")[0])
 
 
+def test_single_symbols_follow_a_keyed_cycle():
+    """Given names have no common shift, and none stays."""
+    for key in (b"k", b"other", b"third"):
+        to = [pii.FEMALE.index(pii._given(n, "f", key)) for n in pii.FEMALE]
+        assert sorted(to) == list(range(len(to))) and all(i != t for i, t in enumerate(to))
+        assert len({(t - i) % len(to) for i, t in enumerate(to)}) > 5
+
+
+@pytest.mark.parametrize("kind,pool", [
+    ("email", ["a.b@x.org", "A.B@X.ORG", "q@mail.example.com", "z@exampla.com", "zz9@y.example.org", "x@b.co"]),
+    ("phone", ["+49 30 1234567", "+1 (212) 555-0007", "212-555-0007"]), ("card", ["4111 1111 1111 1111", "4111111111111111"]),
+    ("iban", ["DE89 3704 0044 0532 0130 00", "DE00 3704 0044 0532 0130 00", "GB82WEST12345698765432"]),
+    ("ipv4", ["10.1.200.3", "255.0.0.1", "127.0.0.1"]), ("ipv6", ["2001:db8::1", "fe80::1"]), ("ssn", ["123-45-6789"]),
+    ("secret", ["sk_Live-93ABCdef0000", "0a" * 20, "abcdef"]), ("hash", ["0b" * 16]),
+    ("person", ["Anna Lee", "Mr. James Brown", "Mrs Ünal", "Dr. Zoë Çelik-Straße", "Анна Петрова", "Mr. Иванов", "Γιάννης Παπάς"]), ("han_person", ["王小明", "李", "赵一"]),
+])
+def test_surrogates_turn_back(kind, pool):
+    for entity in pool:
+        for key in (b"k", b"q"):
+            new = pii.surrogate(kind, entity, key)
+            assert pii.normal(kind, pii.restore(kind, new, key)) == pii.normal(kind, entity)
+
+
+def test_a_collision_fails(monkeypatch):
+    pattern, group, _ = pii.DETECTORS["ssn"]
+    monkeypatch.setitem(pii.DETECTORS, "ssn", (pattern, group, lambda text, key: "111-11-1111"))
+    with pytest.raises(pii.CollisionError):
+        pii.replace_entities("id 123-45-6789", b"k")
+
+
+def test_titles_scripts_and_cards():
+    for text, name in [("Yesterday Mary Smith came.", "Mary Smith"), ("Then Mrs Smith came.", "Mrs Smith"), ("Dear James Brown, hi", "James Brown"), ("met Mr. Иванов there", "Mr. Иванов"), ("with Zofia Kowalska now", "Zofia Kowalska")]:
+        assert found(text) == [("person", name)]
+        assert name.split()[-1] not in pii.replace_entities(text, b"k")[0]
+    assert found("姓名: 王小明, 北京") == [("han_person", "王小明")] and found("我见到王小明先生了") == [("han_person", "王小明")]
+    new = pii.surrogate("han_person", "王小明", b"k")
+    assert len(new) == 3 and new != "王小明" and new[0] in pii.HAN_FAMILY and all("一" <= c <= "龥" for c in new)
+    assert found("card 4111 1111 1111 1111 order 4111 1111 1111 1112") == [("card", "4111 1111 1111 1111")]
+
+
+def test_many_entities_in_one_text():
+    import time
+
+    text = " ".join(f"u{i}@a.org" for i in range(20_000))
+    begin = time.perf_counter()
+    assert len(pii.find_entities(text)) == 20_000
+    assert time.perf_counter() - begin < 5
+
+
+def test_met_again(spark):
+    docs = spark.createDataFrame([(1, "id 123-45-6789"), (2, "none"), (3, None)], "doc_id long, text string")
+    other = pii.surrogate("ssn", "123-45-6789", b"surrogate-key")
+    docs = docs.unionAll(spark.createDataFrame([(4, f"id {other}")], docs.schema))
+    got = pii.met_again(docs, pii.replace_pii(docs)).collect()
+    assert [(r["kind"], r["entity"]) for r in got] == [("ssn", "123456789")]
+    assert pii.met_again(docs.limit(0), pii.replace_pii(docs.limit(0))).count() == 0
+
+
 def found(text):
     return [(kind, text[a:z]) for a, z, kind in pii.find_entities(text)]
 
@@ -317,22 +375,57 @@ def test_nnpu_keeps_all_significant_words():
     assert (model.score(toxicity.words_of(marks)) > 0.5).all()
 
 
+def test_nnpu_risk_and_gradient():
+    rng = np.random.default_rng(7)
+    chosen = np.arange(5, dtype=np.uint64)
+    draw = lambda n: [np.flatnonzero(rng.random(5) < 0.5).astype(np.uint64) for _ in range(n)]
+    xp, xu, w, prior = toxicity.Presence(draw(6), chosen), toxicity.Presence(draw(9), chosen), rng.normal(0, 1, 6), 0.3
+    up, down, g_up, g_down = toxicity.risks(xp, xu, w, prior)
+    sp, su = xp.scores(w), xu.scores(w)
+    assert up == pytest.approx(0.3 * np.mean(1 - sp)) and down == pytest.approx(np.mean(su) - 0.3 * np.mean(sp))
+    for i in range(6):
+        ends = []
+        for eps in (1e-6, -1e-6):
+            moved = w.copy()
+            moved[i] += eps
+            ends.append(toxicity.risks(xp, xu, moved, prior)[:2])
+        assert g_up[i] == pytest.approx((ends[0][0] - ends[1][0]) / 2e-6, abs=1e-7) and g_down[i] == pytest.approx((ends[0][1] - ends[1][1]) / 2e-6, abs=1e-7)
+
+
+def test_nnpu_knows_families_of_words():
+    """Words of a family that the sample does not hold are known by their beginning."""
+    rng = random.Random(2)
+    plain = lambda: " ".join(rng.choice("the of to and in it by for with from".split()) for _ in range(20))
+    model = toxicity.fit_nnpu([f"{plain()} slimbo{rng.randrange(10**6)}" for _ in range(300)], [plain() for _ in range(900)], 0.1)
+    assert model.score(toxicity.words_of(["the slimbozzz of"]))[0] > 0.5 > model.score(toxicity.words_of(["the slim of"]))[0]
+
+
+def auc(scores, labels):
+    order = np.argsort(np.argsort(scores, kind="stable")) + 1.0
+    for v in np.unique(scores):
+        order[scores == v] = order[scores == v].mean()
+    labels = np.array(labels, bool)
+    n = labels.sum()
+    return (order[labels].sum() - n * (n + 1) / 2) / (n * (~labels).sum())
+
+
 def test_mil_gradient():
     rng = np.random.default_rng(0)
     texts = ["good words here and there " * 20, "BAD!! WORDS!! " * 30, "fine", ""]
     model = quality.fit_mil(texts * 3, [1, 0, 1, 0] * 3, epochs=1)
     model.p = {k: v.astype(float) + rng.normal(0, 0.1, v.shape) for k, v in model.p.items()}
-    x, first = quality.passages(toxicity.words_of(texts))
+    bags = quality.passages(toxicity.words_of(texts))
     y = np.array([1.0, 0, 1, 0])
 
     def loss():
-        p = model.forward(x, first)["y"]
+        p = model.forward(bags)["y"]
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
-    grad = quality._gradient(model, model.forward(x, first), y)
+    grad = quality._gradient(model, bags, model.forward(bags), y)
     for k in model.p:
         flat, g = model.p[k].reshape(-1), np.asarray(grad[k]).reshape(-1)
-        for i in rng.choice(len(flat), min(4, len(flat)), replace=False):
+        places = rng.choice(len(flat), min(4, len(flat)), replace=False) if k != "E" else [int(b) * quality.HIDDEN + i for i, b in enumerate(bags.bucket[:6])]
+        for i in places:
             was, eps = flat[i], 1e-5
             flat[i] = was + eps
             up = loss()
@@ -342,9 +435,20 @@ def test_mil_gradient():
             assert g[i] == pytest.approx((up - down) / (2 * eps), abs=1e-5)
 
 
+def test_mil_reads_the_words():
+    """Texts of equal shape that differ in their words alone, in one passage of ten."""
+    rng = random.Random(8)
+    plain = lambda n: [rng.choice("abel bond cord dare even fair gone hair iron jade".split()) for _ in range(n)]
+    make = lambda mark: " ".join([*plain(32 * 5), *([mark] * 8), *plain(32 * 5)])
+    texts, y = [make(m) for m in ("good", "evil") * 100], [1, 0] * 100
+    model = quality.fit_mil(texts, y, epochs=30)
+    new = [make(m) for m in ("good", "evil") * 30]
+    assert auc(model.score(toxicity.words_of(new)), [1, 0] * 30) > 0.98
+
+
 def test_attention_weights_sum_to_one():
     model = quality.fit_mil(["a b c " * 50, "X!! Y!! " * 50] * 4, [1, 0] * 4, epochs=2)
-    f = model.forward(*quality.passages(toxicity.words_of(["a b c " * 200, ""])))
+    f = model.forward(quality.passages(toxicity.words_of(["a b c " * 200, ""])))
     assert np.add.reduceat(f["a"], f["starts"]) == pytest.approx([1, 1])
 
 
@@ -358,6 +462,8 @@ def test_scores_of_odd_rows(spark, odd_docs, no_docs):
     kept = quality.keep_good(odd_docs, q, 0.0)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
     assert {r["score"] for r in kept.collect()} == {1.5, None}
+    clash = odd_docs.withColumn("_score", F.lit(2)).withColumn("__score", F.lit(3))
+    assert quality.keep_good(clash, q, 0.0).columns == clash.columns
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.score(odd_docs, quality.train(odd_docs, labels)).count() == odd_docs.count()
     assert toxicity.score(odd_docs, toxicity.train(odd_docs, labels)).count() == odd_docs.count()

@@ -26,10 +26,11 @@ def test_surrogates(spark, sf_dir):
     docs = documents(spark, sf_dir)
     got = {r["doc_id"]: r for r in queries.op1_pii_surrogates(spark, sf_dir).collect()}
     assert set(got) == set(docs)
+    luhn = lambda x: sum(int(c) if i % 2 == 0 else int("0246813579"[int(c)]) for i, c in enumerate(reversed(x))) % 10 == 0
     planted = re.compile(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{16}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|[0-9a-f]{40}")
     n = 0
     for i, t in docs.items():
-        found = set(planted.findall(t))
+        found = {x for x in planted.findall(t) if not re.fullmatch(r"\d{16}", x) or luhn(x)}
         n += len(found)
         assert not any(x in got[i]["text"] for x in found)
         assert found or got[i]["text"] == t
@@ -47,20 +48,25 @@ def test_leaks(spark, sf_dir):
     assert want and got == want
 
 
-@pytest.mark.parametrize(("query", "label", "least"), [(queries.op3_toxicity_nnpu, "toxic", 0.75), (queries.op6_quality_mil, "quality", 0.85)])
-def test_classifiers_on_held_out_rows(spark, query, label, least):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize(("query", "label", "threshold", "least", "least_auc"), [(queries.op3_toxicity_nnpu, "toxic", 0.5, 0.95, 0.9), (queries.op6_quality_mil, "quality", 0.3, 0.97, 0.98)])
+def test_classifiers_on_held_out_rows(spark, query, label, threshold, least, least_auc):
+    """Accuracy well above the better constant answer, and the order of scores."""
+    sf = "/root/testdata/sf0.1"
     import os
 
+    from .test_operators import auc
+
     if not os.path.isdir(sf):
         pytest.skip("the driver's tables aren't here")
     labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = query(spark, sf).collect()
-    assert len(rows) == 1000
-    held = [r for r in rows if r["held_out"]]
-    assert all((zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) == r["held_out"] and 0 <= r["score"] <= 1 for r in rows)
-    known = [(r["predicted"], labels[r["doc_id"]]) for r in held if r["doc_id"] in labels]
-    assert sum(a == b for a, b in known) / len(known) >= least
+    assert len(rows) == 10_000
+    assert all((zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) == r["held_out"] and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= threshold) for r in rows)
+    known = [(r["score"], r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+    share = sum(y for *_, y in known) / len(known)
+    accuracy = sum(p == y for _, p, y in known) / len(known)
+    assert accuracy >= least > max(share, 1 - share)
+    assert auc([s for s, *_ in known], [y for *_, y in known]) >= least_auc
 
 
 def test_tiff_digests(spark, sf_dir):

@@ -101,25 +101,25 @@ def text_sample(docs: DataFrame, n: int, divisor: int, rest: int, max_chars: int
     return [r["text"] for r in sorted(_texts_of(docs, ids, max_chars).collect())]
 
 
-def with_scores(docs: DataFrame, scorer, between) -> DataFrame:
-    """All columns of docs and `score` (double) of every whole text; scorer maps the words of many texts to one number
-    each. A column named score is overwritten."""
+def with_scores(docs: DataFrame, scorer, between, name: str = "score") -> DataFrame:
+    """All columns of docs and the score (double) of every whole text; scorer maps the words of many texts to one number
+    each. A column of that name is overwritten."""
     import pyarrow as pa
 
     from theoremill.llm.textbytes import chunks
 
     prepare(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("text", "score")]
+    kept = [c for c in docs.columns if c not in ("text", name)]
     chosen = docs.select(*(F.col(f"`{c}`") for c in kept), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             for a, z, words in chunks(batch.column(batch.num_columns - 1), between):
                 part = batch.slice(a, z - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer(words), pa.float64())], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer(words), pa.float64())], names=[*part.schema.names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields)
-    return chosen.mapInArrow(run, f"{schema}, score double").select(*(f"`{c}`" for c in docs.columns if c != "score"), "score")
+    return chosen.mapInArrow(run, f"{schema}, `{name}` double").select(*(f"`{c}`" for c in docs.columns if c != name), name)
 
 
 def score_texts(docs: DataFrame, scorer, between) -> DataFrame:
