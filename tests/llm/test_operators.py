@@ -82,6 +82,44 @@ def family(rng, each, shared, own, swap):
     return texts
 
 
+def test_link_sets_against_brute_force():
+    rng = np.random.default_rng(3)
+    for trial in range(30):
+        base = [np.unique(rng.integers(0, 60 if trial % 2 else 10**6, rng.integers(1, 40))).astype(np.uint64) for _ in range(8)]
+        sets = []
+        for _ in range(60):
+            s = base[rng.integers(8)]
+            keep = s[rng.random(len(s)) < rng.choice([1.0, 0.95, 0.85])]
+            sets.append(keep if len(keep) else s)
+        root = list(range(len(sets)))
+
+        def find(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                n = len(np.intersect1d(a, b))
+                if 100 * n >= 80 * (len(a) + len(b) - n):
+                    x, y = sorted((find(i), find(j)))
+                    root[y] = x
+        assert neardup.link_sets(sets, 80) == [find(i) for i in range(len(sets))]
+
+
+def test_many_small_sets_are_no_quadratic_work():
+    """Tens of thousands of strangers of 16 shingles, some of them frequent, and a few links."""
+    import time
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([rng.integers(0, 2**62, 13), rng.integers(0, 50, 3)])).astype(np.uint64) for _ in range(40_000)]
+    sets[30_000] = sets[5].copy()
+    begin = time.perf_counter()
+    got = neardup.link_sets(sets, 80)
+    assert time.perf_counter() - begin < 60
+    assert got[30_000] == 5 and sum(i != g for i, g in enumerate(got)) == 1
+
+
 def test_links_between_blocks_of_a_large_group(spark):
     """Partners at 0.8 in a family at 0.65, spread over several blocks."""
     texts = family(random.Random(5), 60, 160, 40, 21)

@@ -34,7 +34,7 @@ VALUES = TREES * DEPTH
 #: Rows of a piece of a region that are handed on one by one, and rows that a sort task holds before it cuts a region.
 REGION_ROWS, HELD_ROWS = 256, 32_768
 #: Shingles of a candidate group that one task searches.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 300_000
 #: How many standard deviations below the threshold an estimate may lie and still be confirmed exactly.
 SLACK = 6.0
 
@@ -164,42 +164,64 @@ def _similar(inter: np.ndarray, a: np.ndarray, b: int, percent: int) -> np.ndarr
 
 
 def link_sets(sets: list[np.ndarray], percent: int) -> list[int]:
-    """For each set the index of the first set of its component, links being exact Jaccard similarities of at least
-    percent: breadth-first search, each step against the sets not reached yet."""
-    label = np.full(len(sets), -1)
+    """For each (non-empty) set the index of the first set of its component, links being exact Jaccard similarities of
+    at least percent.
+
+    Breadth-first search over an inverted index. Values are ordered from rare to frequent; two sets that are similar
+    enough share one of their first |set| - ceil(percent of |set|) + 1 values, so only these are indexed, and only sets
+    found through them, and not reached yet, are compared in full. Reached sets leave the index as it is read.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    values, at = np.unique(flat, return_inverse=True)
-    own = np.split(at, np.cumsum(sizes)[:-1])
-    mark = np.zeros(len(values), np.int32)
-    rest = np.arange(len(sets))
-    flat_rest, starts = at, np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    while len(rest):
-        root = int(rest[0])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    flat = rank[at]
+    flat = flat[np.lexsort((flat, owner))]
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    prefix = sizes + 1 + (-percent * sizes) // 100  # size + 1 - ceil(percent / 100 * size)
+    indexed = np.arange(len(flat)) - np.repeat(starts, sizes) < np.repeat(prefix, sizes)
+    order = np.argsort(flat[indexed], kind="stable")
+    value, member = flat[indexed][order], owner[indexed][order]
+    cut = np.flatnonzero(np.diff(value, prepend=-1, append=len(times)))
+    lists = {int(value[i]): member[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True) if j - i > 1}
+    label = np.full(len(sets), -1)
+    mark = np.zeros(len(times), np.int32)
+    for root in range(len(sets)):
+        if label[root] >= 0:
+            continue
         label[root] = root
         queue = [root]
         while queue:
             q = queue.pop()
-            rest_open = label[rest] < 0
-            if not rest_open.any():
-                break
-            if rest_open.sum() * 2 <= len(rest):  # forget the sets that are placed
-                rest = rest[rest_open]
-                flat_rest = np.concatenate([own[i] for i in rest])
-                starts = np.concatenate([[0], np.cumsum(sizes[rest])[:-1]])
-                rest_open = np.ones(len(rest), bool)
-            mark[own[q]] = 1
-            inter = np.add.reduceat(mark[flat_rest], starts)
-            mark[own[q]] = 0
-            new = rest[rest_open & _similar(inter, sizes[rest], int(sizes[q]), percent)]
+            own = flat[starts[q] : ends[q]]
+            near = []
+            for v in own[: prefix[q]].tolist():
+                if v in lists:
+                    open_ones = lists[v][label[lists[v]] < 0]
+                    if len(open_ones):
+                        lists[v] = open_ones
+                        near.append(open_ones)
+                    else:
+                        del lists[v]
+            if not near:
+                continue
+            near = np.unique(np.concatenate(near))
+            size = sizes[near]
+            fits = (100 * size >= percent * sizes[q]) & (100 * sizes[q] >= percent * size)
+            near, size = near[fits], size[fits]
+            if not len(near):
+                continue
+            mark[own] = 1
+            first = np.cumsum(size) - size
+            values = flat[np.arange(size.sum()) + np.repeat(starts[near] - first, size)]
+            inter = np.add.reduceat(mark[values], first)
+            mark[own] = 0
+            new = near[_similar(inter, size, int(sizes[q]), percent)]
             label[new] = root
-            queue.extend(int(i) for i in new)
-        rest_open = label[rest] < 0
-        rest = rest[rest_open]
-        if len(rest):
-            flat_rest = np.concatenate([own[i] for i in rest])
-            starts = np.concatenate([[0], np.cumsum(sizes[rest])[:-1]])
-    return [int(x) for x in label]
+            queue.extend(new.tolist())
+    return label.tolist()
 
 
 def _confirm_blocks(size: int, percent: int):
