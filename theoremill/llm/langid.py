@@ -20,17 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from theoremill.llm.common import bounded_text, lowest, prepare, remainder
+from theoremill.llm.common import bounded_text, lowest_by, prepare, remainder
 from theoremill.llm.textbytes import LOWER, byte_chunks
 
 #: Bounds of training: labelled texts per language; texts of more characters are represented by pieces of that many.
 PER_LANGUAGE, MAX_CHARS = 300, 20_000
 #: Values of a state; bytes of a window in training; bytes of a window when reading, and of its run-up.
-HIDDEN, TRAIN_WINDOW, WINDOW, WARM = 16, 64, 512, 64
+HIDDEN, TRAIN_WINDOW, WINDOW, WARM = 8, 64, 512, 64
 #: Windows read side by side (fewer with more than four languages); largest difference of a state that counts as the same.
-LANES, SAME_STATE = 4096, 0.02
+LANES, SAME_STATE = 8192, 0.05
+#: Bytes of texts that are read at once.
+CHUNK = 4 << 20
 #: Share of a state that is kept at most per byte, so that the run-up decides it.
-KEEP = 0.9
+KEEP = 0.8
 UNKNOWN = "und"
 
 _sigmoid = lambda x: 1 / (1 + np.exp(-x))
@@ -125,7 +127,7 @@ class LanguageModel:
             n = active[t]
             h = self.forth.read(data[start[:n] + t], forth[:n])
             forth[:n] = h
-            np.matmul(out_f, h.T, out=scores[t, :, :n])
+            scores[t, :, :n] = out_f @ h.T
         back, bias = outof.copy(), self.bias.astype(np.float32)[:, None]
         for t in reversed(range(steps)):
             n = active[t]
@@ -143,13 +145,12 @@ class LanguageModel:
     def _run_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """States at the two ends of windows, from the WARM bytes of the same text (low to high) before and behind them."""
         into, outof = (np.zeros((len(start), self.hidden), np.float32) for _ in range(2))
-        for j in reversed(range(1, WARM + 1)):
-            on = np.flatnonzero(start - j >= low)
-            if len(on):
-                into[on] = self.forth.read(data[start[on] - j], into[on])
-            on = np.flatnonzero(end + j <= high)
-            if len(on):
-                outof[on] = self.back.read(data[end[on] + j - 1], outof[on])
+        led, followed = np.minimum(start - low, WARM), np.minimum(high - end, WARM)
+        for j in reversed(range(1, WARM + 1)):  # a window whose text has fewer bytes there waits at nothing
+            into = self.forth.read(data[np.maximum(start - j, 0)], into)
+            into *= (j <= led)[:, None]
+            outof = self.back.read(data[np.minimum(end + j, len(data)) - 1], outof)
+            outof *= (j <= followed)[:, None]
         return into, outof
 
     def sums(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -276,16 +277,13 @@ def train(docs: DataFrame, divisor: int = 3, rest: int = 1) -> LanguageModel:
     At most PER_LANGUAGE texts per language reach the driver, one per id, each of MAX_CHARS characters at most. Rows
     with a null id, text or lang are not used; without two languages the model knows one or none.
     """
-    fair = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), divisor) != rest))
+    fair = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), divisor) != rest))
     fair = fair.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    names = [r["lang"] for r in fair.select("lang").distinct().collect()]  # one row per language
-    ids = None
-    for name in sorted(names):
-        some = lowest(fair.where(F.col("lang") == name).select("doc_id"), "doc_id", PER_LANGUAGE, 2).withColumn("chosen", F.lit(name))
-        ids = some if ids is None else ids.unionAll(some)
-    if ids is None:
+    chosen = lowest_by(fair.select("doc_id", "lang"), "doc_id", "lang", PER_LANGUAGE, 2)
+    if not chosen:
         return fit([], [])
-    found = fair.join(F.broadcast(ids), "doc_id").where("lang = chosen")  # at most PER_LANGUAGE ids per language
+    ids = docs.sparkSession.createDataFrame(chosen, fair.select("doc_id", F.col("lang").alias("chosen")).schema)
+    found = fair.join(F.broadcast(ids), "doc_id").where("lang = chosen and text is not null")  # at most PER_LANGUAGE ids per language
     piece = bounded_text(F.col("text"), F.col("doc_id"), MAX_CHARS)
     one = found.select("doc_id", "lang", piece.alias("text")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = sorted(one.select("doc_id", "lang", "text").collect())
@@ -302,7 +300,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, z, raw, offsets in byte_chunks(batch.column(1)):
+            for a, z, raw, offsets in byte_chunks(batch.column(1), CHUNK):
                 languages, scores = label_texts(model, LOWER[raw], offsets, batch.column(1).slice(a, z - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(languages, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 

@@ -97,12 +97,12 @@ def words_in(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE,
     return Words(raw, LOWER[raw], offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def byte_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from row, to row, bytes, offsets) for runs of rows of about CHUNK_BYTES of text; null texts are empty."""
+def byte_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from row, to row, bytes, offsets) for runs of rows of about `limit` bytes of text; null texts are empty."""
     raw, offsets = text_buffers(column)
     a = 0
     while a < len(column):
-        z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1)
+        z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
         yield a, z, raw[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
         a = z
 
