@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from theoremill.functions import names as N
 from theoremill.operators import dataset as P
 from theoremill.operators import evaluate as V
+from theoremill.operators import features
 from theoremill.operators import recommend as R
 from theoremill.operators.ranking import rank_by_hash
 from theoremill.plans.scratch import materialize
@@ -122,10 +123,13 @@ def release(spark: SparkSession, path: str) -> None:
 MODELS: dict[str, list[tuple[dict, Callable[..., R.Recommender]]]] = {
     "dummy": [({}, lambda k, **_: R.PopularityRecommender(k))],
     "bow": [({}, lambda k, **_: R.BagOfWordsRecommender(k))],
-    "tfidf": [({"metric": "cityblock"}, lambda k, **_: R.TfIdfRecommender(k))],
+    "tfidf": [({"metric": m}, lambda k, m=m, **_: R.TfIdfRecommender(k, m)) for m in ("cosine", "cityblock")],
+    "tfidf_words": [({"metric": "cityblock"}, lambda k, words, **_: R.TfIdfRecommender(k, "cityblock", words))],
     "word_embedding": [({"scheme": s, "metric": "cityblock"}, lambda k, words, **_: R.VectorRecommender(words, k, "cityblock")) for s in ("TFIDF_LOG2_COUNT", "CONSTANT")],
+    "analogies": [({"scheme": "CONSTANT", "metric": "cosine", "alpha": 0.0}, lambda k, words, **_: R.AnalogyRecommender(words, k))],
     "two_hops": [({"edge_weights": e}, lambda k, e=e, **_: R.TwoHopsRecommender(k, edge_weights=e)) for e in ("CONSTANT", "DEGREE", "LOG2_DEGREE")],
     "node_to_vec": [({"scheme": "concatenation", "size": 32, "window": 5, "walk_length": 50, "epochs": 10}, lambda k, nodes, **_: R.EdgeModelRecommender(nodes, k, "concatenation"))],
+    "words_node_to_vec": [({"scheme": "mean"}, lambda k, words, nodes, **_: R.EdgeModelRecommender(features.concatenate(words, nodes), k, "mean"))],
 }
 
 

@@ -118,6 +118,19 @@ def module_hierarchy(definitions: DataFrame, library: str, external: str = "exte
     return definitions.select(F.col("module_name").alias("src"), F.col("def_id").alias("dst"), F.lit(N.DEFINES).alias("edge_type")).unionAll(contains)
 
 
+def enclosing_modules(edges: DataFrame) -> DataFrame:
+    """Id, module: for each definition its module and all that contain that. The closure is taken over modules, which
+    are few to a definition, with a join per level of nesting."""
+    inside = materialize(edges.where(F.col("edge_type") == N.CONTAINS).select(F.col("dst").alias("m"), F.col("src").alias("above")).distinct(), "contains")
+    level = inside.select("m", F.col("above").alias("module"))
+    found = level
+    while not level.isEmpty():
+        level = materialize(level.join(inside.select(F.col("m").alias("module"), "above"), "module").select("m", F.col("above").alias("module")).join(found, ["m", "module"], "left_anti"), "enclosing")
+        found = found.unionAll(level)
+    own = edges.where(F.col("edge_type") == N.DEFINES).select(F.col("dst").alias("id"), F.col("src").alias("module")).distinct()
+    return own.unionAll(own.withColumnRenamed("module", "m").join(found, "m").select("id", "module")).distinct()
+
+
 def merge_nodes(edges: DataFrame, same: DataFrame) -> DataFrame:
     """Nodes `alias` become `id` (same: alias, id); their edges move unless the target has one of that type."""
     to = lambda df, c: df.join(same.select(F.col("alias").alias(f"k_{c}"), F.col("id").alias(f"id_{c}")), F.col(c) == F.col(f"k_{c}"), "left")

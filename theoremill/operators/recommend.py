@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from theoremill.functions import names as N
-from theoremill.operators import dataset, features, search, stats
+from theoremill.operators import dataset, features, graph, search, stats
 from theoremill.operators.ranking import top_k
 from theoremill.plans.scratch import materialize
 
 
 def postprocess(predictions: DataFrame, k: int | None, normalise: bool = True, is_similarity: bool = False) -> DataFrame:
     """R2: query, candidate, score, rank from query, candidate, y: helpers dropped, scaled to [0, 1] per query where the
-    scores differ, distances turned round, ordered by falling (score, name). Missing scores come last. k None: all."""
+    scores differ, distances turned round, ordered by falling (score, name). Missing scores come last. k None: all.
+    Predictions that are only the best of a search carry low and high of y over all its normal candidates."""
     kept = predictions.where(N.is_normal(F.col("candidate").cast("string"))).withColumn("y", F.nanvl(F.col("y").cast("double"), F.lit(None).cast("double")))
     by = Window.partitionBy("query")
     y = F.col("y")
     if normalise:
-        low, high = F.min("y").over(by), F.max("y").over(by)
-        kept = kept.withColumns({"low": low, "high": high})
+        if "low" not in kept.columns:
+            kept = kept.withColumns({"low": F.min("y").over(by), "high": F.max("y").over(by)})
         y = F.when(F.col("low") < F.col("high"), (y - F.col("low")) / F.when(F.col("low") < F.col("high"), F.col("high") - F.col("low"))).otherwise(y)
     scored = kept.select("query", "candidate", (y if is_similarity else 1 - y).alias("score"))
     order = [F.desc_nulls_last("score"), F.desc("candidate")]
@@ -97,11 +98,13 @@ def number_nodes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return names, materialize(code(code(part, "src"), "dst").select("src", "dst", "w"), "numbered")
 
 
-def analogy_targets(queries: DataFrame, references: DataFrame, modules: DataFrame, vectors: DataFrame) -> DataFrame:
+def analogy_targets(queries: DataFrame, references: DataFrame, modules: DataFrame, vectors: DataFrame, defined: DataFrame | None = None) -> DataFrame:
     """Query, target, own: for references (def, ref) of definitions in the query's module the vector
-    vec(ref) - vec(def) + vec(query). modules: id, module (all modules that enclose it)."""
+    vec(ref) - vec(def) + vec(query). modules: id, module (all that enclose it); defined: id, module (the one that defines
+    it; default: modules)."""
+    defined = modules if defined is None else defined
     q = queries.select(F.col("id").alias("query")).join(modules.select(F.col("id").alias("query"), "module"), "query")
-    near = q.join(modules.select(F.col("id").alias("src"), "module"), "module").join(references.select("src", "dst").distinct(), "src")
+    near = q.join(defined.select(F.col("id").alias("src"), "module"), "module").join(references.select("src", "dst").distinct(), "src")
     v = lambda c, name: vectors.select(F.col("id").alias(c), F.col("features").alias(name))
     full = near.select("query", "src", "dst").distinct().join(v("src", "a"), "src").join(v("dst", "b"), "dst").join(v("query", "own"), "query")
     return full.select("query", F.zip_with(F.zip_with("b", "a", lambda x, y: x - y), "own", lambda x, y: x + y).alias("target"), "own")
@@ -149,30 +152,67 @@ class BagOfWordsRecommender(Recommender):
 
     def predict(self, queries: DataFrame) -> DataFrame:
         rows = self._rows()
-        found = search.sparse_knn(rows.join(queries.select("id"), "id", "left_semi"), rows, self.k, self.metric)
-        return postprocess(found.select("query", "candidate", F.col("distance").alias("y")), self.k)
+        found = search.sparse_knn(rows.join(queries.select("id"), "id", "left_semi"), _normal(rows), self.k, self.metric, bounds=True, falling=True)
+        return postprocess(found.select("query", "candidate", F.col("distance").alias("y"), "low", "high"), self.k)
+
+
+def _normal(rows: DataFrame) -> DataFrame:
+    """Rows whose id is no helper: the candidates of every list, so that lists are full and scaled over all of them."""
+    return rows.where(N.is_normal(F.col("id").cast("string")))
 
 
 class TfIdfRecommender(BagOfWordsRecommender):
-    """City-block distance over TF-IDF."""
+    """City-block or cosine distance over TF-IDF. With vectors (R8): over TF-IDF and vectors joined."""
 
-    metric = "cityblock"
+    def __init__(self, k: int | None = 5, metric: str = "cityblock", vectors: DataFrame | None = None):
+        super().__init__(k)
+        self.metric, self.vectors = metric, vectors
 
     def _rows(self) -> DataFrame:
         docs = self.nodes.select("id").join(self.texts, "id", "left").select("id", F.coalesce("text", F.lit(N.NOT_A_DEFINITION)).alias("text"))
-        return features.tfidf(docs).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "tfidf"))).alias("weights"))
+        found = features.tfidf(docs).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "tfidf"))).alias("weights"))
+        none = F.create_map().cast("map<string,double>")
+        rows = docs.select("id").join(found, "id", "left").select("id", F.coalesce("weights", none).alias("weights"))
+        if self.vectors is None:
+            return rows
+        known = rows.join(self.vectors.select("id", "features"), "id", "left")
+        return known.where(F.assert_true(F.col("features").isNotNull(), F.lit("a node has no vector")).isNull())
 
 
 class VectorRecommender(Recommender):
-    """Nearest node vectors; vectors: id, features (words, TF-IDF combined with words, or any other)."""
+    """Nearest node vectors; vectors: id, features."""
 
     def __init__(self, vectors: DataFrame, k: int | None = 5, metric: str = "cosine"):
         super().__init__(k)
         self.vectors, self.metric = vectors, metric
 
     def predict(self, queries: DataFrame) -> DataFrame:
-        found = search.vector_knn(self.vectors.join(queries.select("id"), "id", "left_semi"), self.vectors, self.k, self.metric)
-        return postprocess(found.select("query", "candidate", F.col("distance").alias("y")), self.k)
+        found = search.vector_knn(self.vectors.join(queries.select("id"), "id", "left_semi"), _normal(self.vectors), self.k, self.metric, bounds=True, falling=True)
+        return postprocess(found.select("query", "candidate", F.col("distance").alias("y"), "low", "high"), self.k)
+
+
+class AnalogyRecommender(VectorRecommender):
+    """The query is to its reference as a definition of one of its modules is to its own. References are body edges;
+    modules (id, module: all that enclose it) follow from the graph where they aren't given. A query without an
+    analogy has an error that is not known for every candidate."""
+
+    def __init__(self, vectors: DataFrame, k: int | None = 5, metric: str = "cosine", alpha: float = 0.0, modules: DataFrame | None = None):
+        super().__init__(vectors, k, metric)
+        self.alpha, self.modules = alpha, modules
+
+    def predict(self, queries: DataFrame) -> DataFrame:
+        references = self.edges.where(F.col("edge_type") == N.BODY).select("src", "dst")
+        modules = self.modules if self.modules is not None else materialize(graph.enclosing_modules(self.edges), "modules")
+        defined = None if self.modules is not None else self.edges.where(F.col("edge_type") == N.DEFINES).select(F.col("dst").alias("id"), F.col("src").alias("module"))
+        targets = materialize(analogy_targets(queries, references, modules, self.vectors, defined), "targets")
+        found = search.nearest_targets(targets, _normal(self.vectors), self.k, self.alpha, self.metric, bounds=True, falling=True)
+        listed = postprocess(found.select("query", "candidate", F.col("error").alias("y"), "low", "high"), self.k)
+        alone = queries.select(F.col("id").alias("query")).join(targets.select("query"), "query", "left_anti")
+        names = _normal(self.vectors).select(F.col("id").alias("candidate"))
+        if self.k is not None:
+            names = names.orderBy(F.desc("candidate")).limit(self.k)  # k rows
+        none = alone.crossJoin(names).select("query", "candidate", F.lit(None).cast("double").alias("score"))
+        return listed.unionAll(top_k(none, ["query"], [F.desc("candidate")], self.k))
 
 
 class TwoHopsRecommender(Recommender):

@@ -193,18 +193,81 @@ def jaccard_knn(lib: Library) -> DataFrame:
     return S.sparse_knn(_queries(maps), maps, 6).select("query", "candidate", F.round("distance", 6).alias("distance"), "rank")
 
 
-_POST = "ps AS (SELECT query, candidate, 1 - (d - min(d) OVER (PARTITION BY query)) / (max(d) OVER (PARTITION BY query) - min(d) OVER (PARTITION BY query)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, candidate) AS r FROM nd) WHERE r <= 50)"
+# The scale is that of all candidates, not of a list.
+_POST = "ps AS (SELECT query, candidate, 1 - CASE WHEN lo < hi THEN (d - lo) / (hi - lo) ELSE d END AS score FROM (SELECT *, min(d) OVER (PARTITION BY query) AS lo, max(d) OVER (PARTITION BY query) AS hi FROM nd))"
+_LIST = "SELECT query, candidate, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate DESC)::BIGINT AS rank FROM ps) WHERE rank <= 5"
 
 
-def _list(lib: Library, k: int) -> DataFrame:
+def _graph(lib: Library) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, (no) edges and texts of the documents."""
+    docs = lib.documents()
+    return docs.select("id"), lib.spark.createDataFrame([], "src long, dst long, edge_type string, w long"), docs
+
+
+def _rounded(lists: DataFrame) -> DataFrame:
+    return lists.select("query", "candidate", F.round("score", 6).alias("score"), "rank")
+
+
+def _list(lib: Library, k: int | None) -> DataFrame:
     v = lib.vectors()
-    near = S.vector_knn(_queries(v), v, 50, "cityblock")
-    return R.postprocess(near.select("query", "candidate", F.col("distance").alias("y")), k)
+    model = R.VectorRecommender(v, k, "cityblock").fit(v.select("id"), v)
+    return model.predict(_queries(v).select("id"))
 
 
-@register("score_postprocess", library("SELECT query, candidate, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate DESC)::BIGINT AS rank FROM ps) WHERE rank <= 5", _CITY, _POST))
+@register("score_postprocess", library(_LIST.replace(" WHERE rank <= 5", ""), _CITY, _POST))
 def score_postprocess(lib: Library) -> DataFrame:
-    return _list(lib, 5).select("query", "candidate", F.round("score", 6).alias("score"), "rank")
+    """Whole lists: every candidate of every query."""
+    v = lib.vectors()
+    return _rounded(R.postprocess(S.vector_knn(_queries(v), v, None, "cityblock").select("query", "candidate", F.col("distance").alias("y")), None))
+
+
+@register("word_recommend", library(_LIST, _CITY, _POST))
+def word_recommend(lib: Library) -> DataFrame:
+    return _rounded(_list(lib, 5))
+
+
+@register("bow_recommend", f"WITH {_JAC}, {_POST} {_LIST}")
+def bow_recommend(lib: Library) -> DataFrame:
+    nodes, edges, texts = _graph(lib)
+    return _rounded(R.BagOfWordsRecommender(5).fit(nodes, edges, texts).predict(_queries(nodes)))
+
+
+_TFI = f"""{_BOW}, {_IDF}, tf AS (SELECT id, word, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM (SELECT id, word, cnt * idf AS x FROM bow JOIN idf USING (word))),
+ts AS (SELECT doc_id AS id, coalesce(sum(x), 0) AS n FROM documents LEFT JOIN tf ON id = doc_id GROUP BY 1),
+tm AS (SELECT q.id AS query, x.id AS candidate, sum(least(q.x, x.x)) AS m, sum(q.x * x.x) AS dot FROM tf q JOIN tf x USING (word) WHERE q.id % 20 = 0 GROUP BY 1, 2),
+td AS (SELECT q.id AS query, x.id AS candidate, q.n + x.n - 2 * coalesce(m, 0) AS city, CASE WHEN q.n > 0 AND x.n > 0 THEN 1 - coalesce(dot, 0) END AS cosine FROM ts q CROSS JOIN ts x LEFT JOIN tm ON tm.query = q.id AND tm.candidate = x.id WHERE q.id % 20 = 0)"""
+# Distances are compared to 9 digits: sums in another order differ behind that, and ids decide ties.
+_TIED = "SELECT query, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC NULLS LAST)::BIGINT AS rank FROM ps) WHERE rank <= 5"
+
+
+def _tfidf_list(lib: Library, metric: str) -> DataFrame:
+    nodes, edges, texts = _graph(lib)
+    found = R.TfIdfRecommender(5, metric).fit(nodes, edges, texts).predict(_queries(nodes))
+    return found.select("query", "rank", F.round("score", 6).alias("score"))
+
+
+@register("tfidf_recommend", f"WITH {_TFI}, nd AS (SELECT query, candidate, city AS d FROM td), {_POST} {_TIED}")
+def tfidf_recommend(lib: Library) -> DataFrame:
+    return _tfidf_list(lib, "cityblock")
+
+
+@register("tfidf_cosine_recommend", f"WITH {_TFI}, nd AS (SELECT query, candidate, cosine AS d FROM td), {_POST} {_TIED}")
+def tfidf_cosine_recommend(lib: Library) -> DataFrame:
+    return _tfidf_list(lib, "cosine")
+
+
+_BOTH = "nv AS (SELECT doc_id AS id, f FROM documents JOIN vec ON vec.id = doc_id % (SELECT count(*) FROM vec)), vd AS (SELECT q.id AS query, x.id AS candidate, list_sum(list_transform(range(1, len(q.f) + 1), lambda i: abs(q.f[i] - x.f[i]))) AS city FROM nv q, nv x WHERE q.id % 20 = 0), nd AS (SELECT query, candidate, td.city + vd.city AS d FROM td JOIN vd USING (query, candidate))"
+
+
+@register("combined_recommend", library(_TIED, _TFI, _BOTH, _POST))
+def combined_recommend(lib: Library) -> DataFrame:
+    """TF-IDF joined with vectors; document i has the vector of i modulo their number."""
+    nodes, edges, texts = _graph(lib)
+    v = lib.vectors()
+    n = v.agg(F.count("*").alias("n"))
+    vectors = nodes.crossJoin(F.broadcast(n)).withColumn("at", F.pmod("id", "n")).join(v.select(F.col("id").alias("at"), "features"), "at").select("id", "features")  # one row
+    found = R.TfIdfRecommender(5, "cityblock", vectors).fit(nodes, edges, texts).predict(_queries(nodes))
+    return found.select("query", "rank", F.round("score", 6).alias("score"))
 
 
 @register("edge_score_from_list", library("""SELECT vp.src, vp.dst, round(coalesce(CASE WHEN b.best > 0 THEN coalesce(l.score, 0) / b.best END, 0), 6)::DOUBLE AS score FROM vp LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate DESC) AS rank FROM ps) WHERE rank <= 5) l ON l.query = vp.src AND l.candidate = vp.dst
@@ -226,6 +289,15 @@ def analogy(lib: Library) -> DataFrame:
     return found.select("query", "candidate", (F.round("error", 6) + 0.0).alias("error"), "rank")
 
 
+@register("analogy_recommend", library("SELECT query, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC)::BIGINT AS rank FROM ps) WHERE rank <= 5", _ANA, "nd AS (SELECT * FROM ae)", _POST))
+def analogy_recommend(lib: Library) -> DataFrame:
+    """The analogy model; a vector's label is its module, and refers to the next vector."""
+    v = lib.vectors()
+    edges = v.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(N.BODY).alias("edge_type"), F.lit(1).cast("bigint").alias("w"))
+    model = R.AnalogyRecommender(v, 5, modules=v.select("id", F.col("label").alias("module"))).fit(v.select("id"), edges)
+    return model.predict(_queries(v).select("id")).select("query", "rank", F.round("score", 6).alias("score"))
+
+
 # ---- recommenders on the graph
 
 
