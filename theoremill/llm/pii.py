@@ -229,8 +229,8 @@ def _person(text: str, key: bytes) -> str:
     return "".join(out)
 
 
-_HAN_GIVEN = [i for i in range(0x4E00, 0x9FA6) if chr(i) not in HAN_FAMILY]
-_HAN_CLASS = {c: (HAN_FAMILY, i) for i, c in enumerate(HAN_FAMILY)} | {chr(c): ("".join(map(chr, _HAN_GIVEN)), i) for i, c in enumerate(_HAN_GIVEN)}
+_HAN_GIVEN = "".join(chr(i) for i in range(0x4E00, 0x9FA6) if chr(i) not in HAN_FAMILY)
+_HAN_CLASS = {c: (alphabet, i) for alphabet in (HAN_FAMILY, _HAN_GIVEN) for i, c in enumerate(alphabet)}
 
 
 def _han(text: str, key: bytes) -> str:
