@@ -294,3 +294,39 @@ def test_lists_of_all_candidates_have_no_end(spark):
         for q in ("n0000", "n0005"):
             mine = [x for x in got if x["query"] == q]
             assert sorted(x["rank"] for x in mine) == list(range(1, n + 1)) and len({x["candidate"] for x in mine}) == n, type(r)
+
+
+def words_by_hand(name):
+    """A1 by its rule: a cut before every character but between two numbers, or two letters that are no small one before a
+    capital one."""
+    out = []
+    for i, c in enumerate(name):
+        p = name[i - 1] if i else ""
+        joined = p and (p.isnumeric() and c.isnumeric() or p.isalpha() and c.isalpha() and not (c.upper() == c and p.lower() == p))
+        if c in "_-." or c.isspace():
+            out.append("")
+        elif joined:
+            out[-1] += c
+        else:
+            out.append(c)
+    return [w.lower() for w in out if w]
+
+
+def test_word_split_over_all_letters(spark):
+    """Every assigned character beside characters of each kind, and some words of scripts without case."""
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from theoremill.functions import names as N
+
+    # Lowering is that of the JVM; characters that it lowers by its own, or by context, are left out, and its white space.
+    fine = [chr(c) for c in range(33, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co", "Cc", "Zs", "Zl", "Zp") and chr(c) not in "Σİ"]
+    cased = [c for c in fine if c.lower() == c]
+    texts = ["".join(f"{c}{x}{c}_" for x in "aA1ₐ一漢-½") for c in cased[:: 7]] + ["".join(c + c for c in fine if ord(c) < 0x250)]
+    texts += ["xₐ", "ℕℤ", "漢字", "this₂₂Is_aVery-longName_innit12∘21", "Straßenbahn ÖBB", "x一二3", "Ǆǅǆ"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(4)
+    got = {r["id"]: r["w"] for r in rows.select("id", N.split_words(F.col("text")).alias("w")).collect()}
+    wrong = [(t, got[i], words_by_hand(t)) for i, t in enumerate(texts) if [w.lower() for w in got[i]] != words_by_hand(t)]
+    assert wrong == [], (len(wrong), [(t, set(a) ^ set(b)) for t, a, b in wrong[:4]])
+    assert got[len(texts) - 7] == ["x", "ₐ"] and got[len(texts) - 6] == ["ℕ", "ℤ"] and got[len(texts) - 5] == ["漢", "字"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,13 +115,45 @@ def module_prefixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
 
 
+def _class(test) -> str:
+    """The characters that pass a test, as the inside of a regular expression's class."""
+    found = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and test(chr(c))]
+    runs: list[list[int]] = []
+    for c in found:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\x{{{a:x}}}" if a == z else f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in runs)
+
+
+@lru_cache(1)
+def word_classes() -> dict[str, str]:
+    """A1's classes, by what characters are and not by a regular expression's idea of them: letters, numbers (some are
+    both, as the Han numerals), letters that are their own lower or upper form (caseless ones are both)."""
+    return {
+        "letter": _class(str.isalpha),
+        "number": _class(str.isnumeric),
+        "both": _class(lambda c: c.isalpha() and c.isnumeric()),
+        "low": _class(lambda c: c.isalpha() and c.lower() == c),
+        "up": _class(lambda c: c.isalpha() and c.upper() == c),
+    }
+
+
 def split_words(text: Column) -> Column:
-    """A1, A2: words of names and texts: runs of digits, runs of letters cut at lower-to-upper, other signs alone;
-    `_ - .` and spaces part words; lowered; no empty words."""
-    s = F.regexp_replace(text, r"([^\p{L}\p{N}])", " $1 ")
-    s = F.regexp_replace(s, r"(\p{N})(\p{L})", "$1 $2")
-    s = F.regexp_replace(s, r"(\p{L})(\p{N})", "$1 $2")
-    s = F.regexp_replace(s, r"(\p{Ll})(\p{Lu})", "$1 $2")
+    """A1, A2: words of names and texts: runs of numbers, runs of letters cut where a letter that is its own lower form
+    meets one that is its own upper form, other signs alone; `_ - .` and spaces part words; lowered; no empty words."""
+    c = word_classes()
+    # The listed classes are long: properties of the expression's own rule them out first where they can.
+    # Characters that the JVM does not know yet (Cn) are looked up there.
+    may_count = r"[\p{N}\p{Lo}\p{Cn}]"
+    letter = rf"[\p{{L}}[\p{{Cn}}&&[{c['letter']}]]]"
+    one_number = f"(?<={may_count})(?={may_count})(?<=[{c['number']}])(?=[{c['number']}])"
+    one_word = rf"(?<={letter})(?={letter})(?!(?![a-zà-öø-ÿ])(?<=[{c['low']}])(?=[{c['up']}]))"
+    # The last part never matches; its literal tells the JVM that a character may take two units when it looks behind.
+    general = rf"(?<=[\s\S])(?=[\s\S])(?!{one_word})(?!{one_number})(?![^\s\S]\U00010000)".replace("\\U00010000", "\U00010000")
+    plain = "(?<=[^0-9A-Za-z])(?=[\\s\\S])|(?<=[0-9])(?=[^0-9])|(?<=[A-Za-z])(?=[^A-Za-z])|(?<=[a-z])(?=[A-Z])"
+    s = F.when(text.rlike(r"^[\x00-\x7f]*$"), F.regexp_replace(text, plain, " ")).otherwise(F.regexp_replace(text, general, " "))
     return F.filter(F.split(F.lower(F.regexp_replace(s, "[_.-]", " ")), r"\s+"), lambda w: w != "")
 
 

@@ -32,6 +32,13 @@ _HEX = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 _PART_TEXT = "p_name || ' ' || p_brand"
 
 
+@register("word_split_text", f"SELECT doc_id AS id, len(ws)::BIGINT AS n_words, md5(array_to_string(ws, ' ')) AS words FROM (SELECT doc_id, {split_words('text')} AS ws FROM documents WHERE text IS NOT NULL)")
+def word_split_text(lib: Library) -> DataFrame:
+    """Whole texts, other scripts and accents included: the number of their words, and a digest of them in order."""
+    words = lib.documents().where("text is not null").select("id", N.split_words(F.col("text")).alias("ws"))
+    return words.select("id", F.size("ws").cast("bigint").alias("n_words"), F.md5(F.array_join("ws", " ")).alias("words"))
+
+
 @register("word_split", f"SELECT p_partkey AS id, generate_subscripts(ws, 1)::BIGINT - 1 AS pos, unnest(ws) AS word FROM (SELECT p_partkey, {split_words(_PART_TEXT)} AS ws FROM part)")
 def word_split(lib: Library) -> DataFrame:
     words = lib.table("part").select(F.col("p_partkey").alias("id"), F.posexplode(N.split_words(F.concat_ws(" ", "p_name", "p_brand"))).alias("pos", "word"))
