@@ -224,14 +224,39 @@ def cycles(lib: Library) -> DataFrame:
     return G.cycles(*_nation_graph(lib), max_length=4)
 
 
-@register("betweenness")
+def _distances(rounds: int) -> list[str]:
+    """Shortest distances between nations after that many steps of relaxation (as many as there are nations will do)."""
+    steps = ["d0 AS MATERIALIZED (SELECT module AS s, module AS v, 0::DOUBLE AS d FROM mods)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"d{i} AS MATERIALIZED (SELECT s, v, min(d) AS d FROM (SELECT * FROM d{i - 1} UNION ALL SELECT s, dst, d + w FROM d{i - 1} JOIN ne ON src = v) GROUP BY 1, 2)")
+    return steps
+
+
+_PATHS = (
+    "tight AS MATERIALIZED (SELECT a.s, src AS u, dst AS v FROM d24 a JOIN ne ON src = a.v JOIN d24 b ON b.s = a.s AND b.v = dst AND b.d = a.d + w)",
+    "sp AS (SELECT module AS s, module AS z, [module] AS path FROM mods UNION ALL SELECT sp.s, t.v, list_append(path, t.v) FROM sp JOIN tight t ON t.s = sp.s AND t.u = sp.z)",
+    "np AS (SELECT s, z, count(*) AS n FROM sp GROUP BY 1, 2)",
+    "bt AS (SELECT id, sum(1.0 / n) AS b FROM (SELECT unnest(path[2:-2]) AS id, n FROM sp JOIN np USING (s, z) WHERE len(path) > 2) GROUP BY id)",
+)
+
+
+@register("betweenness", library("SELECT module AS id, round(coalesce(b, 0) / ((SELECT count(*) FROM mods) - 1) / ((SELECT count(*) FROM mods) - 2), 6)::DOUBLE AS value FROM mods LEFT JOIN bt ON id = module", _FLOW, *_distances(24), *_PATHS, recursive=True))
 def betweenness(lib: Library) -> DataFrame:
     return G.betweenness(*_nation_graph(lib)).select("id", F.round("value", 6).alias("value"))
 
 
-@register("eigenvector")
+def _eigen_sql(rounds: int) -> str:
+    steps = ["e0 AS MATERIALIZED (SELECT module AS id, 1.0::DOUBLE / (SELECT count(*) FROM mods) AS v FROM mods)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"r{i} AS MATERIALIZED (SELECT id, e.v + coalesce((SELECT sum(x.v * ne.w) FROM e{i - 1} x JOIN ne ON src = x.id WHERE dst = e.id), 0) AS v FROM e{i - 1} e)")
+        steps.append(f"e{i} AS MATERIALIZED (SELECT id, v / (SELECT CASE WHEN sum(v * v) = 0 THEN 1 ELSE sqrt(sum(v * v)) END FROM r{i}) AS v FROM r{i})")
+    return library(f"SELECT id, round(CASE WHEN v < 1e-16 THEN 0 ELSE v END, 6)::DOUBLE AS value FROM e{rounds}", _FLOW, *steps)
+
+
+@register("eigenvector", _eigen_sql(40))
 def eigenvector(lib: Library) -> DataFrame:
-    return G.eigenvector(*_nation_graph(lib)).select("id", F.round("value", 6).alias("value"))
+    """Settled to twelve digits, so that the SQL's fixed number of rounds agrees."""
+    return G.eigenvector(*_nation_graph(lib), tolerance=1e-12).select("id", F.round("value", 6).alias("value"))
 
 
 @register("current_flow", library("SELECT module AS id, 0.0::DOUBLE AS value FROM mods"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from theoremill.plans import queries_graph, queries_learning, queries_trees
+from theoremill.plans import queries_graph, queries_learning, queries_sources, queries_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for module in (queries_graph, queries_trees, queries_learning):
+for module in (queries_graph, queries_trees, queries_learning, queries_sources):
     QUERIES.update(module.Q)
     SQL.update(module.SQL)
