@@ -3,7 +3,7 @@ don't depend on partitioning and are the same in SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from theoremill.functions import names as N
@@ -48,14 +48,23 @@ def check_folds(found: DataFrame, ids: DataFrame) -> DataFrame:
 
 def prune_references(counts: DataFrame, keep: float) -> DataFrame:
     """Src, dst, removed. Per source, references by falling count (then name) are removed whole, while what is
-    left of round((1 - keep) total) is at least their count. A source's references are one list, as the greedy choice
-    is sequential. counts: src, dst, w."""
-    rows = counts.groupBy("src").agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("minus"), "dst"))).alias("refs"), F.sum("w").alias("total"))
+    left of round((1 - keep) total) is at least their count.
+
+    The greedy choice is sequential, but takes as many references of one count as fit: it is made over a source's
+    distinct counts, which are few, and its references are ranked within each of them. counts: src, dst, w.
+    """
+    per = counts.groupBy("src", "w").agg(F.count("*").alias("m")).groupBy("src").agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("minus"), "m"))).alias("ws"), F.sum(F.col("w") * F.col("m")).alias("total"))
     budget = F.bround(F.lit(1 - keep) * F.col("total")).cast("bigint")
-    start = F.struct(budget.alias("left"), F.array().cast("array<boolean>").alias("removed"))
-    step = lambda acc, r: F.struct((acc["left"] - F.when(-r["minus"] <= acc["left"], -r["minus"]).otherwise(0)).alias("left"), F.concat(acc["removed"], F.array((-r["minus"] <= acc["left"]) & (acc["left"] > 0))).alias("removed"))
-    run = F.aggregate("refs", start, step, lambda acc: acc["removed"])
-    return rows.select("src", F.explode(F.arrays_zip("refs", run.alias("removed"))).alias("r")).select("src", F.col("r.refs.dst").alias("dst"), F.col("r.removed").alias("removed"))
+    start = F.struct(budget.alias("left"), F.array().cast("array<struct<w:bigint,k:bigint>>").alias("taken"))
+
+    def step(acc: Column, x: Column) -> Column:
+        w = (-x["minus"]).cast("bigint")
+        k = F.least(x["m"], F.floor(acc["left"] / w)).cast("bigint")
+        return F.struct((acc["left"] - k * w).alias("left"), F.concat(acc["taken"], F.array(F.struct(w.alias("w"), k.alias("k")))).alias("taken"))
+
+    taken = per.select("src", F.inline(F.aggregate("ws", start, step, lambda acc: acc["taken"])))
+    nth = F.row_number().over(Window.partitionBy("src", "w").orderBy("dst"))
+    return counts.select("src", "dst", F.col("w").cast("bigint").alias("w")).withColumn("nth", nth).join(taken, ["src", "w"]).select("src", "dst", (F.col("nth") <= F.col("k")).alias("removed"))
 
 
 def train_edges(edges: DataFrame, removed: DataFrame) -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where the setting is absent (local runs)."""
+    """The shared folder named by spark.checkpoint.dir. Where the setting is absent, a temporary one on a local master; on
+    a cluster that is an error, as executors don't share the driver's folders."""
     context = spark.sparkContext
     where = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="theoremill-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(where)
