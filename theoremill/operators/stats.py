@@ -176,10 +176,11 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_0
     return done.join(least, "origin").select(F.col("node").alias("id"), "component")
 
 
-def cycles(nodes: DataFrame, edges: DataFrame, max_length: int = 12) -> DataFrame:
-    """Id, n_cycles: simple cycles through each node, up to max_length nodes (their number may be exponential).
+def simple_cycles(nodes: DataFrame, edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """path: the nodes of every simple cycle once, from its smallest node on. max_length: only those of so many nodes.
 
-    Paths start at their smallest node and grow inside its strong component, one join per length.
+    Paths start at their smallest node and grow inside its strong component, one join per length, until none is left;
+    their number may be exponential.
     """
     comp = strong_components(nodes, edges)
     tag = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
@@ -187,12 +188,25 @@ def cycles(nodes: DataFrame, edges: DataFrame, max_length: int = 12) -> DataFram
     links = materialize(links, "cycle-links")
     closed = links.where("src = dst").select(F.array("src").alias("path"))
     paths = links.where("src < dst").select(F.array("src", "dst").alias("path"), "dst")
-    for _ in range(2, max_length + 1):
+    length = 2
+    while max_length is None or length <= max_length:
         paths = materialize(paths, "paths")
         if paths.isEmpty():
             break
         grown = paths.select("path", F.col("dst").alias("src")).join(links, "src")
         closed = closed.unionAll(grown.where(F.col("dst") == F.element_at("path", 1)).select("path"))
         paths = grown.where((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), "dst")
-    counts = closed.select(F.explode("path").alias("id")).groupBy("id").agg(F.count("*").alias("n_cycles"))
+        length += 1
+    return closed
+
+
+def cycles(nodes: DataFrame, edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """Id, n_cycles: simple cycles through each node."""
+    counts = simple_cycles(nodes, edges, max_length).select(F.explode("path").alias("id")).groupBy("id").agg(F.count("*").alias("n_cycles"))
     return nodes.select("id").distinct().join(counts, "id", "left").select("id", F.coalesce("n_cycles", F.lit(0)).alias("n_cycles"))
+
+
+def cycle_summary(nodes: DataFrame, edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """G10, of the graph: n_cycles, longest (nodes of the longest cycles, 0 without one), n_longest (one row)."""
+    sizes = simple_cycles(nodes, edges, max_length).groupBy(F.size("path").alias("size")).agg(F.count("*").alias("n"))
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_cycles"), F.coalesce(F.max("size"), F.lit(0)).alias("longest"), F.coalesce(F.max_by("n", "size"), F.lit(0)).alias("n_longest"))

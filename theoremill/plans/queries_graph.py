@@ -217,11 +217,20 @@ def strong_components(lib: Library) -> DataFrame:
     return G.strong_components(*_nation_graph(lib))
 
 
-@register("cycles", library("SELECT m.module AS id, count(p.path)::BIGINT AS n_cycles FROM mods m LEFT JOIN cyc p ON list_contains(p.path, m.module) GROUP BY 1", _FLOW,
-    "pa AS (SELECT [src, dst] AS path, src AS a, dst AS z, 2 AS n FROM ne WHERE src < dst UNION ALL SELECT list_append(path, e.dst), a, e.dst, n + 1 FROM pa JOIN ne e ON e.src = z WHERE n < 4 AND e.dst > a AND NOT list_contains(path, e.dst))",
-    "cyc AS (SELECT path FROM pa JOIN ne e ON e.src = z AND e.dst = a)", recursive=True))
+_CYCLES = (
+    "pa AS (SELECT [src, dst] AS path, src AS a, dst AS z, 2 AS n FROM ne WHERE src < dst UNION ALL SELECT list_append(path, e.dst), a, e.dst, n + 1 FROM pa JOIN ne e ON e.src = z WHERE e.dst > a AND NOT list_contains(path, e.dst))",
+    "cyc AS (SELECT path FROM pa JOIN ne e ON e.src = z AND e.dst = a)",
+)
+
+
+@register("cycles", library("SELECT m.module AS id, count(p.path)::BIGINT AS n_cycles FROM mods m LEFT JOIN cyc p ON list_contains(p.path, m.module) GROUP BY 1", _FLOW, *_CYCLES, recursive=True))
 def cycles(lib: Library) -> DataFrame:
-    return G.cycles(*_nation_graph(lib), max_length=4)
+    return G.cycles(*_nation_graph(lib))
+
+
+@register("cycle_summary", library("SELECT count(*)::BIGINT AS n_cycles, coalesce(max(len(path)), 0)::INT AS longest, (SELECT count(*) FROM cyc WHERE len(path) = (SELECT max(len(path)) FROM cyc))::BIGINT AS n_longest FROM cyc", _FLOW, *_CYCLES, recursive=True))
+def cycle_summary(lib: Library) -> DataFrame:
+    return G.cycle_summary(*_nation_graph(lib))
 
 
 def _distances(rounds: int) -> list[str]:
