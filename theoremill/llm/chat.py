@@ -88,7 +88,11 @@ def format_conversations(turns: DataFrame, template: ChatTemplate = ChatTemplate
 
 
 def parse_formatted(formatted: Column, template: ChatTemplate = ChatTemplate()) -> Column:
-    """The turns in a formatted text as array<struct<role, text>>, unescaped."""
+    """The turns in a formatted text as array<struct<role, text>>, unescaped.
+
+    Null: null; a text without a turn: an empty array. Roles and texts may be empty, of any length, and hold any control
+    string, as these are escaped; turns come in order, repeated ones repeated.
+    """
     quoted = lambda s: "\\Q" + s + "\\E"
     blocks = F.slice(F.split(formatted, quoted(template.turn_open), -1), F.lit(2), F.greatest(F.lit(0), F.size(F.split(formatted, quoted(template.turn_open), -1)) - 1))
     body = lambda b: F.substring(b, F.lit(1), F.length(b) - len(template.turn_close))
