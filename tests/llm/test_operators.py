@@ -152,6 +152,29 @@ def roots(pairs):
     return {i: find(i) for i in list(root)}
 
 
+def test_recall_of_a_crowded_family():
+    """Texts at 0.37 with each other, each with one partner just above 0.8: most fall into one region of some tree, and
+    no pair is missed by the candidate search."""
+    rng = np.random.default_rng(9)
+    n, base = 1500, rng.integers(0, 2**62, 120).astype(np.uint64)
+    own = rng.integers(0, 2**62, (n, 128)).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base, own[i, :104]])) for i in range(n)] + [np.unique(np.concatenate([base, own[i, 24:]])) for i in range(n)]
+    assert all(100 * len(np.intersect1d(sets[i], sets[n + i])) >= 80 * len(np.union1d(sets[i], sets[n + i])) for i in range(50))
+    sig = neardup.signatures(sets)
+    sketch, pairs, largest = sig.astype(np.uint8), [], 0
+    least = int(np.floor(neardup.VALUES * 0.8 - neardup.SLACK * np.sqrt(neardup.VALUES * 0.16)))
+    for tree in range(neardup.TREES):
+        regions = {}
+        for i, key in enumerate(map(bytes, sig[:, tree * neardup.DEPTH : tree * neardup.DEPTH + neardup.MIN_DEPTH])):
+            regions.setdefault(key, []).append(i)
+        for ids in regions.values():
+            largest = max(largest, len(ids))
+            if len(ids) > 1:
+                pairs += neardup._search(np.array(ids), sketch[ids], least)
+    root = roots(pairs)
+    assert largest > n / 2 and all(root.get(i, i) == root.get(n + i, n + i) for i in range(n))
+
+
 @pytest.mark.parametrize("held", [neardup.HELD_ROWS, 2000])
 def test_hidden_pairs_of_a_crowded_region(monkeypatch, held):
     monkeypatch.setattr(neardup, "HELD_ROWS", held)
