@@ -483,7 +483,21 @@ def _walks(lib: Library) -> DataFrame:
     return E.random_walks(E.undirected_weights(lib.edges()), n_walks=1, length=6)
 
 
-@register("random_walks")
+def _walk_sql(length: int) -> str:
+    """Walks step by step: the hashed number of a walk and a step falls into one neighbour's interval."""
+    steps = [
+        "uw AS (SELECT u, v, sum(CASE WHEN nth > 1 THEN w ELSE 0 END) + sum(w * li) AS w FROM un GROUP BY u, v)",
+        "bo AS (SELECT u AS a, v AS t, w FROM uw WHERE w > 0 UNION ALL SELECT v, u, w FROM uw WHERE u <> v AND w > 0)",
+        "cu AS MATERIALIZED (SELECT a, t, sum(w) OVER (PARTITION BY a ORDER BY t) / sum(w) OVER (PARTITION BY a) AS hi, (sum(w) OVER (PARTITION BY a ORDER BY t) - w) / sum(w) OVER (PARTITION BY a) AS lo FROM bo)",
+        "w0 AS MATERIALIZED (SELECT DISTINCT a AS start, 0 AS nth, 0 AS step, a AS node FROM cu)",
+    ]
+    for i in range(1, length):
+        draw = f"({_HEX.format(f"'1234:' || start || ':' || nth || ':{i}'")}::DOUBLE + 0.5) / 4294967296"
+        steps.append(f"w{i} AS MATERIALIZED (SELECT start, nth, {i} AS step, t AS node FROM (SELECT *, {draw} AS x FROM w{i - 1}) JOIN cu ON node = a AND x >= lo AND x < hi)")
+    return library(" UNION ALL ".join(f"SELECT * FROM w{i}" for i in range(length)), _UND, *steps)
+
+
+@register("random_walks", _walk_sql(6))
 def random_walks(lib: Library) -> DataFrame:
     return _walks(lib)
 
