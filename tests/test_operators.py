@@ -221,6 +221,31 @@ def test_two_hops_fills_lists(spark):
     assert got == [(1, "t", 1.0), (2, "q", pytest.approx(1 - 0.5 / 1.5)), (3, "x", 0.0)]
 
 
+def test_two_hops_ties_to_nine_digits(spark):
+    many = [("q", f"x{i:02}", "REFERENCE_BODY", w) for i, w in enumerate((3, 5, 7, 11, 13))]
+    weights = (3, 5, 7, 11, 13)
+    e = spark.createDataFrame(many + [(t, f"x{i:02}", "REFERENCE_BODY", weights[i]) for t in ("a", "b", "c") for i in ((0, 1, 2) if t != "b" else (2, 1, 0))], EDGE)
+    got = rows(recommend.two_hops(spark.createDataFrame([("q",)], "id string"), e, stats.nodes_of(e), 4, "LOG2_DEGREE"), "rank", "candidate", "score")
+    assert [c for _, c, _ in got] == ["q", "c", "b", "a"] and all(s == round(s, 9) for _, _, s in got)
+
+
+def test_two_hops_query_counts_references_only(spark, tmp_path):
+    """Customers 0 and 1 share a part whose module is linked with it too: the module is no candidate before them."""
+    from theoremill.plans import registry
+
+    put = lambda name, data, schema: spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("region", [(0, "R")], "r_regionkey int, r_name string")
+    put("nation", [(0, "N", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    put("customer", [(0, 0), (1, 0)], "c_custkey long, c_nationkey int")
+    put("supplier", [(0, 0)], "s_suppkey long, s_nationkey int")
+    put("part", [(0, "B")], "p_partkey long, p_brand string")
+    put("orders", [(0, 0, "F"), (1, 1, "F")], "o_orderkey long, o_custkey long, o_orderstatus string")
+    put("lineitem", [(0, 0, 0, 1), (1, 0, 0, 1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    for name in ("two_hops_constant", "two_hops_degree", "two_hops_log2"):
+        got = [(r["candidate"], r["score"]) for r in registry.QUERIES[name](spark, str(tmp_path)).where("score > 0").orderBy("rank").collect()]
+        assert got == [("R.N.cust1 1", 1.0), ("R.N.cust0 0", 1.0)]
+
+
 def test_metrics(spark):
     s = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.1)], "truth int, score double")
     assert evaluate.roc_auc(s).first()["auc"] == pytest.approx((0.5 + 1 + 0 + 1) / 4)
