@@ -246,6 +246,17 @@ def test_two_hops_query_counts_references_only(spark, tmp_path):
         assert got == [("R.N.cust1 1", 1.0), ("R.N.cust0 0", 1.0)]
 
 
+def test_betweenness_with_empty_tasks(spark):
+    """Tasks without a node, or whose nodes lie on no path, return no rows."""
+    e = spark.createDataFrame([("a", "b", "REFERENCE_BODY", 1), ("b", "c", "REFERENCE_BODY", 1)], EDGE)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rows(stats.betweenness(stats.nodes_of(e).repartition(16, "id"), e), "id", "value")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == [("a", 0.0), ("b", 0.5), ("c", 0.0)]
+
+
 def test_metrics(spark):
     s = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.1)], "truth int, score double")
     assert evaluate.roc_auc(s).first()["auc"] == pytest.approx((0.5 + 1 + 0 + 1) / 4)
