@@ -257,6 +257,28 @@ def test_betweenness_with_empty_tasks(spark):
     assert got == [("a", 0.0), ("b", 0.5), ("c", 0.0)]
 
 
+def test_analogies_by_scope(spark):
+    """As over a table of all targets, of which none is made; zero vectors and other metrics too."""
+    import numpy as np
+
+    from theoremill.operators import search
+
+    made = np.random.default_rng(5).normal(size=(300, 6)).round(3)
+    made[7] = 0
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(made)], "id long, features array<double>")
+    modules = spark.createDataFrame([(i, i % 3) for i in range(300)] + [(i, 9) for i in range(0, 300, 2)], "id long, module long")
+    refs = spark.createDataFrame([(i, (i * 7 + 1) % 300) for i in range(300)], "src long, dst long")
+    q = spark.createDataFrame([(20,), (33,), (40,), (41,)], "id long")
+    targets = recommend.analogy_targets(q, refs, modules, v)
+    for rows_, metric, alpha in ((v, "cosine", 0.0), (v.where("id <> 7"), "cosine", 0.0), (v, "cityblock", 0.5)):
+        asked, each = recommend.analogy_scopes(q, refs, modules, v)
+        got = rows(search.nearest_analogies(asked, each, rows_, 4, alpha, metric, block=2, bounds=True), "query", "rank", "candidate", "error", "low", "high")
+        want = rows(search.nearest_targets(targets, rows_, 4, alpha, metric, bounds=True), "query", "rank", "candidate", "error", "low", "high")
+        assert len(got) == 16 and [x[:3] for x in got] == [x[:3] for x in want]
+        assert all(x[3:] == pytest.approx(y[3:], abs=1e-8) for x, y in zip(got, want, strict=True))
+    assert each.count() < 4 * 300  # refs of a scope, not of a query
+
+
 def test_metrics(spark):
     s = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.1)], "truth int, score double")
     assert evaluate.roc_auc(s).first()["auc"] == pytest.approx((0.5 + 1 + 0 + 1) / 4)
