@@ -279,6 +279,49 @@ def test_analogies_by_scope(spark):
     assert each.count() < 4 * 300  # refs of a scope, not of a query
 
 
+def test_sparse_search_by_steps(spark, monkeypatch):
+    """Frequent words by matrix product, counts above the steps, rare words and broken weights: as by hand."""
+    import numpy as np
+
+    from theoremill.operators import search
+
+    monkeypatch.setattr(search, "STEPS", 3)
+    rng = np.random.default_rng(3)
+    maps = [{f"w{j}": int(rng.integers(1, 9)) for j in range(30) if rng.random() < 1 / (1 + j)} for _ in range(60)]
+    rare = [m | {"w0": 1.5} for m in maps]
+    posts = search._Postings(maps[:20], counts=True)
+    assert posts.steps.any() and (posts.steps == 0).any() and len(posts.x)
+
+    def frame(some):
+        return spark.createDataFrame([(i, {k: float(x) for k, x in m.items()}) for i, m in enumerate(some)], "id long, weights map<string,double>")
+
+    for some in (maps, rare):
+        got = {(r["query"], r["candidate"]): r["distance"] for r in search.sparse_knn(frame(maps).where("id < 20"), frame(some), None).collect()}
+        assert len(got) == 20 * 60
+        for (q, c), d in got.items():
+            a, b = maps[q], some[c]
+            low, high = (sum(f(a.get(w, 0), b.get(w, 0)) for w in {*a, *b}) for f in (min, max))
+            assert d == pytest.approx(1 - low / high if high else 1.0)
+
+
+def test_rows_are_written_once(spark, monkeypatch):
+    """Texts are tokenised once, however many blocks of queries there are."""
+    from theoremill.operators import search
+
+    made = []
+    monkeypatch.setattr(recommend, "materialize", lambda df, name, put=recommend.materialize: made.append(name) or put(df, name))
+    nodes = spark.createDataFrame([(i, f"w{i} common") for i in range(4)], "id long, text string")
+    model = recommend.BagOfWordsRecommender(2).fit(nodes.select("id"), None, nodes)
+    assert model.predict(nodes.select("id")).count() == 8 and made == ["rows", "asked"]
+    monkeypatch.setattr(search.sparse_knn, "__defaults__", (*search.sparse_knn.__defaults__[:1], 2, *search.sparse_knn.__defaults__[2:]))
+    made.clear()
+    assert recommend.TfIdfRecommender(2).fit(nodes.select("id"), None, nodes).predict(nodes.select("id")).count() == 8 and made == ["rows", "asked"]
+    plan = search.tfidf_maps(nodes)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan  # counts stay in their rows
+    got = {(r["id"], w): x for r in search.tfidf_maps(nodes).collect() for w, x in r["weights"].items()}
+    assert got == pytest.approx({(r["id"], r["word"]): r["tfidf"] for r in features.tfidf(nodes).collect()})
+
+
 def test_metrics(spark):
     s = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.1)], "truth int, score double")
     assert evaluate.roc_auc(s).first()["auc"] == pytest.approx((0.5 + 1 + 0 + 1) / 4)
