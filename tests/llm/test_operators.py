@@ -50,6 +50,14 @@ def near_copies(seed=3, bases=12, each=9):
     return texts
 
 
+def test_texts_are_thinned_before_they_are_sent(spark):
+    texts = spark.range(20_000).select((F.col("id") * 7919 - 9_000_000).alias("doc_id"), F.lit("t").alias("text")).unionAll(spark.createDataFrame([(None, "t")], "doc_id long, text string"))
+    members = texts.where("doc_id % 10 = 0").select("doc_id")
+    left = {r[0] for r in neardup.only_members(texts, members.unionAll(members)).select("doc_id").collect()}
+    want = {r[0] for r in members.collect()}
+    assert want <= left and len(left - want) < 20 and None not in left
+
+
 @pytest.mark.parametrize("block", [neardup.BLOCK_SHINGLES, 150])
 @pytest.mark.parametrize("size", [4, 5])
 def test_near_duplicates_against_brute_force(spark, size, block):

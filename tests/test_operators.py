@@ -87,6 +87,21 @@ def test_long_path_components(spark):
     assert {r[1] for r in rows(connected_components(e), "node", "component")} == {0}
 
 
+def test_components_of_a_small_graph_take_no_rounds(spark, monkeypatch):
+    from theoremill.operators import components
+
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, name, f=components.materialize: written.append(name) or f(df, name))
+    drawn = [(h % 97, h * h % 89 + (h % 3) * 100) for h in range(40)] + [(500 - i, 501 - i) for i in range(60)] + [(7, 7), (900, 900)]
+    e = spark.createDataFrame([*drawn, (None, 3)], "src long, dst long")
+    small = rows(connected_components(e), "node", "component")
+    assert written == ["cc", "components"]
+    monkeypatch.setattr(components, "HELD_EDGES", 0)
+    assert rows(connected_components(e), "node", "component") == small
+    assert {c for n, c in small if 441 <= n <= 501} == {441} and (900, 900) in small
+    assert connected_components(e.where("src < 0")).count() == 0
+
+
 def test_empty_graph(spark):
     e = spark.createDataFrame([], EDGE)
     nodes = stats.nodes_of(e)

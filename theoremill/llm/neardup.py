@@ -35,6 +35,8 @@ VALUES = TREES * DEPTH
 REGION_ROWS, HELD_ROWS = 256, 32_768
 #: Shingles of a candidate group that one task searches.
 BLOCK_SHINGLES = 300_000
+#: Places of the bitmap that thins the texts before they are sent to their groups, whatever the number of members.
+PLACE_BITS = 25
 #: How many standard deviations below the threshold an estimate may lie and still be confirmed exactly.
 SLACK = 6.0
 
@@ -254,6 +256,16 @@ def _confirm_blocks(size: int, percent: int):
     return run
 
 
+def only_members(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id may be one of members' (few others pass): a bitmap of fixed size over hashed ids is
+    sent to all tasks, so that a join with members, of any number, exchanges no other texts."""
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - PLACE_BITS)
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    words = members.groupBy(word.alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__bits"))
+    met = texts.where("doc_id is not null").join(F.broadcast(words), word == F.col("__word"))  # at most 2 ** (PLACE_BITS - 6) rows
+    return met.where(F.getbit("__bits", bit) == 1).drop("__word", "__bits")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document: doc_id, n_shingles (long), component_id (long), kept (boolean).
 
@@ -284,7 +296,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_shi
     members = members.withColumn("other", F.explode(others))
     several = not blocks.where("n_blocks > 1").isEmpty()
     members = materialize(members.select("doc_id", "cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")), "members")
-    placed = texts.join(members, "doc_id").select("cluster", "one", "two", "doc_id", "text")
+    placed = only_members(texts, members).join(members, "doc_id").select("cluster", "one", "two", "doc_id", "text")
     task = ("cluster", "one", "two")
     linked = placed.repartition(*task).sortWithinPartitions(*task, "doc_id").mapInArrow(_confirm_blocks(size, percent), "doc_id long, comp long")
     comps = materialize(linked.distinct(), "confirmed")
