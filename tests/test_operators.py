@@ -1,5 +1,7 @@
 """Golden cases and hand-made graphs."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +227,46 @@ def test_walks_follow_edges(spark):
     assert set(step) == {"1", "2"} and step["1"] / 400 == pytest.approx(0.25, abs=0.08)
 
 
+def test_neighbours_are_packed_in_short_rows():
+    rng = np.random.default_rng(5)
+    at = np.sort(np.concatenate([rng.integers(0, 3000, 90_000), np.full(100_000, 1500), np.full(70_000, 4000)]))
+    to, w = np.arange(len(at)), rng.integers(1, 9, len(at)) / 4
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 10_000]) for x in (at, to, w)], names=["at", "to", "w"]) for i in range(0, len(at), 10_000)]
+    got = [r for b in features._pack(iter(batches)) for r in b.to_pylist()]
+    assert [t for r in got for t in r["tos"]] == to.tolist() and max(len(r["tos"]) for r in got) == features.PACKED
+    upto = {}
+    for r in got:
+        assert r["base"] == upto.get(r["at"], 0.0) and r["upto"] == pytest.approx(r["base"] + sum(r["ws"]))
+        upto[r["at"]] = r["upto"]
+    assert all(upto[n] == pytest.approx(w[at == n].sum()) for n in (0, 1500, 4000))
+
+
+def test_walks_take_the_neighbour_drawn(spark):
+    """A hub with 500 neighbours: every step is the neighbour whose interval holds the draw, also from quarters."""
+    import hashlib
+
+    e = spark.createDataFrame([("hub", f"n{i:03}", 1.0 + i % 3) for i in range(500)] + [("a", "a", 2.0), ("a", "hub", 1.0), ("z", "hub", 0.0)], "u string, v string, w double")
+    near = {}
+    for u, v, w in sorted(tuple(r) for r in e.collect()):
+        if w:
+            near.setdefault(u, {})[v] = w
+            near.setdefault(v, {})[u] = w
+
+    def step(start, node, i):
+        x = (int(hashlib.md5(f"1234:{start}:0:{i}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32 * sum(near[node].values())
+        for to, w in sorted(near[node].items()):
+            if x < w:
+                return to
+            x -= w
+
+    for quartered in (features.QUARTERED, 0):
+        features.QUARTERED, was = quartered, features.QUARTERED
+        got = {(r["start"], r["step"]): r["node"] for r in features.random_walks(e, n_walks=1, length=4).collect()}
+        features.QUARTERED = was
+        assert len(got) == 4 * len(near)
+        assert all(got[s, i] == step(s, got[s, i - 1], i) for s, i in got if i)
+
+
 def test_postprocess_keeps_order_without_spread(spark):
     p = spark.createDataFrame([("q", "a", 1.0), ("q", "b", 1.0), ("q", "m.with-1 1", 0.0), ("q", "c", float("nan"))], "query string, candidate string, y double")
     assert rows(recommend.postprocess(p, None), "rank", "candidate", "score") == [(1, "b", 0.0), (2, "a", 0.0), (3, "c", None)]
