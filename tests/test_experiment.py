@@ -69,6 +69,28 @@ def test_edge_models(spark, library):
     assert model.predict_one("m.t0 0").count() == 3
 
 
+@pytest.mark.parametrize("scheme", ["concatenation", "sum", "mean"])
+def test_edge_models_rank_as_the_model_scores(spark, library, scheme):
+    """Every pair's score as Spark's model has it, existing body targets left out; no pair is joined for it."""
+    nodes, edges = library
+    vectors = nodes.select("id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(100)).cast("double")).alias("features"))
+    model = recommend.EdgeModelRecommender(vectors, None, scheme, trees=7, depth=4).fit(nodes, edges)
+    model.block = 3
+    known = {(r["src"], r["dst"]) for r in edges.where("edge_type = 'REFERENCE_BODY'").collect()}
+    pairs = nodes.select(F.col("id").alias("src")).crossJoin(nodes.select(F.col("id").alias("dst")))
+    want = {(r["src"], r["dst"]): r["score"] for r in model.score_edges(pairs).collect() if (r["src"], r["dst"]) not in known and ".with-" not in r["dst"]}
+    plan = model.predict(nodes.select("id"))
+    assert "CartesianProduct" not in plan._jdf.queryExecution().toString() and "NestedLoop" not in plan._jdf.queryExecution().toString()
+    got = {(r["query"], r["candidate"]): r["score"] for r in plan.collect()}
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-8) for p in want)
+    model.k = 3
+    best = {}
+    for (q, c), s in want.items():
+        best.setdefault(q, []).append((round(s, 9), c))
+    top = sorted((q, i + 1, c) for q, x in best.items() for i, (_, c) in enumerate(sorted(x, reverse=True)[:3]))
+    assert sorted((r["query"], r["rank"], r["candidate"]) for r in model.predict(nodes.select("id")).collect()) == top
+
+
 def test_biased_walks(spark):
     e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("c", "d", 1.0)], "u string, v string, w double")
     w = features.random_walks(e, n_walks=200, length=3, p=1000.0, q=1.0)
