@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from theoremill.functions import names as N
-from theoremill.operators import dataset, evaluate, features, graph, recommend, search, stats, trees
+from theoremill.operators import dataset, evaluate, features, graph, recommend, search, skipgram, stats, trees
 from theoremill.operators.components import connected_components
 from theoremill.sources import dag, sexp, sinks, vectors
 
@@ -267,6 +267,107 @@ def test_walks_take_the_neighbour_drawn(spark):
         assert all(got[s, i] == step(s, got[s, i - 1], i) for s, i in got if i)
 
 
+def test_numbered_walks_are_the_named_ones(spark):
+    names = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), ("d", 3)], "name string, n long")
+    e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 2.0), (0, 2, 3.0), (2, 3, 1.0)], "u long, v long, w double")
+    for p in (1.0, 4.0):
+        shown = features.random_walks(e, n_walks=3, length=4, p=p, names=names)
+        coded = features.random_walks(e, n_walks=3, length=4, p=p, names=names, numbered=True)
+        assert rows(shown, "start", "nth", "step", "node") == rows(coded.withColumn("node", F.element_at(F.array(*map(F.lit, "abcd")), (F.col("node") + 1).cast("int"))), "start", "nth", "step", "node")
+    with pytest.raises(ValueError, match="names"):
+        features.random_walks(e, numbered=True)
+
+
+def group_walks(spark, n, groups, length):
+    """A walk from each of n nodes that stays among the nodes with its remainder."""
+    node = F.pmod(F.xxhash64("start", "step"), F.lit(n // groups)) * groups + F.col("start") % groups
+    steps = spark.range(n).select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("step"))
+    name = lambda c: F.format_string("n%06d", c)
+    return steps.select(name(F.col("start")).alias("start"), F.lit(0).alias("nth"), "step", name(F.when(F.col("step") == 0, F.col("start")).otherwise(node)).alias("node"))
+
+
+def test_node_vectors_are_not_gathered_on_the_driver(spark):
+    """No job of 30,000 nodes may send more than 200 kB to the driver; names alone are more."""
+    walks = group_walks(spark, 30_000, 10, 4)
+    conf, key, join = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize", "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(join)
+    conf.set(key, "200k")
+    spark.conf.set(join, "-1")
+    try:
+        made = features.node_vectors(walks, size=8, window=2, epochs=1)
+        got = made.agg(F.count("*"), F.count_distinct("id"), F.min(F.size("features")), F.max(F.size("features"))).first()
+    finally:
+        conf.remove(key)
+        spark.conf.set(join, before)
+    assert tuple(got) == (30_000, 30_000, 8, 8)
+
+
+def test_node_vectors_do_not_depend_on_partitioning(spark, monkeypatch):
+    """Four blocks or one: every node has a vector, its nearest ones are of its group; partitions change nothing."""
+    walks = group_walks(spark, 400, 4, 60)
+    for block in (16 * 120, skipgram.BLOCK):
+        monkeypatch.setattr(skipgram, "BLOCK", block)
+        first = {r["id"]: r["features"] for r in features.node_vectors(walks, size=16, window=3, epochs=2).collect()}
+        again = {r["id"]: r["features"] for r in features.node_vectors(walks.repartition(7, "node"), size=16, window=3, epochs=2).collect()}
+        assert first == again and len(first) == 400
+        ids = sorted(first)
+        x = np.array([first[i] for i in ids])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = np.argsort(-(x @ x.T), axis=1)[:, 1:6]
+        assert np.mean(near % 4 == np.arange(400)[:, None] % 4) > 0.9
+
+
+def test_node_vectors_of_odd_walks(spark):
+    kind = "start string, nth int, step int, node string"
+    assert features.node_vectors(spark.createDataFrame([], kind), size=4).collect() == []
+    lone = features.node_vectors(spark.createDataFrame([("a", 0, 0, "a"), ("b", 0, 0, "b"), ("b", 0, 1, "b"), ("b", 1, 0, "b")], kind), size=4, epochs=2).collect()
+    assert sorted(r["id"] for r in lone) == ["a", "b"] and all(np.isfinite(r["features"]).all() for r in lone)
+
+
+def test_rounds_share_out_all_pairs():
+    """The pairs of all rounds are those of the windows drawn, each once; a pair goes to the round and block of its ends."""
+    rng = np.random.default_rng(3)
+    blocks, window = 5, 4
+    begins = rng.random(500) < 0.2
+    begins[0] = True
+    code = rng.integers(0, blocks, 500) * 2**32 + rng.integers(0, 30, 500)
+    got = []
+    for shift in range(blocks):
+        for at, payload in skipgram._pairs_of(7, code.tobytes(), begins.tobytes(), blocks, shift, window, 1, 2):
+            node, context = np.frombuffer(payload, np.int32).reshape(2, -1)
+            got += [(at, n, (at + shift) % blocks, c) for n, c in zip(node.tolist(), context.tolist(), strict=True)]
+    reach, walk = np.random.default_rng([1, 2, 7]).integers(1, window + 1, 500), np.cumsum(begins)
+    place = lambda i: (int(code[i] >> 32), int(code[i] & 0xFFFFFFFF))
+    assert set(reach) == set(range(1, window + 1))
+    assert sorted(got) == sorted(place(i) + place(j) for i in range(500) for j in range(500) if i != j and walk[i] == walk[j] and abs(i - j) <= reach[i])
+
+
+def test_a_batch_follows_the_gradient():
+    """Changes of a batch by hand: positive and drawn contexts; of more than ADDED changes of a vector, the mean counts ADDED times."""
+    rng = np.random.default_rng(4)
+    own = skipgram._Learner({0: 50, 1: 40}, 2, 1, 0, 6, 3, 1, 0)
+    own.give(skipgram.COUNTS, 0, pa.scalar(rng.integers(1, 9, 40).tobytes(), pa.binary()))
+    own.give(skipgram.OUTER, 0, pa.scalar(rng.normal(size=(25, 6)).astype(np.float32).tobytes(), pa.binary()))
+    own.give(skipgram.OUTER, 25, pa.scalar(rng.normal(size=(15, 6)).astype(np.float32).tobytes(), pa.binary()))
+    own.start()
+    own.inner *= 10
+    node, context = np.where(rng.random(200) < 0.5, 3, rng.integers(0, 50, 200)).astype(np.int32), rng.integers(0, 40, 200).astype(np.int32)
+    u, v = own.inner.astype(float), own.outer.astype(float)
+    draws = np.random.default_rng([1, 0, 1, 0, 1])
+    drawn = draws.permutation(np.searchsorted(own.share, np.sort(draws.random(600)), side="right")).reshape(200, 3)
+    to_u, to_v = [[] for _ in u], [[] for _ in v]
+    for n, c, negatives in zip(node, context, drawn, strict=True):
+        terms = [(c, 1)] + [(x, 0) for x in negatives]
+        steps = [(x, 0.0 if i and x == c else 0.5 * (label - 1 / (1 + np.exp(-u[n] @ v[x])))) for i, (x, label) in enumerate(terms)]
+        to_u[n].append(sum(g * v[x] for x, g in steps))
+        for x, g in steps:
+            to_v[x].append(g * u[n])
+    want = lambda table, to: [row + sum(c) * min(1, skipgram.ADDED / max(1, len(c))) for row, c in zip(table, to, strict=True)]
+    own.learn(node, context, np.float32(0.5))
+    assert len(to_u[3]) > skipgram.ADDED
+    assert np.allclose(own.inner, want(u, to_u), atol=1e-4) and np.allclose(own.outer, want(v, to_v), atol=1e-4)
+
+
 def test_postprocess_keeps_order_without_spread(spark):
     p = spark.createDataFrame([("q", "a", 1.0), ("q", "b", 1.0), ("q", "m.with-1 1", 0.0), ("q", "c", float("nan"))], "query string, candidate string, y double")
     assert rows(recommend.postprocess(p, None), "rank", "candidate", "score") == [(1, "b", 0.0), (2, "a", 0.0), (3, "c", None)]
