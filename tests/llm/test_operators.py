@@ -1007,6 +1007,48 @@ def test_lowest_counts_keys_and_not_rows(spark):
     assert lowest(ids.limit(0), "doc_id", 40).count() == 0
 
 
+def test_lowest_keys_are_those_of_lowest(spark):
+    from theoremill.llm.common import lowest, lowest_keys
+
+    ids = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    nulls = ids.unionAll(spark.range(500).select(F.lit(None).cast("long").alias("doc_id")))
+    for df, n in ((ids.unionAll(ids), 40), (nulls, 40), (ids.limit(30), 40), (ids.select(F.col("doc_id").cast("string")), 40)):
+        got = lowest_keys(df, "doc_id", n, 3)
+        assert len(got) == len(set(got)) and sorted(got) == sorted(r[0] for r in lowest(df, "doc_id", n, 3).collect())
+    assert lowest_keys(ids.limit(0), "doc_id", 40) == []
+
+
+def test_texts_by_id_of_repeated_and_missing_ids(spark):
+    from theoremill.llm.common import texts_by_id
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "c"), (4, "d"), (None, "e")], "doc_id long, text string")
+    assert texts_by_id(docs, [1, 2, 3, 9], 1000) == {1: "a", 3: "c"}  # as many rows as ids: merged here
+    assert texts_by_id(docs, [1], 1000) == {1: "a"}  # more: grouped in the cluster
+    assert texts_by_id(docs, [], 1000) == {}
+
+
+def test_toxicity_trains_without_exchanges_by_key(spark):
+    """With 211 shuffle partitions its samples took rounds of that many tasks to group by id, each with pages of its own."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in held}
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("toxicity-train", "")
+        model = toxicity.train(docs, labels)
+        stages = {s for j in tracker.getJobIdsForGroup("toxicity-train") for s in tracker.getJobInfo(j).stageIds}
+        assert max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert toxicity.score(docs, model).count() == 400
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+
+
 def test_samples_of_repeated_rows_are_bounded(spark):
     """Each row 50 times: the same sample, and one text per id reaches the driver."""
     from theoremill.llm.common import labelled_sample, text_sample

@@ -11,6 +11,8 @@ from theoremill.plans.scratch import materialize, scratch_dir  # noqa: F401
 
 #: Rows of one Arrow batch handed to Python. Texts are long, so batches are kept short to bound worker memory.
 ARROW_ROWS = 1000
+#: Rows of one batch that the Parquet reader decodes (Spark's default, 4096 texts, is tens of MB at once in each task).
+READ_ROWS = 256
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -33,6 +35,12 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def read_short(spark: SparkSession) -> None:
+    """Bound the rows that the Parquet reader decodes at once, for scans of texts; results don't depend on it."""
+    if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > READ_ROWS:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+
+
 def with_row(stored: DataFrame, name: str) -> DataFrame:
     """A table read from Parquet files with a long that tells its rows apart, repeated ones too: a 64-bit hash of the
     row's file and its place there, the same in every scan."""
@@ -79,6 +87,19 @@ def lowest(df: DataFrame, key: str, n: int, salt: int = 0) -> DataFrame:
     return known.dropDuplicates([key]).orderBy(h, F.col(key)).limit(n)
 
 
+def lowest_keys(df: DataFrame, key: str, n: int, salt: int = 0) -> list:
+    """The keys that `lowest` takes, in the order of their hash. They are gathered as one set, of about 8 n keys at most:
+    grouping, sorting and exchanging by key take memory pages of tens of MB in every task, however few its rows are."""
+    h = F.xxhash64(F.col(key), F.lit(salt))
+    known = df.where(F.col(key).isNotNull()).select(key)
+    about = known.agg(F.approx_count_distinct(key, 0.02)).first()[0]
+    some = known.where(h < -(2**63) + 2**64 * 4 * n // about) if about > 8 * n else known
+    found = some.agg(F.collect_set(F.struct(h.alias("hash"), F.col(key).alias("key")))).first()[0]
+    if about > 8 * n and len(found) < n:  # the bound has let too few through
+        return [r[0] for r in lowest(known, key, n, salt).collect()]
+    return [k for _, k in sorted(map(tuple, found))[:n]]
+
+
 def lowest_by(df: DataFrame, key: str, group: str, n: int, salt: int = 0) -> list[tuple]:
     """(key, group) of the n keys with the lowest keyed hash of each group: `lowest` for all groups at once, in two scans.
     For columns with few groups: at most n x groups rows reach the driver. Nulls are left out."""
@@ -115,10 +136,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return [(r["text"], label_of[r["doc_id"]]) for r in sorted(_texts_of(docs, chosen.select("doc_id"), max_chars).collect())]
 
 
+def texts_by_id(docs: DataFrame, ids: list, max_chars: int) -> dict:
+    """The text of each of the ids that has one, as in _texts_of. Only where ids repeat are the rows grouped by id in the
+    cluster; else no more rows than ids are fetched as they are, without a sort in every task."""
+    import pyarrow as pa
+
+    if not ids:
+        return {}
+    schema = docs.select("doc_id").schema
+    chosen = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids)}), schema)
+    of = docs.join(F.broadcast(chosen), "doc_id", "left_semi")
+    if of.count() > len(ids):
+        return dict(map(tuple, _texts_of(docs, chosen, max_chars).collect()))
+    text: dict = {}
+    for k, t in of.where(F.col("text").isNotNull()).select("doc_id", bounded_text(F.col("text").cast("string"), F.col("doc_id"), max_chars)).collect():
+        text[k] = min(t, text.get(k, t))
+    return text
+
+
 def text_sample(docs: DataFrame, n: int, divisor: int, rest: int, max_chars: int, salt: int = 1) -> list[str]:
     """At most n texts, one per id, by keyed hash, never of held-out rows, of max_chars characters at most."""
-    ids = lowest(docs.where(remainder(F.col("doc_id"), divisor) != rest).select("doc_id"), "doc_id", n, salt)
-    return [r["text"] for r in sorted(_texts_of(docs, ids, max_chars).collect())]
+    ids = lowest_keys(docs.where(remainder(F.col("doc_id"), divisor) != rest), "doc_id", n, salt)
+    return [t for _, t in sorted(texts_by_id(docs, ids, max_chars).items())]
 
 
 def with_scores(docs: DataFrame, scorer, between, name: str = "score") -> DataFrame:

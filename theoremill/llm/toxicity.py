@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from theoremill.llm.common import labelled_sample, remainder, score_texts, text_sample
+from theoremill.llm.common import lowest_keys, read_short, remainder, score_texts, text_sample, texts_by_id
 from theoremill.llm.textbytes import NOT_ALNUM, Words, mix, words_in
 
 #: Bounds of the training sample: positives, unlabelled texts, characters of one text.
@@ -147,9 +147,11 @@ def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, steps: in
 def train(docs: DataFrame, labels: DataFrame, divisor: int = 5, rest: int = 0) -> PuModel:
     """Fit from `labels.toxic` = 1 of rows that are not held out, unlabelled texts of such rows, and the share of
     toxic ones among their labels as class prior."""
+    read_short(docs.sparkSession)
     fair = labels.where(remainder(F.col("doc_id"), divisor) != rest)
     prior = fair.where(F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
-    positive = [t for t, y in labelled_sample(docs, fair.where("toxic = 1"), "toxic", POSITIVES, divisor, rest, MAX_CHARS) if y == 1]
+    marked = texts_by_id(docs, lowest_keys(fair.where("toxic = 1"), "doc_id", POSITIVES), MAX_CHARS)
+    positive = [t for _, t in sorted(marked.items())]
     return fit_nnpu(positive, text_sample(docs, UNLABELLED, divisor, rest, MAX_CHARS), 0.1 if prior is None else prior)
 
 
@@ -157,4 +159,5 @@ def score(docs: DataFrame, model: PuModel) -> DataFrame:
     """doc_id, score (double, 0 to 1) of every whole text; null texts score as empty ones. Rows that repeat an id, or have
     none, are each returned; equal texts have equal scores; texts have any length; an empty table gives an empty
     result; other columns are dropped."""
+    read_short(docs.sparkSession)
     return score_texts(docs, model.score, NOT_ALNUM)
