@@ -404,6 +404,35 @@ def test_two_hops_query_counts_references_only(spark, tmp_path):
         assert got == [("R.N.cust1 1", 1.0), ("R.N.cust0 0", 1.0)]
 
 
+def test_two_hops_queries_list_every_customer(spark, sf_dir):
+    """A list for each customer with an order, not for one in twenty."""
+    from theoremill.plans import registry
+
+    asked = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey").distinct().count()
+    for name in ("two_hops_constant", "two_hops_degree", "two_hops_log2"):
+        assert registry.QUERIES[name](spark, sf_dir).select("query").distinct().count() == asked
+
+
+@pytest.mark.parametrize("weights", ["CONSTANT", "DEGREE", "LOG2_DEGREE"])
+def test_two_hops_in_blocks_are_those_of_all_paths(spark, monkeypatch, weights):
+    """Short lists are the beginnings of whole ones, in many blocks, with ties, an edge of each type to one node and a hub."""
+    import random
+
+    from theoremill.operators import hops
+
+    monkeypatch.setattr(hops, "QUERIES", 30)
+    monkeypatch.setattr(hops, "EDGES", 60)
+    draw = random.Random(5)
+    e = {(f"q{draw.randrange(150):03}", f"x{draw.randrange(200):03}", t): draw.choice([1, 1, 1, 2, 7, 900]) for t in ("REFERENCE_BODY", "REFERENCE_TYPE") for _ in range(900)}
+    e.update({(f"q{i:03}", "hub", "REFERENCE_BODY"): 1 for i in range(0, 150, 2)})
+    e.update({("q001", f"y{i}", "REFERENCE_BODY"): 30000 for i in range(3)} | {("q003", f"y{i}", "REFERENCE_BODY"): 30000 + i for i in range(3)})
+    edges = spark.createDataFrame([(*key, w) for key, w in e.items()], EDGE)
+    asked = edges.select(F.col("src").alias("id")).distinct().where("id <> 'q007'")
+    got = rows(recommend.two_hops(asked, edges, stats.nodes_of(edges), 4, weights), "query", "rank", "candidate", "score")
+    whole = recommend.two_hops(asked, edges, stats.nodes_of(edges), None, weights).where("rank <= 4")
+    assert len(got) > 500 and got == rows(whole, "query", "rank", "candidate", "score")
+
+
 def test_betweenness_with_empty_tasks(spark):
     """Tasks without a node, or whose nodes lie on no path, return no rows."""
     e = spark.createDataFrame([("a", "b", "REFERENCE_BODY", 1), ("b", "c", "REFERENCE_BODY", 1)], EDGE)
