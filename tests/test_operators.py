@@ -433,6 +433,32 @@ def test_two_hops_in_blocks_are_those_of_all_paths(spark, monkeypatch, weights):
     assert len(got) > 500 and got == rows(whole, "query", "rank", "candidate", "score")
 
 
+@pytest.mark.parametrize("name", ["bow_recommend", "combined_recommend"])
+def test_text_recommenders_list_every_document(spark, sf_dir, name):
+    """A list for each document, not for one in twenty."""
+    from theoremill.plans import registry
+
+    ids = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    assert {r["query"] for r in registry.QUERIES[name](spark, sf_dir).select("query").collect()} == ids
+
+
+@pytest.mark.parametrize("metric", ["cityblock", "cosine", "jaccard"])
+def test_many_blocks_of_queries_are_written_in_groups(spark, monkeypatch, metric):
+    """Blocks that are written in groups, rows in small slices and lists of any length give what one block gives; ties at the k-th place too."""
+    import random
+
+    draw = random.Random(3)
+    data = [(i, {f"w{draw.randrange(40)}": float(draw.choice([1, 1, 2, 3])) for _ in range(draw.randrange(30))}) for i in range(300)]
+    table = spark.createDataFrame(data, "id long, weights map<string,double>").repartition(3)
+    names = ("query", "rank", "candidate", "distance", "low", "high")
+    whole = rows(search.sparse_knn(table, table, 5, metric, 300, bounds=True, falling=True), *names)
+    monkeypatch.setattr(search, "TOGETHER", 2)
+    parts = rows(search.sparse_knn(table, table, 5, metric, 40, bounds=True, falling=True), *names)
+    assert len(whole) == 1500 and [r[:3] for r in parts] == [r[:3] for r in whole]
+    same = [tuple(x if x is None else round(x, 12) for x in r[3:]) for r in whole]
+    assert same == [tuple(x if x is None else round(x, 12) for x in r[3:]) for r in parts]
+
+
 def test_betweenness_with_empty_tasks(spark):
     """Tasks without a node, or whose nodes lie on no path, return no rows."""
     e = spark.createDataFrame([("a", "b", "REFERENCE_BODY", 1), ("b", "c", "REFERENCE_BODY", 1)], EDGE)
