@@ -286,6 +286,21 @@ def group_walks(spark, n, groups, length):
     return steps.select(name(F.col("start")).alias("start"), F.lit(0).alias("nth"), "step", name(F.when(F.col("step") == 0, F.col("start")).otherwise(node)).alias("node"))
 
 
+def test_node2vec_query_takes_no_less_than_the_operators(spark, sf_dir, monkeypatch):
+    """Walks, their length, dimensions, window and epochs are the defaults of E12 to E14."""
+    from inspect import signature
+
+    from theoremill.plans import queries_learning
+
+    of = lambda f, *names: {n: signature(f).parameters[n].default for n in names}
+    walking, learning = of(features.random_walks, "n_walks", "length"), of(features.node_vectors, "size", "window", "epochs")
+    taken = {}
+    monkeypatch.setattr(queries_learning.E, "random_walks", lambda edges, **more: taken.update(more))
+    monkeypatch.setattr(queries_learning.E, "node_vectors", lambda walks, **more: taken.update(more))
+    queries_learning.Q["node2vec_vectors"](spark, sf_dir)
+    assert walking | learning == {n: taken[n] for n in walking | learning}
+
+
 def test_node_vectors_are_not_gathered_on_the_driver(spark):
     """No job of 30,000 nodes may send more than 200 kB to the driver; names alone are more."""
     walks = group_walks(spark, 30_000, 10, 4)
